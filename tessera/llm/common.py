@@ -12,9 +12,12 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A table is broadcast only when its files hold at most this many bytes.
 BROADCAST_BYTES = 8 << 20
@@ -98,3 +101,51 @@ def tokenizer_path(name: str) -> str:
     """Where a public vocabulary file lies; the folder is a parameter."""
     folder = os.environ.get("TESSERA_TOKENIZERS", "/opt/tokenizers")
     return os.path.join(folder, name)
+
+
+#: Rows and bytes of text that one call of a batch function gets at most (a longer single text goes alone).
+SLICE_ROWS, SLICE_BYTES = 2048, 16 << 20
+
+
+def slices(batch: pa.RecordBatch):
+    """Parts of a batch within SLICE_ROWS and about SLICE_BYTES, in order."""
+    step = max(1, min(SLICE_ROWS, int(SLICE_ROWS * SLICE_BYTES / max(batch.nbytes, 1)) or 1) if batch.nbytes > SLICE_BYTES else SLICE_ROWS)
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
+def map_batches(
+    df: DataFrame,
+    carry: list[str],
+    inputs: list[Column],
+    run: Callable[[list[pa.Array]], list[pa.Array]],
+    out: dict[str, str],
+) -> DataFrame:
+    """``carry`` columns as they are, then ``out`` columns that ``run`` makes of the inputs, row for row."""
+    chosen = df.select(*carry, *[c.alias(f"__in{i}") for i, c in enumerate(inputs)])
+    n = len(carry)
+    names = [*carry, *out]
+    types = [pa_type(t) for t in out.values()]
+
+    def go(batches):
+        for batch in batches:
+            for part in slices(batch):
+                made = run([whole(part.column(n + i)) for i in range(len(inputs))])
+                made = [a if a.type == t else a.cast(t) for a, t in zip(made, types)]
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(n)], *made], names=names)
+
+    fields = [f for f in chosen.schema.fields[:n]]
+    schema = T.StructType([*fields, *[T.StructField(k, T._parse_datatype_string(v)) for k, v in out.items()]])
+    return chosen.mapInArrow(go, schema)
+
+
+def whole(array: pa.Array) -> pa.Array:
+    """A sliced list column with offsets that start at 0."""
+    return pa.concat_arrays([array]) if array.offset else array
+
+
+def pa_type(ddl: str) -> pa.DataType:
+    simple = {"string": pa.string(), "binary": pa.binary(), "int": pa.int32(), "long": pa.int64(), "bigint": pa.int64(), "double": pa.float64(), "float": pa.float32(), "boolean": pa.bool_()}
+    if ddl.startswith("array<"):
+        return pa.list_(pa_type(ddl[6:-1]))
+    return simple[ddl]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from tessera.llm.bpe import op2_bpe
 from tessera.llm.quality_rules import OP10_SQL, op10_quality_rules
 from tessera.llm.sharding import op5_sharding
 
 
 def queries():
     return {
+        "op2_bpe": op2_bpe,
         "op5_sharding": op5_sharding,
         "op10_quality_rules": op10_quality_rules,
     }
