@@ -123,14 +123,14 @@ def map_batches(
 ) -> DataFrame:
     """``carry`` columns as they are, then ``out`` columns that ``run`` makes of the inputs, row for row."""
     chosen = df.select(*carry, *[c.alias(f"__in{i}") for i, c in enumerate(inputs)])
-    n = len(carry)
+    n, taken = len(carry), len(inputs)
     names = [*carry, *out]
     types = [pa_type(t) for t in out.values()]
 
     def go(batches):
         for batch in batches:
             for part in slices(batch):
-                made = run([whole(part.column(n + i)) for i in range(len(inputs))])
+                made = run([whole(part.column(n + i)) for i in range(taken)])
                 made = [a if a.type == t else a.cast(t) for a, t in zip(made, types)]
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(n)], *made], names=names)
 
