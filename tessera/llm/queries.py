@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 from tessera.llm.bpe import op2_bpe
+from tessera.llm.packing import op4_packing
 from tessera.llm.quality_rules import OP10_SQL, op10_quality_rules
 from tessera.llm.sharding import op5_sharding
+from tessera.llm.separator_scan import op9_token_counts
+from tessera.llm.token_files import op3_token_files
 
 
 def queries():
     return {
         "op2_bpe": op2_bpe,
+        "op3_token_files": op3_token_files,
+        "op4_packing": op4_packing,
         "op5_sharding": op5_sharding,
+        "op9_token_counts": op9_token_counts,
         "op10_quality_rules": op10_quality_rules,
     }
 
