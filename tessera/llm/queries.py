@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tessera.llm.bpe import op2_bpe
 from tessera.llm.html_extract import op8_html_extract
+from tessera.llm.language_id import op6_language_id, pages_language
 from tessera.llm.packing import op4_packing
 from tessera.llm.quality_rules import OP10_SQL, op10_quality_rules
 from tessera.llm.sharding import op5_sharding
@@ -17,9 +18,11 @@ def queries():
         "op3_token_files": op3_token_files,
         "op4_packing": op4_packing,
         "op5_sharding": op5_sharding,
+        "op6_language_id": op6_language_id,
         "op8_html_extract": op8_html_extract,
         "op9_token_counts": op9_token_counts,
         "op10_quality_rules": op10_quality_rules,
+        "pages_language": pages_language,
     }
 
 
