@@ -5,6 +5,7 @@ from __future__ import annotations
 from tessera.llm.bpe import op2_bpe
 from tessera.llm.html_extract import op8_html_extract
 from tessera.llm.language_id import op6_language_id, pages_language
+from tessera.llm.near_dedup import op1_near_dedup
 from tessera.llm.packing import op4_packing
 from tessera.llm.quality_rules import OP10_SQL, op10_quality_rules
 from tessera.llm.sharding import op5_sharding
@@ -14,6 +15,7 @@ from tessera.llm.token_files import op3_token_files
 
 def queries():
     return {
+        "op1_near_dedup": op1_near_dedup,
         "op2_bpe": op2_bpe,
         "op3_token_files": op3_token_files,
         "op4_packing": op4_packing,
