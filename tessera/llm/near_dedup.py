@@ -235,12 +235,8 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Materialized: the pairs (a, b) whose full sets are linked."""
 
     def run(columns):
-        out, held = [], (None, None)
-        for ta, tb in zip(columns[0].to_pylist(), columns[1].to_pylist()):
-            if ta is not held[0]:
-                held = (ta, shingles(ta))
-            out.append(linked(held[1], shingles(tb)))
-        return [pa.array(out, pa.bool_())]
+        texts = zip(*(c.to_pylist() for c in columns))
+        return [pa.array([linked(shingles(a), shingles(b)) for a, b in texts], pa.bool_())]
 
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))

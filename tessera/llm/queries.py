@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tessera.llm.bpe import op2_bpe
 from tessera.llm.html_extract import op8_html_extract
 from tessera.llm.language_id import op6_language_id, pages_language
@@ -25,8 +26,10 @@ def queries():
         "op9_token_counts": op9_token_counts,
         "op10_quality_rules": op10_quality_rules,
         "pages_language": pages_language,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql():
-    return {"op10_quality_rules": OP10_SQL}
+    sql = {"op10_quality_rules": OP10_SQL}
+    return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
