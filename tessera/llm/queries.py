@@ -6,6 +6,7 @@ import corpus_pipeline
 from tessera.llm.bpe import op2_bpe
 from tessera.llm.html_extract import op8_html_extract
 from tessera.llm.language_id import op6_language_id, pages_language
+from tessera.llm.media import op7_media
 from tessera.llm.near_dedup import op1_near_dedup
 from tessera.llm.packing import op4_packing
 from tessera.llm.quality_rules import OP10_SQL, op10_quality_rules
@@ -22,6 +23,7 @@ def queries():
         "op4_packing": op4_packing,
         "op5_sharding": op5_sharding,
         "op6_language_id": op6_language_id,
+        "op7_media": op7_media,
         "op8_html_extract": op8_html_extract,
         "op9_token_counts": op9_token_counts,
         "op10_quality_rules": op10_quality_rules,
