@@ -1,13 +1,392 @@
-"""Queries of the harmonization operators and their DuckDB counterparts."""
+"""Queries of the harmonization operators over the test tables, and the same in DuckDB SQL.
+
+The tables hold no entity data, so inputs are derived from their columns, in the
+same way on both sides. Outputs are scalar.
+"""
+
+from __future__ import annotations
+
+import functools
+import json
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera import functions as X
+from tessera import operators as O
+from tessera.operators.catalog import invert_aliases
+from tessera.plans.scratch import write_once
+from tessera.schemas import RAW
+
+
+def _table(spark, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- names and queue -------------------------------------------------------
+
+
+def _features(spark, sf_dir: str) -> DataFrame:
+    """part as a feature table: quoted vendor names with a suffix, a hint in every second row, four match levels."""
+    p = _table(spark, sf_dir, "part")
+    digits = F.lpad(F.col("p_partkey").cast("string"), 7, "0")
+    return p.select(
+        F.col("p_partkey").alias("ord"),
+        F.concat(F.lit(' "'), "p_name", F.lit("_CE"), F.col("p_size").cast("string"), F.lit('" ')).alias("matched_name"),
+        F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("x;HMDB:HMDB"), digits)).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("y HMDB"), digits, F.lit(" z"))).otherwise(F.concat(F.lit("HMDB"), digits, F.lit("_9"))).alias("ms1_compound_name"),
+        F.concat(F.lit("F"), F.col("p_partkey").cast("string")).alias("feature_id"),
+        F.when(F.col("p_size") % 4 == 0, "MS2").when(F.col("p_size") % 4 == 1, "MS1").when(F.col("p_size") % 4 == 2, "CURATION").alias("match_level"),
+    )
+
+
+_FEATURES_SQL = """
+f AS (
+  SELECT p_partkey AS ord, p_name AS name,
+         CASE WHEN p_partkey % 3 = 2 THEN NULL ELSE 'HMDB' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') END AS hint,
+         'F' || p_partkey AS feature_id,
+         CASE p_size % 4 WHEN 0 THEN 'MS2' WHEN 1 THEN 'MS1' WHEN 2 THEN 'CURATION' END AS level,
+         CASE p_size % 4 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS priority
+  FROM part),
+q AS (
+  SELECT name, arg_min(hint, ord) FILTER (WHERE hint IS NOT NULL) AS hmdb_hint,
+         string_agg(feature_id, ',' ORDER BY ord) AS feature_ids,
+         max(priority) AS best, min(ord) AS first_ord
+  FROM f GROUP BY name)
+"""
+_LEVEL_SQL = "CASE best WHEN 3 THEN 'MS2' WHEN 2 THEN 'MS1' WHEN 1 THEN 'CURATION' END"
+
+
+def clean_name(spark, sf_dir):
+    return _features(spark, sf_dir).select("ord", X.clean_name("matched_name").alias("name"))
+
+
+def extract_id(spark, sf_dir):
+    return _features(spark, sf_dir).select("ord", X.extract_id("ms1_compound_name").alias("hint"))
+
+
+def sql_functions(spark, sf_dir):
+    X.register_functions(spark)
+    _features(spark, sf_dir).createOrReplaceTempView("tessera_features")
+    return spark.sql("SELECT ord, clean_name(matched_name) AS name, extract_id(ms1_compound_name) AS hint, confidence_tier(ord / 50.0D) AS tier FROM tessera_features")
+
+
+def _queue_columns(queue: DataFrame) -> DataFrame:
+    return queue.select("name", "hmdb_hint", F.array_join("feature_ids", ",").alias("feature_ids"), "match_level", F.col("ord").alias("first_ord"))
+
+
+def mapping_queue(spark, sf_dir):
+    return _queue_columns(O.build_queue(_features(spark, sf_dir)))
+
+
+def queue_limit(spark, sf_dir):
+    return _queue_columns(O.build_queue(_features(spark, sf_dir), limit=10))
+
+
+def api_record(spark, sf_dir):
+    requests = O.as_requests(O.build_queue(_features(spark, sf_dir)))
+    return requests.select("ord", "name", F.to_json("identifiers").alias("identifiers"))
+
+
+def join_back(spark, sf_dir):
+    queue = O.build_queue(_features(spark, sf_dir))
+    results = queue.select("ord", F.col("name").alias("query_name"))
+    return O.join_back(results, queue).select("ord", "feature_id", "query_name", "match_level")
+
+
+# --- results ---------------------------------------------------------------
+
+
+def _entries(spark, sf_dir: str) -> DataFrame:
+    """JSON entries from part: curies unless p_partkey % 5 = 0, an error in every 7th, two annotators with scores."""
+    p = _table(spark, sf_dir, "part")
+    k, key = F.col("p_partkey"), F.col("p_partkey").cast("string")
+
+    def text(c):
+        return F.to_json(F.struct(c.alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(c.alias("v")))) - 6)
+
+    score = (F.col("p_size") / 16.0).cast("string")
+    curies = F.when(k % 5 == 0, F.lit("[]")).otherwise(F.concat(F.lit('["C:'), key, F.lit('","D:'), key, F.lit('"]')))
+    error = F.when(k % 7 == 0, F.lit('"not found"')).when(k % 7 == 1, F.lit('""')).otherwise(F.lit("null"))
+    first = F.concat(F.lit('"a1":{"CHEBI":{"'), key, F.lit('":{"score":'), score, F.lit('}},"PUBCHEM":{}}'))
+    second = F.concat(F.lit('"a2":{"CHEBI":{"9'), key, F.lit('":{}},"HMDB":{"H'), key, F.lit('":{"score":"0.5"}}}'))
+    body = F.concat(F.lit('{"name":'), text(F.col("p_name")), F.lit(',"curies":'), curies, F.lit(',"chosen_kg_id":"K'), key, F.lit('","error":'), error, F.lit(',"extra":1,"assigned_ids":{'), first, F.lit(","), second, F.lit("}}"))
+    return p.select(k.alias("ord"), F.col("p_name").alias("name"), body.alias("entry"))
+
+
+def _results(spark, sf_dir: str) -> DataFrame:
+    parsed = _entries(spark, sf_dir).withColumn("raw", F.from_json("entry", RAW))
+    return O.from_batch_entry(parsed).drop("entry", "raw", "name")
+
+
+_RESULTS_SQL = """
+r AS (
+  SELECT p_partkey AS ord, p_name AS query_name, p_partkey % 7 = 0 AS failed,
+         p_partkey % 7 <> 0 AND p_partkey % 5 <> 0 AS resolved,
+         CAST(p_partkey AS VARCHAR) AS k, greatest(p_size / 16.0, 0.5) AS score
+  FROM part)
+"""
+_TIER_SQL = "CASE WHEN {0} IS NULL THEN 'unknown' WHEN {0} >= 2 THEN 'high' WHEN {0} >= 1 THEN 'medium' ELSE 'low' END"
+
+
+def build_results(spark, sf_dir):
+    r = _results(spark, sf_dir)
+    return r.select(
+        "ord", "query_name", "resolved", "primary_curie", "chosen_kg_id", "confidence_score",
+        F.array_join(F.map_keys("identifiers"), ",").alias("vocabularies"),
+        X.join_ids(X.ids_for("identifiers", "CHEBI")).alias("chebi"),
+        "error",
+    )
+
+
+def flatten(spark, sf_dir):
+    return O.flatten(_results(spark, sf_dir), keep=["ord"])
+
+
+def ids_for(spark, sf_dir):
+    r = _results(spark, sf_dir)
+    return r.select("ord", X.join_ids(X.ids_for("identifiers", "HMDB")).alias("hmdb"), F.size(X.ids_for("identifiers", "CHEBI")).cast("long").alias("n_chebi"), F.size(X.ids_for("identifiers", "none")).cast("long").alias("n_none"))
+
+
+def envelope_rules(spark, sf_dir):
+    """Single responses: a result, an error alone, a null error, a null result."""
+    e = _entries(spark, sf_dir)
+    k = F.col("ord") % 4
+    response = (
+        F.when(k == 0, F.concat(F.lit('{"result":'), "entry", F.lit(',"metadata":{"request_id":"x"}}')))
+        .when(k == 1, F.concat(F.lit('{"error":"refused '), F.col("ord").cast("string"), F.lit('"}')))
+        .when(k == 2, F.lit('{"error":null}'))
+        .otherwise(F.lit('{"result":null,"metadata":{}}'))
+    )
+    out = O.from_envelope(e.withColumn("response", response))
+    return out.select("ord", "query_name", "resolved", "error", F.col("raw_response").isNotNull().alias("has_raw"))
+
+
+def ndjson_malformed(spark, sf_dir):
+    """documents as NDJSON: every 7th line blank, every 10th cut off."""
+    d = _table(spark, sf_dir, "documents")
+    good = F.concat(F.lit('{"name":"n'), F.col("doc_id").cast("string"), F.lit('","curies":["'), F.col("lang"), F.lit('"]}'))
+    line = F.when(F.col("doc_id") % 7 == 0, F.lit(" \t ")).when(F.col("doc_id") % 10 == 0, good.substr(F.lit(1), F.length(good) - 4)).otherwise(good)
+    out = O.from_ndjson(d.select("doc_id", line.alias("value")))
+    return out.select("doc_id", "query_name", "resolved", "primary_curie", F.coalesce(F.col("error").startswith("Failed to parse NDJSON line: "), F.lit(False)).alias("bad"))
+
+
+def best_score(spark, sf_dir):
+    """Scores as numbers, texts, booleans and nonsense."""
+    e = _table(spark, sf_dir, "events")
+    k = F.col("event_id") % 4
+    meta = F.when(k == 0, F.lit('{"score":true}')).when(k == 1, F.lit('{"score":"1.5"}')).when(k == 2, F.lit('{"score":"high"}')).otherwise(F.lit("7"))
+    flat = F.array(*[F.struct(F.lit("V").alias("vocab"), F.lit("c").alias("code"), m.alias("meta")) for m in (meta, F.when(F.col("event_id") % 5 == 0, F.lit('{"score":1.25}')))])
+    return e.select("event_id", X.best_score(flat).alias("score"))
+
+
+def parse_props(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    return e.select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+
+
+# --- tiers and summaries ---------------------------------------------------
+
+
+def _scored(spark, sf_dir: str) -> DataFrame:
+    """events as results: a score but for every 11th, three vocabularies of different reach."""
+    e = _table(spark, sf_dir, "events")
+    score = F.when(F.col("event_id") % 11 != 0, F.floor(F.col("value")) / 50.0)
+    vocabularies = F.filter(F.array(*[F.when(F.col("event_id") % n == 0, F.lit(v)) for v, n in (("CHEBI", 2), ("HMDB", 3), ("refmet_id", 10))]), lambda v: v.isNotNull())
+    return e.select(
+        "event_id",
+        "event_type",
+        score.alias("confidence_score"),
+        (F.col("event_id") % 3 != 0).alias("resolved"),
+        F.when(F.col("event_id") % 6 == 0, "timeout").when(F.col("event_id") % 6 == 3, "").alias("error"),
+        F.map_from_arrays(vocabularies, F.transform(vocabularies, lambda v: F.array(v))).alias("identifiers"),
+    )
+
+
+def tier(spark, sf_dir):
+    return O.with_tier(_scored(spark, sf_dir)).select("event_id", "confidence_tier")
+
+
+def tier_filter(spark, sf_dir):
+    return O.with_tier(_scored(spark, sf_dir)).where(F.col("confidence_tier").isin("medium", "low")).select("event_id", "confidence_tier")
+
+
+def tier_counts(spark, sf_dir):
+    return O.tier_counts(_scored(spark, sf_dir)).select("confidence_tier", "n", F.round("percent", 6).alias("percent"))
+
+
+def summary(spark, sf_dir):
+    return O.summarize(_scored(spark, sf_dir))
+
+
+def vocab_coverage(spark, sf_dir):
+    return O.vocabulary_coverage(_scored(spark, sf_dir))
+
+
+def coverage_top(spark, sf_dir):
+    return O.vocabulary_coverage(_scored(spark, sf_dir)).orderBy(F.desc("n"), "vocab").limit(2)
+
+
+_SCORED_SQL = """
+s AS (
+  SELECT event_id, event_type, CASE WHEN event_id % 11 <> 0 THEN floor(value) / 50.0 END AS score,
+         event_id % 3 <> 0 AS resolved, event_id % 6 = 0 AS failed
+  FROM events)
+"""
+_COVERAGE_SQL = " UNION ALL ".join(f"SELECT '{v}' AS vocab, count(*) AS n FROM events WHERE event_id % {n} = 0 HAVING count(*) > 0" for v, n in (("CHEBI", 2), ("HMDB", 3), ("refmet_id", 10)))
+
+
+# --- catalogs --------------------------------------------------------------
+
+
+def invert(spark, sf_dir):
+    """region and nation as types and aliases."""
+    types = _table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("pos"), F.col("r_name").alias("type"))
+    pairs = _table(spark, sf_dir, "nation").join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("alias"), F.col("r_name").alias("type"))
+    return invert_aliases(types, pairs).select("pos", "type", F.array_join("aliases", ",").alias("aliases"))
+
+
+def catalog_json(spark, sf_dir):
+    """The same catalog through its JSON form."""
+    n = _table(spark, sf_dir, "nation").join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    types = _table(spark, sf_dir, "region").agg(F.transform(F.array_sort(F.collect_list(F.struct("r_regionkey", "r_name"))), lambda x: x["r_name"]).alias("entity_types"))
+    aliases = n.agg(F.map_from_entries(F.collect_list(F.struct("n_name", "r_name"))).alias("aliases"))
+    payload = types.join(F.broadcast(aliases)).select(F.to_json(F.struct("entity_types", "aliases")).alias("payload"))
+    return O.entity_types(payload).select("type", F.array_join("aliases", ",").alias("aliases"))
+
+
+def catalog_resolve(spark, sf_dir):
+    """orders as requests by customer key, customers of two segments as the recorded catalog."""
+    c = _table(spark, sf_dir, "customer").where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"))
+    recorded = c.select(F.col("c_custkey").alias("name"), F.struct(F.col("c_name").alias("name"), F.array("c_mktsegment").alias("curies"), F.lit(None).cast("string").alias("chosen_kg_id"), F.lit(None).cast("map<string,array<string>>").alias("kg_ids"), F.lit(None).cast("map<string,map<string,map<string,string>>>").alias("assigned_ids"), F.lit(None).cast("string").alias("error")).alias("raw"))
+    requests = _table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("name"))
+    out = O.from_batch_entry(O.resolve_offline(requests, recorded))
+    return out.select("o_orderkey", F.col("query_name").alias("custkey"), F.coalesce("resolved", F.lit(False)).alias("resolved"), "primary_curie")
+
+
+# --- chunks ----------------------------------------------------------------
+
+
+def _asked(spark, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("name"), F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("HMDB"), F.col("event_type"))).alias("identifiers"))
+    return O.number_chunks(O.requests(e))
+
+
+def chunk_counts(spark, sf_dir):
+    return O.request_bodies(_asked(spark, sf_dir)).select("chunk_id", "n")
+
+
+def _echo(body: str, fail: int | None = None) -> str:
+    """A stand-in for the service: names every entity back."""
+    names = [e["name"] for e in json.loads(body)["entities"]]
+    if fail is not None and names[0] == f"e{fail * 1000}":
+        raise RuntimeError("HTTP 500")
+    return json.dumps({"results": [{"name": n, "curies": ["C:" + n]} for n in names]})
+
+
+def _responses(spark, sf_dir: str, fail: int | None) -> tuple[DataFrame, DataFrame]:
+    from tessera.plans import send_chunks
+
+    asked = write_once(_asked(spark, sf_dir), "asked")
+    return asked, send_chunks(O.request_bodies(asked), functools.partial(_echo, fail=fail), parallel=8)
+
+
+def positional_correlate(spark, sf_dir):
+    out = O.correlate(*_responses(spark, sf_dir, None))
+    return out.select("ord", "query_name", "resolved", "primary_curie", "hmdb_hint", "order_mismatch", "error")
+
+
+def chunk_failure(spark, sf_dir):
+    out = O.correlate(*_responses(spark, sf_dir, 0))
+    return out.select("ord", "query_name", "resolved", "error")
+
+
+def stream_ndjson(spark, sf_dir):
+    """documents as NDJSON files, streamed to the end."""
+    import uuid
+
+    from tessera.streaming import run_stream, stream_results
+
+    d = _table(spark, sf_dir, "documents")
+    root = f"{_scratch_root(spark)}/stream-{uuid.uuid4().hex}"
+    line = F.when(F.col("doc_id") % 10 == 0, F.lit('{"name":')).otherwise(F.to_json(F.struct(F.concat(F.lit("n"), F.col("doc_id").cast("string")).alias("name"), F.array("lang").alias("curies"))))
+    d.select(line.alias("value")).write.text(f"{root}/in")
+    run = run_stream(stream_results(spark, f"{root}/in"), f"{root}/out", f"{root}/checkpoint")
+    return run.results.select("query_name", "resolved", "primary_curie", F.col("error").isNotNull().alias("bad"))
+
+
+def _scratch_root(spark) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        write_once(spark.range(1), "root")
+        root = spark.conf.get("spark.checkpoint.dir")
+    return root.rstrip("/")
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    """Feature table to queue, resolved offline against recorded entries, flat, joined back to the features."""
+    queue = O.build_queue(_features(spark, sf_dir))
+    recorded = _entries(spark, sf_dir).groupBy("name").agg(F.min_by("entry", "ord").alias("entry")).select("name", F.from_json("entry", RAW).alias("raw"))
+    resolved = O.from_batch_entry(O.resolve_offline(queue.select("ord", "name", "hmdb_hint"), recorded), hint=F.col("hmdb_hint"))
+    return O.join_back(O.flatten(resolved, keep=["ord"]), queue).select("feature_id", "query_name", "match_level", "hmdb_hint", "resolved", "primary_curie", "confidence_tier", "chebi_ids", "error")
 
 
 def queries():
-    return {}
+    own = (
+        clean_name, extract_id, sql_functions, mapping_queue, queue_limit, api_record, join_back, build_results, flatten, ids_for, envelope_rules, ndjson_malformed,
+        best_score, parse_props, tier, tier_filter, tier_counts, summary, vocab_coverage, coverage_top, catalog_json, catalog_resolve, chunk_counts, positional_correlate, chunk_failure, stream_ndjson, flagship,
+    )
+    return {f.__name__: f for f in own} | {"invert_aliases": invert}
 
 
 def oracle_sql():
-    return {}
+    invert_sql = "SELECT CAST(r_regionkey AS INT) AS pos, r_name AS type, coalesce(string_agg(n_name, ',' ORDER BY n_name), '') AS aliases FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name"
+    tiers = f"SELECT event_id, {_TIER_SQL.format('score')} AS confidence_tier FROM s"
+    hint = "CASE WHEN p_partkey % 3 < 2 THEN 'HMDB' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') END"
+    return {
+        "clean_name": "SELECT p_partkey AS ord, p_name AS name FROM part",
+        "extract_id": f"SELECT p_partkey AS ord, {hint} AS hint FROM part",
+        "sql_functions": f"SELECT p_partkey AS ord, p_name AS name, {hint} AS hint, {_TIER_SQL.format('(p_partkey / 50.0)')} AS tier FROM part",
+        "mapping_queue": f"WITH {_FEATURES_SQL} SELECT name, hmdb_hint, feature_ids, {_LEVEL_SQL} AS match_level, first_ord FROM q",
+        "queue_limit": f"WITH {_FEATURES_SQL} SELECT name, hmdb_hint, feature_ids, {_LEVEL_SQL} AS match_level, first_ord FROM q ORDER BY first_ord LIMIT 10",
+        "api_record": f"""WITH {_FEATURES_SQL} SELECT first_ord AS ord, name, CASE WHEN hmdb_hint IS NOT NULL THEN '{{"HMDB":"' || hmdb_hint || '"}}' END AS identifiers FROM q""",
+        "join_back": f"WITH {_FEATURES_SQL} SELECT first_ord AS ord, feature_id, q.name AS query_name, {_LEVEL_SQL} AS match_level FROM f JOIN q ON f.name = q.name",
+        "build_results": f"""WITH {_RESULTS_SQL} SELECT ord, query_name, resolved, CASE WHEN resolved THEN 'C:' || k END AS primary_curie,
+            CASE WHEN NOT failed THEN 'K' || k END AS chosen_kg_id, CASE WHEN NOT failed THEN score END AS confidence_score,
+            CASE WHEN failed THEN '' ELSE 'CHEBI,HMDB' END AS vocabularies, CASE WHEN failed THEN '' ELSE k || ';9' || k END AS chebi,
+            CASE WHEN failed THEN 'not found' END AS error FROM r""",
+        "flatten": f"""WITH {_RESULTS_SQL} SELECT ord, query_name, '' AS hmdb_hint, resolved, CASE WHEN resolved THEN 'C:' || k ELSE '' END AS primary_curie,
+            CASE WHEN failed THEN '' ELSE 'K' || k END AS chosen_kg_id, CASE WHEN NOT failed THEN score END AS confidence_score,
+            CASE WHEN failed THEN 'unknown' WHEN score >= 2 THEN 'high' WHEN score >= 1 THEN 'medium' ELSE 'low' END AS confidence_tier,
+            CASE WHEN failed THEN '' ELSE 'H' || k END AS hmdb_ids, '' AS pubchem_ids, CASE WHEN failed THEN '' ELSE k || ';9' || k END AS chebi_ids,
+            '' AS refmet_ids, CASE WHEN failed THEN 'not found' ELSE '' END AS error FROM r""",
+        "ids_for": f"WITH {_RESULTS_SQL} SELECT ord, CASE WHEN failed THEN '' ELSE 'H' || k END AS hmdb, CAST(CASE WHEN failed THEN 0 ELSE 2 END AS BIGINT) AS n_chebi, CAST(0 AS BIGINT) AS n_none FROM r",
+        "envelope_rules": f"""WITH {_RESULTS_SQL} SELECT ord, query_name, ord % 4 = 0 AND resolved AS resolved,
+            CASE WHEN ord % 4 = 0 AND failed THEN 'not found' WHEN ord % 4 = 1 THEN 'refused ' || k WHEN ord % 4 = 2 THEN 'None' WHEN ord % 4 = 3 THEN 'Empty result from API' END AS error,
+            ord % 4 IN (0, 3) AS has_raw FROM r""",
+        "ndjson_malformed": """SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN '<unknown>' ELSE 'n' || doc_id END AS query_name, doc_id % 10 <> 0 AS resolved,
+            CASE WHEN doc_id % 10 <> 0 THEN lang END AS primary_curie, doc_id % 10 = 0 AS bad FROM documents WHERE doc_id % 7 <> 0""",
+        "best_score": """SELECT event_id, greatest(CASE event_id % 4 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 1.5::DOUBLE END, CASE WHEN event_id % 5 = 0 THEN 1.25::DOUBLE END) AS score FROM events""",
+        "parse_props": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
+        "tier": f"WITH {_SCORED_SQL} {tiers}",
+        "tier_filter": f"WITH {_SCORED_SQL} SELECT * FROM ({tiers}) WHERE confidence_tier IN ('medium', 'low')",
+        "tier_counts": f"WITH {_SCORED_SQL} SELECT confidence_tier, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM events), 6) AS percent FROM ({tiers}) GROUP BY 1",
+        "summary": f"""WITH {_SCORED_SQL} SELECT count(*) AS total_queried, count(*) FILTER (WHERE resolved) AS resolved, count(*) FILTER (WHERE NOT resolved) AS unresolved,
+            count(*) FILTER (WHERE failed AND NOT resolved) AS errors, count(*) FILTER (WHERE resolved)::DOUBLE / count(*) AS resolution_rate FROM s""",
+        "vocab_coverage": _COVERAGE_SQL,
+        "coverage_top": f"SELECT vocab, n FROM ({_COVERAGE_SQL}) ORDER BY n DESC, vocab LIMIT 2",
+        "invert_aliases": invert_sql,
+        "catalog_json": f"SELECT type, aliases FROM ({invert_sql})",
+        "catalog_resolve": """SELECT o_orderkey, o_custkey AS custkey, c_custkey IS NOT NULL AS resolved, c_mktsegment AS primary_curie
+            FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')) ON o_custkey = c_custkey""",
+        "chunk_counts": "SELECT event_id // 1000 AS chunk_id, count(*) AS n FROM events GROUP BY 1",
+        "positional_correlate": """SELECT event_id AS ord, 'e' || event_id AS query_name, true AS resolved, 'C:e' || event_id AS primary_curie,
+            CASE WHEN event_id % 2 = 0 THEN event_type END AS hmdb_hint, false AS order_mismatch, CAST(NULL AS VARCHAR) AS error FROM events""",
+        "chunk_failure": "SELECT event_id AS ord, 'e' || event_id AS query_name, event_id >= 1000 AS resolved, CASE WHEN event_id < 1000 THEN 'HTTP 500' END AS error FROM events",
+        "stream_ndjson": """SELECT CASE WHEN doc_id % 10 = 0 THEN '<unknown>' ELSE 'n' || doc_id END AS query_name, doc_id % 10 <> 0 AS resolved,
+            CASE WHEN doc_id % 10 <> 0 THEN lang END AS primary_curie, doc_id % 10 = 0 AS bad FROM documents""",
+        "flagship": f"""WITH {_FEATURES_SQL}, {_RESULTS_SQL}, fr AS (SELECT query_name, arg_min(resolved, ord) AS resolved, arg_min(failed, ord) AS failed, arg_min(k, ord) AS k, arg_min(score, ord) AS score FROM r GROUP BY query_name)
+            SELECT feature_id, q.name AS query_name, {_LEVEL_SQL} AS match_level, coalesce(hmdb_hint, '') AS hmdb_hint, resolved, CASE WHEN resolved THEN 'C:' || k ELSE '' END AS primary_curie,
+            CASE WHEN failed THEN 'unknown' WHEN score >= 2 THEN 'high' WHEN score >= 1 THEN 'medium' ELSE 'low' END AS confidence_tier,
+            CASE WHEN failed THEN '' ELSE k || ';9' || k END AS chebi_ids, CASE WHEN failed THEN 'not found' ELSE '' END AS error
+            FROM f JOIN q ON f.name = q.name JOIN fr ON fr.query_name = q.name""",
+    }
