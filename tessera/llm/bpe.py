@@ -20,7 +20,9 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+import re
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +35,16 @@ from tessera.llm.common import map_batches, tokenizer_path
 #: Longest word, in parts, that the rank array handles.
 SHORT = 64
 #: Pieces that a Python worker remembers per generation; two generations are kept.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 _NONE = 1 << 30
 #: Splitter of byte-level vocabularies whose file says only use_regex (fixed value).
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: Separators that split() takes for white space and the vocabularies do not; white space of more than one character.
+_ODD_SPACE, _LONG_SPACE = re.compile("[\x1c-\x1f]"), re.compile(r"\s\s")
+
+
 def byte_alphabet() -> list[str]:
     """One printable character for each byte: printable Latin-1 stands for itself, the rest is moved above U+0100."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -54,6 +60,25 @@ def lower(text: str) -> str:
     return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
 
 
+class Remembered(dict):
+    """Results by piece: two generations, so that frequent pieces survive when the young one is full."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        got = self.old.get(piece)
+        if got is None:
+            got = self.make(piece)
+        if len(piece) <= SHORT:
+            if len(self) >= REMEMBERED:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = got
+        return got
+
+
 class Codec:
     """Encoder and decoder for one vocabulary file."""
 
@@ -81,8 +106,8 @@ class Codec:
         for rank, (left, right) in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"]):
             self.ranks.setdefault(ids[left] << 20 | ids[right], rank)
             self.merged.append(ids[left + right])
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known = Remembered(self.encode_piece)
+        self.words = Remembered(self.encode_word)
 
     def merge(self, parts: list[int]) -> list[int]:
         """The rank array: parts lie between boundaries, ranks[i] belongs to the boundary after part i."""
@@ -128,31 +153,36 @@ class Codec:
     def encode_piece(self, piece: str) -> bytes:
         """Ids of one piece of the splitter; no merge leaves a piece."""
         letters = piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(self.latin)
-        ids = self.merge_letters(letters)
-        return np.array(ids, np.uint32).tobytes()
+        return array("I", self.merge_letters(letters)).tobytes()
 
     def merge_letters(self, letters: str) -> list[int]:
         parts = [self.vocab[c] for c in letters[:-1]]
         return self.merge([*parts, self.vocab[letters[-1] + self.suffix]])
 
-    def remember(self, piece: str) -> bytes:
-        got = self.old.get(piece)
-        if got is None:
-            got = self.encode_piece(piece)
-        if len(piece) <= SHORT:
-            if len(self.young) >= REMEMBERED:
-                self.old, self.young = self.young, {}
-            self.young[piece] = got
-        return got
+    def encode_word(self, word: str) -> bytes:
+        """Ids of what lies between two places where no piece of the splitter can go on.
+
+        By word: what stands between white space. Byte level: a single blank and
+        what follows it up to the next, the blank left out of ``word``; a line
+        feed there stands for itself.
+        """
+        known = self.known
+        if not self.by_word and not word.startswith("\n"):
+            word = " " + word
+        elif word.isalpha():
+            return known[word]
+        return b"".join([known[p] for p in self.pieces(word)])
 
     def _plain(self, text: str) -> bytes:
+        words, known = self.words, self.known
         if self.by_word:
             text = lower(text if text.isascii() else unicodedata.normalize("NFC", text))
-        pieces, known = self.pieces(text), self.young
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            return b"".join([self.young.get(p) or self.remember(p) for p in pieces])
+            if not _ODD_SPACE.search(text):
+                return b"".join([words[w] for w in text.split()])
+        elif not _LONG_SPACE.search(text):
+            first, *rest = text.replace("\n", " \n").split(" ")
+            return b"".join([*(known[p] for p in self.pieces(first)), *[words[w] for w in rest]])
+        return b"".join([known[p] for p in self.pieces(text)])
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
@@ -217,8 +247,8 @@ def decode(df: DataFrame, path: str, *, ids_col: str = "ids", out_col: str = "te
 
     def run(columns):
         own, ids = codec(path), columns[0]
-        flat, ends = ids.values.to_pylist(), ids.offsets.to_pylist()
-        return [pa.array([own.decode(flat[a:b]) for a, b in zip(ends, ends[1:])], pa.string())]
+        flat, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_pylist()
+        return [pa.array([own.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:])], pa.string())]
 
     carry = [c for c in (carry or df.columns) if c != out_col]
     return map_batches(df, carry, [F.coalesce(F.col(ids_col), F.array().cast("array<int>"))], run, {out_col: "string"})

@@ -104,7 +104,7 @@ def tokenizer_path(name: str) -> str:
 
 
 #: Rows and bytes of text that one call of a batch function gets at most (a longer single text goes alone).
-SLICE_ROWS, SLICE_BYTES = 2048, 16 << 20
+SLICE_ROWS, SLICE_BYTES = 512, 8 << 20
 
 
 def slices(batch: pa.RecordBatch):
