@@ -73,7 +73,7 @@ def test_clean_name_on_random_texts(spark):
 
 def test_extract_id_on_random_texts(spark):
     rng = random.Random(6)
-    parts = ["HMDB", "HMDB:", "12345", "0", " ", "_", "x", "é"]
+    parts = ["HMDB", "HMDB:", "HMDB12345", "12345", "0", " ", " ", "_", "x", "é"]
     texts = ["".join(rng.choices(parts, k=rng.randint(0, 7))) for _ in range(4000)]
 
     def want(t):

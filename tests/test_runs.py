@@ -1,9 +1,11 @@
 import json
+import sys
 import threading
 import warnings
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
+from pyspark import cloudpickle
 
 from tessera import operators as O
 from tessera import plans
@@ -11,6 +13,8 @@ from tessera.errors import AuthError, ConfigError, HttpStatusError, MappingError
 from tessera.sources import HttpTransport, Settings, dataset_records, for_each_result, from_records, read_dataset, results_to_pandas, save_results, write_json_lines
 from tessera.streaming import run_stream, stream_results
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def echo(body):
     return json.dumps({"results": [{"name": e["name"], "curies": ["C:" + e["name"]]} for e in json.loads(body)["entities"]], "metadata": {}, "summary": {"n": 1}})
