@@ -197,7 +197,8 @@ def candidates(sorted_orders: DataFrame) -> DataFrame:
                     region, key = Region(), int(keys[a])
                 inner = 0 < a and b < len(keys)
                 for c in range(a, b, CHUNK):
-                    out += [(kind, min(x, y), max(x, y), 0, pid) for kind, x, y in region.add(ids[c : c + CHUNK], sizes[c : c + CHUNK], inner and b - a <= CHUNK)]
+                    d = min(b, c + CHUNK)
+                    out += [(kind, min(x, y), max(x, y), 0, pid) for kind, x, y in region.add(ids[c:d], sizes[c:d], inner and b - a <= CHUNK)]
                     if len(out) > 20_000:
                         yield flush(out)
                         out = []
