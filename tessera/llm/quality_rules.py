@@ -29,7 +29,7 @@ PRIOR_ROWS = (1.0, 1e6)
 
 METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
-_SPACE = " \\t\\n\\u000B\\f\\r"
+_SPACE = " \\t\\n\\u000B\\u000C\\r"
 #: Positions of the 3-word windows that occur again, counted as covered words.
 #: The outer transform binds the sorted windows once for the inner lambdas.
 _REPEATS = """
