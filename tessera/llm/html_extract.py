@@ -6,7 +6,8 @@ notice, advert, form or comments are bad; those of a declared article or main
 part are good; all others are judged by link density, length and the share of
 stop words. Short blocks and blocks of middling density stay undecided. The
 second pass gives each of them the label of the nearest decided block on either
-side: if these disagree, a block of middling density is good and a short one
+side (what a container decided ends with it and says nothing of the blocks
+around): if these disagree, a block of middling density is good and a short one
 takes the nearer side's label (on a tie it is good if it ends as a sentence
 without links); headings look downwards only. A page without any good block
 starts from its longest undecided one.
@@ -55,6 +56,8 @@ ASIDE = frozenset("nav header footer aside form menu dialog search".split())
 HINTS = frozenset(
     "ad ads adbox adsense advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies copyright dialog disclaimer discussion disqus donate feedback footer form gdpr header login masthead menu modal nav navbar navigation navi newsletter notice notices notification outbrain overlay pager pagination paywall popup promo promoted promotion recommended recommendations related replies reply respond responses rss search share sharing sharebar sidebar signup skip social sponsor sponsored subscribe subscription taboola teaser toolbar topbar warning widget".split()
 )
+#: Words that make a div or section the main part (fixed values).
+MAIN_WORDS = frozenset("article articlebody entry story".split())
 #: Words before a hint that take it back: has-sidebar, with-comments.
 NEGATED = frozenset(("has", "with", "no", "without", "not"))
 #: A main part that names itself one of these is none.
@@ -73,7 +76,7 @@ _TOKEN = re.compile(
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
-_ATTR = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"\b(class|id|role|itemprop|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"\w+")
 _CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -86,25 +89,26 @@ class Block:
 
 
 def _hinted(name: str, attr: str) -> str:
-    """'' or what the element's own name and attributes say: silent, aside or main."""
+    """'' or what the element's own name and attributes say: silent, aside, title (a header) or main."""
     if name in SILENT:
         return "silent"
-    said, words = "", []
+    words: list[str] = []
     for key, *values in _ATTR.findall(attr) if attr else ():
         value, key = "".join(values), key.lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
             return "silent"
-        if key in ("class", "id", "role"):
+        if key in ("class", "id", "role", "itemprop"):
             for part in value.split():
-                own = [w.lower() for w in _CAMEL.findall(part)]
+                own = [w.lower() for w in _CAMEL.findall(part)] if part.lower() != "articlebody" else ["articlebody"]
                 words += [w for i, w in enumerate(own) if not i or own[i - 1] not in NEGATED]
     if name in ("article", "main") or "role" in attr and "main" in words:
         return "aside" if NOT_MAIN.intersection(words) else "main"
-    if name in ASIDE:
-        said = "aside"
-    elif name not in ("html", "body", "p", *HEADINGS) and HINTS.intersection(words):
-        said = "aside"
-    return said
+    hints = HINTS.intersection(words) if name not in ("html", "body", *HEADINGS) else frozenset()
+    if name == "header" or hints == {"header"}:
+        return "title"
+    if name in ASIDE or hints:
+        return "aside"
+    return "main" if name in ("div", "section") and MAIN_WORDS.intersection(words) else ""
 
 
 def blocks(page: str) -> list[Block]:
@@ -171,10 +175,10 @@ def blocks(page: str) -> list[Block]:
         if m["attr"].endswith("/") and not block:
             continue
         said, held_by = _hinted(name, m["attr"]), state()
-        if name == "header" and held_by == "main":
-            said = "title"
+        if said == "title" and held_by != "main":
+            said = "aside"
         if held_by == "title" and name in HEADINGS:
-            said, held_by = "main", ""
+            said = "main"
         inside = held_by if held_by in ("silent", "aside") or not said else said
         stack.append((name, inside))
     close()
@@ -207,7 +211,7 @@ def inherit(found: list[Block]) -> None:
     for step, near in ((1, before), (-1, after)):
         label, away = None, n
         for i in range(n)[::step]:
-            if found[i].label is not None:
+            if found[i].label is not None and found[i].place not in ("aside", "title"):
                 label, away = found[i].label, 0
             near[i], away = (label, away), away + 1
     if not any(b.label for b in found) and any(b.label is None for b in found):

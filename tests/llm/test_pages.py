@@ -21,6 +21,8 @@ PAGES = [
     ("<nav><a href=/>Home</a></nav><article class='has-sidebar'><p>x</p><!-- <p>no</p> --></article>", "x"),
     ("<article><p>x<p hidden>y</p><p style='display:none'>z</p></article>", "x"),
     ("<article><p>unclosed <b>bold <p>next", "unclosed bold\nnext"),
+    ("<header><h1>Site</h1></header><div itemprop=articleBody><div class=post-header><h1>T</h1><p>by</p></div><p>x</p><p class=advert>buy</p></div><p>out</p>", "T\nx"),
+    ("<article><p>x</p></article><section class='comments'><article class='comment'><p>first!</p></article></section><aside class='sidebar'><p>s</p></aside>", "x"),
     ("<article><p title='a > b'>q</p></article>", "q"),
     ("<article><div class='ad'><p>buy</p></div><p>" + "w " * 20000 + "</p></article>", " ".join(["w"] * 20000)),
     (f"<div><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul></div><div><h2>Title here</h2><p>{LONG}{LONG}</p><p>Short.</p><p>{LONG}{LONG}</p></div><div>© 2020 Somebody</div>", f"Title here\n{(LONG * 2).strip()}\nShort.\n{(LONG * 2).strip()}"),
