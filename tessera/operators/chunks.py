@@ -50,9 +50,10 @@ def correlate(chunked: DataFrame, responses: DataFrame) -> DataFrame:
         .when(got != F.col("n"), F.concat(F.lit("Expected "), F.col("n"), F.lit(" results, got "), got))
     )
     checked = parsed.select("chunk_id", failure.alias("__failure"), F.col("__env.results").alias("__results"))
-    joined = chunked.join(checked, "chunk_id", "left")
-    entry = F.when(F.col("__failure").isNull(), F.get("__results", F.col("pos")))
-    joined = joined.withColumn("__entry", entry).drop("__results")
+    # entry by entry, so that no row carries its whole chunk
+    entries = checked.where("__failure IS NULL").select("chunk_id", F.posexplode("__results").alias("pos", "__entry"))
+    failed = checked.where("__failure IS NOT NULL").select("chunk_id", "__failure")
+    joined = chunked.join(entries, ["chunk_id", "pos"], "left").join(failed, "chunk_id", "left")
     name, hint = F.col("request.name"), F.try_element_at(F.col("request.identifiers"), F.lit(HINT_VOCABULARY))
     failure = F.when(F.col("__entry").isNull(), F.coalesce("__failure", F.lit("No response")))
     joined = joined.withColumn("order_mismatch", F.coalesce((F.col("__entry.name") != "") & (F.col("__entry.name") != name), F.lit(False)))
