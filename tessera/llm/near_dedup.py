@@ -3,19 +3,21 @@
 A document is the set of its distinct word shingles. Rows with equal sets form
 a class, and one document stands for it, so copies cost one row each from then
 on. The signatures of the classes are sorted in TREES orders (rotations of one
-signature). Classes whose first BASE values agree form a region; in a small
-region all pairs are candidates, in a larger one the depth adapts: a class's
-candidates are its neighbours in the order, those with the longest common
-prefix. So the work in a region grows with its members, not with their pairs.
-Each region also proposes its smallest member as a hub.
-
-Candidates are confirmed on the full sets, in two steps. First each class is
-held against the hub it met in most trees; hub links join large groups of
-copies at once. Then all candidates that still lie in different components are
-held against each other's signature, and those not far below the threshold
-against the full sets. No bucket is cut: orders are dealt by range over
-(region, suffix, id), so even a region with a third of all rows spreads over
-the tasks, and what partition borders cut apart is stitched.
+signature). Classes whose first BASE values agree form a region.
+
+Candidates are confirmed on the full sets, in two passes. In the first each
+region proposes its smallest member as a hub, and each class is held against the
+hub it met in most orders; that joins large groups of copies at once. In the
+second the depth adapts to the region: in sorted order, so by longest common
+prefix first, rows look at the rows around them that belong to other components
+and whose sketch (a bit of each value) could be near enough; of two components
+the smaller one's rows ask, and they ask the nearest rows of each. A crowded
+region thus compares the deepest prefixes, a sparse one all its pairs, and the
+rows made grow with the rows read.
+Pairs whose signatures lie far below the threshold are dropped, the others are
+held against the full sets. Orders are dealt by range over (region, suffix, id),
+so even a region with a third of all rows spreads over the tasks, and what
+partition borders cut apart is stitched.
 
 Defined results: a text without words, or null, has an empty set, is linked
 with nothing and is its own component; fewer words than a shingle form one
@@ -28,6 +30,8 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +47,15 @@ from tessera.llm.components import components
 WORDS, PERCENT = 5, 75
 #: Signature values; orders; values that make a region; further values that an order sorts by.
 HASHES, TREES, BASE, SUFFIX = 128, 32, 4, 12
-#: A region up to this size gives all its pairs; in larger ones each class meets so many neighbours before it.
-SMALL, NEAR = 8, 4
+#: A row is compared with so many rows of each of so many nearest other components, found within so many places of it in an order.
+BEST, NEAR, WINDOW = 4, 8, 64
 #: Rows of one region that a task holds at once.
 CHUNK = 8192
 #: Matching signature values below which a pair isn't held against the full sets: six standard deviations under the threshold.
 LEAST_MATCHES = int(HASHES * PERCENT / 100 - 6 * (HASHES * PERCENT / 100 * (1 - PERCENT / 100)) ** 0.5)
+#: A sketch holds one bit of each signature value; two sketches that differ in more bits are no candidates: six standard deviations from the threshold.
+MOST_FLIPS = int(HASHES * (1 - PERCENT / 100) / 2 + 6 * (HASHES * (1 - PERCENT / 100) / 2 * (1 + PERCENT / 100) / 2) ** 0.5)
+SKETCH = HASHES // 8
 #: Words that a Python worker remembers the hash of.
 REMEMBERED = 500_000
 
@@ -119,7 +126,7 @@ def describe(df: DataFrame, key: str, text_col: str) -> DataFrame:
 
 
 def orders(classes: DataFrame) -> DataFrame:
-    """For each class and order: region, suffix, id, n_shingles."""
+    """For each class and order: region, suffix (SUFFIX values, then the sketch), id, n_shingles."""
 
     def turn(batches):
         order = (np.arange(TREES)[:, None] * (HASHES // TREES) + np.arange(BASE + SUFFIX)) % HASHES
@@ -133,9 +140,11 @@ def orders(classes: DataFrame) -> DataFrame:
                 for j in range(BASE):
                     region = (region ^ (region >> np.uint64(31))) * mult[j] + values[:, :, j]
                 region = ((region ^ (region >> np.uint64(32))) * mult[BASE]).view(np.int64)
-                suffix = np.ascontiguousarray(values[:, :, BASE:].astype(">u2"))
+                sketch = np.packbits((sigs & 1).astype(np.uint8), axis=1)
+                deeper = np.ascontiguousarray(values[:, :, BASE:].astype(">u2")).view(np.uint8)
+                suffix = np.concatenate([deeper, np.repeat(sketch[:, None], TREES, 1)], axis=2)
                 rows = len(sigs) * TREES
-                ends = np.arange(rows + 1, dtype=np.int32) * (2 * SUFFIX)
+                ends = np.arange(rows + 1, dtype=np.int32) * (2 * SUFFIX + SKETCH)
                 binary = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(ends), pa.py_buffer(suffix)])
                 ids, sizes = (np.repeat(part.column(i).to_numpy(), TREES) for i in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(region.ravel()), binary, pa.array(ids), pa.array(sizes)], names=["region", "suffix", "id", "n"])
@@ -143,92 +152,198 @@ def orders(classes: DataFrame) -> DataFrame:
     return classes.select("id", "n_shingles", "signature").mapInArrow(turn, "region long, suffix binary, id long, n long")
 
 
-class Region:
-    """Rows of one region, given in order; yields (kind, a, b)."""
+class Hubs:
+    """Rows of one region, given in order; yields (id, hub) for each, and links the hubs of its pieces."""
 
     def __init__(self):
-        self.hub, self.tail = None, []
+        self.hub, self.held = None, None
 
-    def add(self, ids: np.ndarray, sizes: np.ndarray, last: bool):
-        first = self.hub is None
+    def add(self, ids: np.ndarray):
         hub = int(ids.min())
-        if not first and hub != self.hub:
-            yield 0, self.hub, hub
+        if self.hub is not None and hub != self.hub:
+            yield max(hub, self.hub), min(hub, self.hub)
         for i in ids.tolist():
-            if i != hub:
-                yield 0, hub, i
-        self.hub = hub if first else min(hub, self.hub)
-        rows = [*self.tail, *zip(ids.tolist(), sizes.tolist())]
-        reach = len(rows) if first and last and len(rows) <= SMALL else NEAR
-        if len(rows) > 2:
-            for i in range(max(len(self.tail), 1), len(rows)):
-                b, m = rows[i]
-                for a, n in rows[max(0, i - reach) : i]:
-                    if a != b and 100 * min(m, n) >= PERCENT * max(m, n):
-                        yield 1, a, b
-        self.tail = rows[-NEAR:]
-
-
-def candidates(sorted_orders: DataFrame) -> DataFrame:
-    """(a, b, trees, hub): distinct pairs a < b with the number of regions that proposed b the hub a."""
+            yield i, hub
+        self.hub = hub if self.hub is None else min(hub, self.hub)
+
+
+class Neighbours:
+    """Rows (id, size, component, rows of the component, sketch) of one region, given in order; yields the pairs to be compared.
+
+    Of two components the smaller one asks. Each of its rows looks WINDOW places
+    to either side, at rows whose size and sketch allow a link, and asks the BEST
+    of each of the NEAR other components that have the nearest sketches.
+    """
+
+    def __init__(self):
+        self.rows, self.at = deque(), 0
+
+    def add(self, row: tuple[int, int, int, int, int]):
+        self.rows.append(row)
+        if len(self.rows) - self.at > WINDOW:
+            yield from self.ask()
+
+    def end(self):
+        while self.at < len(self.rows):
+            yield from self.ask()
+
+    def ask(self):
+        i, n, c, members, sketch = self.rows[self.at]
+        found: dict[int, list[tuple[int, int]]] = {}
+        for j, m, d, others, other in self.rows:
+            if d == c or (members, c) > (others, d):
+                continue
+            flips = (sketch ^ other).bit_count()
+            if flips <= MOST_FLIPS and 100 * min(m, n) >= PERCENT * max(m, n):
+                found.setdefault(d, []).append((flips, j))
+        for _, asked in heapq.nsmallest(NEAR, ((min(x), x) for x in found.values())):
+            for _, j in heapq.nsmallest(BEST, asked):
+                yield min(i, j), max(i, j)
+        self.at += 1
+        if self.at > WINDOW:
+            self.rows.popleft()
+            self.at -= 1
+
+
+def _runs(keys: np.ndarray):
+    cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+    return np.append(0, cuts), np.append(cuts, len(keys))
+
+
+def _table(rows: list[tuple], names: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, names.values())], names=list(names))
+
+
+def crowd(sorted_orders: DataFrame) -> DataFrame:
+    """Materialized: (region, suffix, id, n, hub) of the rows that share a region with others.
+
+    Regions that partition borders cut are put together by the borders' rows, a
+    few for each partition, on the driver: they are (id, hub) links of their own.
+    """
+    names = {"kind": pa.int32(), "pid": pa.int32(), "region": pa.int64(), "suffix": pa.binary(), "id": pa.int64(), "n": pa.int64(), "hub": pa.int64()}
 
     def walk(batches):
-        pid, region, key, out, begun = TaskContext.get().partitionId(), None, None, [], False
+        pid, open_region, hubs, out = TaskContext.get().partitionId(), None, None, []
 
-        def flush(rows):
-            columns = list(zip(*rows)) or [()] * 5
-            types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["kind", "a", "b", "region", "pid"])
+        first_region = None
+
+        def settle(last=False):
+            # a region of one row is no region, but at a partition's end or begin it may be part of one
+            if hubs is not None and hubs.held is not None and (last or open_region == first_region):
+                out.append((2, pid, open_region, *hubs.held, hubs.hub))
 
         for batch in batches:
             keys, ids, sizes = (batch.column(i).to_numpy() for i in (0, 2, 3))
             if not len(keys):
                 continue
-            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-            begins, ends = np.append(0, cuts), np.append(cuts, len(keys))
-            if not begun:
-                begun = True
-                out += [(2, int(ids[i]), int(sizes[i]), int(keys[0]), pid) for i in range(min(NEAR, int(ends[0])))]
-            whole = (ends - begins > 1) & (begins > 0) & (ends < len(keys))
-            whole[0] = whole[-1] = True
-            for k in np.flatnonzero(whole):
+            suffixes = batch.column(1)
+            begins, ends = _runs(keys)
+            wanted = (ends - begins > 1) | (begins == 0) | (ends == len(keys))
+            for k in np.flatnonzero(wanted):
                 a, b = int(begins[k]), int(ends[k])
-                if region is None or keys[a] != key:
-                    region, key = Region(), int(keys[a])
-                inner = 0 < a and b < len(keys)
+                if hubs is None or int(keys[a]) != open_region:
+                    settle()
+                    hubs, open_region = Hubs(), int(keys[a])
                 for c in range(a, b, CHUNK):
                     d = min(b, c + CHUNK)
-                    out += [(kind, min(x, y), max(x, y), 0, pid) for kind, x, y in region.add(ids[c:d], sizes[c:d], inner and b - a <= CHUNK)]
+                    values = suffixes.slice(c, d - c).to_pylist()
+                    known = hubs.hub is not None
+                    found = list(hubs.add(ids[c:d]))
+                    links, rows = found[: len(found) - (d - c)], found[len(found) - (d - c) :]
+                    out += [(1, pid, open_region, None, i, None, h) for i, h in links]
+                    whole = [(0, pid, open_region, v, i, n, h) for v, (i, h), n in zip(values, rows, sizes[c:d].tolist())]
+                    if first_region is None:
+                        first_region = open_region
+                        out.append((3, pid, open_region, values[0], rows[0][0], int(sizes[c]), hubs.hub))
+                    if known and hubs.held is not None:
+                        out.append((0, pid, open_region, *hubs.held, hubs.held[1]))
+                        hubs.held = None
+                    if len(whole) == 1 and not known:
+                        hubs.held = (values[0], rows[0][0], int(sizes[c]))
+                    else:
+                        out += whole
                     if len(out) > 20_000:
-                        yield flush(out)
+                        yield _table(out, names)
                         out = []
-        if begun:
-            out += [(3, i, n, key, pid) for i, n in region.tail]
-            out += [(4, region.hub, 0, key, pid)]
-        yield flush(out)
-
-    found = materialize(sorted_orders.mapInArrow(walk, "kind int, a long, b long, region long, pid int"), "candidates")
-    stitched = stitch(found.where("kind > 1").orderBy("pid", "kind").collect())  # a few rows for each partition
-    pairs = found.where("kind < 2").select("kind", "a", "b")
-    if stitched:
-        pairs = pairs.unionByName(found.sparkSession.createDataFrame(stitched, "kind int, a long, b long"))
-    return pairs.groupBy("a", "b").agg(F.sum(F.when(F.col("kind") == 0, 1).otherwise(0)).alias("hubs"))
-
-
-def stitch(rows: list) -> list[tuple[int, int, int]]:
-    """Pairs across the borders of neighbouring partitions whose regions meet there."""
-    out, parts = [], {}
+        if hubs is not None:
+            settle(last=True)
+            out.append((4, pid, open_region, None, hubs.hub, None, hubs.hub))
+        yield _table(out, names)
+
+    ddl = "kind int, pid int, region long, suffix binary, id long, n long, hub long"
+    return materialize(sorted_orders.mapInArrow(walk, ddl), "crowd")
+
+
+def stitch(rows: list) -> list[tuple[int, int]]:
+    """(id, hub) links across the borders of neighbouring partitions whose regions meet there."""
+    parts: dict[int, dict[int, tuple[int, int]]] = {}
     for r in rows:
-        parts.setdefault(r["pid"], {2: [], 3: [], 4: []})[r["kind"]].append((r["a"], r["b"], r["region"]))
+        parts.setdefault(r["pid"], {})[r["kind"]] = (r["region"], r["hub"])
     ordered = [parts[p] for p in sorted(parts)]
-    for one, two in zip(ordered, ordered[1:]):
-        if one[4][0][2] != two[2][0][2]:
-            continue
-        heads = [(a, n) for a, n, _ in two[2]]
-        pairs = [(0, one[4][0][0], heads[0][0]), *((1, a, b) for a, m, _ in one[3] for b, n in heads if 100 * min(m, n) >= PERCENT * max(m, n))]
-        if two[4][0][2] == two[2][0][2]:
-            pairs.append((0, one[4][0][0], two[4][0][0]))
-        out += [(k, min(a, b), max(a, b)) for k, a, b in pairs if a != b]
+    links = [(one[4][1], two[3][1]) for one, two in zip(ordered, ordered[1:]) if one[4][0] == two[3][0]]
+    links += [(one[4][1], two[4][1]) for one, two in zip(ordered, ordered[1:]) if one[4][0] == two[3][0] == two[4][0]]
+    return [(max(a, b), min(a, b)) for a, b in links if a != b]
+
+
+def hub_pairs(found: DataFrame) -> DataFrame:
+    """(a, b): each class with the hub it met in most trees, the smaller on a tie."""
+    borders = stitch(found.where("kind > 2").select("pid", "kind", "region", "hub").orderBy("pid", "kind").collect())
+    met = found.where("kind < 2 AND id <> hub").select("id", "hub")
+    if borders:
+        met = met.unionByName(found.sparkSession.createDataFrame(borders, "id long, hub long"))
+    votes = met.select(F.greatest("id", "hub").alias("b"), F.least("id", "hub").alias("a")).groupBy("a", "b").agg(F.count("*").alias("n"))
+    return votes.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
+
+
+def neighbour_pairs(sorted_rows: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) from rows (region, id, n, c, members, suffix) in order; border rows of a partition, WINDOW at either end, go over the driver."""
+    names = {"pid": pa.int32(), "end": pa.int32(), "region": pa.int64(), "a": pa.int64(), "b": pa.int64(), "c": pa.int64(), "members": pa.int64(), "sketch": pa.binary()}
+
+    def walk(batches):
+        pid, region, near, out, head = TaskContext.get().partitionId(), None, None, [], None
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(6)]
+            for key, i, n, c, members, suffix in zip(*columns):
+                if key != region:
+                    if head is None:
+                        head = (key, 0)
+                    if near is not None:
+                        out += [(pid, None, region, a, b, None, None, None) for a, b in near.end()]
+                    region, near = key, Neighbours()
+                if key == head[0] and head[1] < WINDOW:
+                    out.append((pid, 0, key, i, n, c, members, suffix[-SKETCH:]))
+                    head = (key, head[1] + 1)
+                row = (i, n, c, members, int.from_bytes(suffix[-SKETCH:]))
+                out += [(pid, None, key, a, b, None, None, None) for a, b in near.add(row)]
+                if len(out) > 20_000:
+                    yield _table(out, names)
+                    out = []
+        if near is not None:
+            out += [(pid, None, region, a, b, None, None, None) for a, b in near.end()]
+            out += [(pid, 1, region, *row[:4], row[4].to_bytes(SKETCH)) for row in list(near.rows)[-WINDOW:]]
+        yield _table(out, names)
+
+    chosen = sorted_rows.select("region", "id", "n", "c", "members", "suffix")
+    found = materialize(chosen.mapInArrow(walk, "pid int, end int, region long, a long, b long, c long, members long, sketch binary"), "neighbours")
+    pairs = found.where("end IS NULL").select("a", "b")
+    borders = meet_borders(found.where("end IS NOT NULL").drop("kind").collect())
+    if borders:
+        pairs = pairs.unionByName(found.sparkSession.createDataFrame(borders, "a long, b long"))
+    return pairs.distinct()
+
+
+def meet_borders(rows: list) -> list[tuple[int, int]]:
+    """Pairs of rows at the end of one partition and the begin of the next, where one region runs on."""
+    parts: dict[int, tuple[list, list]] = {}
+    for r in rows:
+        parts.setdefault(r["pid"], ([], []))[r["end"]].append((r["region"], (r["a"], r["b"], r["c"], r["members"], int.from_bytes(r["sketch"]))))
+    ordered, out = [parts[p] for p in sorted(parts)], []
+    for (_, tail), (head, _) in zip(ordered, ordered[1:]):
+        if tail and head and tail[0][0] == head[0][0]:
+            near, first = Neighbours(), {row[0] for _, row in tail}
+            pairs = [p for _, row in (*tail, *head) for p in near.add(row)] + list(near.end())
+            out += [(a, b) for a, b in pairs if (a in first) != (b in first)]
     return out
 
 
@@ -266,23 +381,22 @@ def find_duplicates(df: DataFrame, *, key: str = "doc_id", text_col: str = "text
     firsts = materialize(used.groupBy("set_id").agg(F.min("id").alias("class")), "classes")
     standing = used.join(firsts, [used["set_id"] == firsts["set_id"], used["id"] == firsts["class"]], "left_semi")
     classes = materialize(standing.dropDuplicates(["id"]), "standing")
-    sorted_orders = orders(classes).repartitionByRange("region", "suffix", "id").sortWithinPartitions("region", "suffix", "id")
-    pairs = materialize(candidates(sorted_orders), "pairs")
-    members = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "members")
+    place = ("region", "suffix", "id")
+    crowded = crowd(orders(classes).repartitionByRange(*place).sortWithinPartitions(*place))
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = materialize(join_lookup(rows, members.withColumn("__hit", F.lit(True)), "id", F.col("id")).where("__hit").drop("__hit").dropDuplicates(["id"]), "texts")
-
-    hubs = pairs.where("hubs > 0").groupBy("b").agg(F.max_by("a", F.struct("hubs", -F.col("a"))).alias("a")).select("a", "b")
-    hubs = materialize(hubs, "hubs")
-    first_links = confirm(hubs, texts)
-    near = materialize(components(first_links), "near")
-
-    rest = pairs.select("a", "b").join(hubs, ["a", "b"], "left_anti")
-    rest = materialize(rest, "rest")
-    for side in ("a", "b"):
-        rest = join_lookup(rest, near.select(F.col("v").alias(side), F.col("c").alias(f"c{side}")), side, F.col("b" if side == "a" else "a"))
-    rest = materialize(rest.where("coalesce(ca, a) <> coalesce(cb, b)"), "apart")
-    further = confirm(materialize(alike(rest, classes), "alike"), texts)
+    members = materialize(crowded.select("id").distinct().withColumn("__hit", F.lit(True)), "members")
+    texts = materialize(join_lookup(rows, members, "id", F.col("id")).where("__hit").drop("__hit").dropDuplicates(["id"]), "texts")
+
+    first_links = confirm(materialize(hub_pairs(crowded), "hubs"), texts)
+    near = components(first_links)
+    sizes = materialize(near.groupBy("c").agg(F.count("*").alias("members")), "sizes")
+    near = materialize(join_lookup(near, sizes, "c", F.col("v")).select(F.col("v").alias("id"), "c", "members"), "near")
+
+    regions = crowded.where("kind IN (0, 2)").select(*place, "n")
+    labelled = materialize(join_lookup(regions, near, "id", F.xxhash64("region")), "labelled")
+    labelled = labelled.withColumns({"c": F.coalesce("c", "id"), "members": F.coalesce("members", F.lit(1))})
+    apart = neighbour_pairs(labelled.repartitionByRange(*place).sortWithinPartitions(*place))
+    further = confirm(materialize(alike(apart, classes), "alike"), texts)
     labels = components(first_links.unionByName(further))
 
     placed = join_lookup(sets.drop("signature"), firsts, "set_id", F.col("id"))

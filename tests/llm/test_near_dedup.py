@@ -96,17 +96,28 @@ def test_odd_rows(spark, odd, none):
 
 
 def test_regions_meet_across_partition_borders():
-    rows = [{"pid": 0, "kind": 2, "a": 1, "b": 10, "region": 5}, {"pid": 0, "kind": 3, "a": 2, "b": 10, "region": 9}, {"pid": 0, "kind": 4, "a": 2, "b": 0, "region": 9}]
-    rows += [{"pid": 3, "kind": 2, "a": 7, "b": 10, "region": 9}, {"pid": 3, "kind": 3, "a": 8, "b": 10, "region": 9}, {"pid": 3, "kind": 4, "a": 6, "b": 0, "region": 9}]
-    assert set(N.stitch(rows)) == {(0, 2, 7), (1, 2, 7), (0, 2, 6)}
+    rows = [{"pid": 0, "kind": 3, "region": 5, "hub": 1}, {"pid": 0, "kind": 4, "region": 9, "hub": 2}, {"pid": 3, "kind": 3, "region": 9, "hub": 7}, {"pid": 3, "kind": 4, "region": 9, "hub": 6}]
+    assert set(N.stitch(rows)) == {(7, 2), (6, 2)}
     assert N.stitch([dict(r, region=r["pid"]) for r in rows]) == []
-
-
-def test_region_grows_with_its_members():
-    region, pairs = N.Region(), []
-    for at in range(0, 5000, 1000):
-        pairs += list(region.add(np.arange(at, at + 1000), np.full(1000, 50), False))
-    assert len(pairs) < 5000 * (N.NEAR + 2)
+    ends = [{"pid": 0, "end": 1, "region": 9, "a": 2, "b": 10, "c": 2, "members": 1, "sketch": b"a"}, {"pid": 1, "end": 0, "region": 9, "a": 7, "b": 10, "c": 7, "members": 1, "sketch": b"a"}, {"pid": 1, "end": 0, "region": 9, "a": 8, "b": 10, "c": 8, "members": 1, "sketch": b"a"}]
+    assert N.meet_borders(ends) == [(2, 7), (2, 8)]
+
+
+def test_rows_made_grow_with_the_rows():
+    def pairs(rows):
+        near = N.Neighbours()
+        return [p for r in rows for p in near.add(r)] + list(near.end())
+
+    made = pairs((i, 50, i, 1, 0) for i in range(3000))
+    assert 0 < len(made) <= 3000 * N.NEAR
+    assert pairs((i, 50, 0, 100, 0) for i in range(100)) == []
+    group = [(i, 50, 0, 300, (1 << (i % 9)) - 1) for i in range(300)]
+    one = (1000, 50, 1000, 1, (1 << 128) - 1)
+    assert pairs([*group[:150], one, *group[150:]]) == []
+    asked = pairs([*group[:150], (*one[:4], 0), *group[150:]])
+    assert len(asked) == N.BEST and {a % 9 for a, _ in asked} == {0}
+    hubs = N.Hubs()
+    assert list(hubs.add(np.array([5, 3, 9]))) == [(5, 3), (3, 3), (9, 3)] and list(hubs.add(np.array([1, 4]))) == [(3, 1), (1, 1), (4, 1)]
 
 
 def test_signature_estimates_similarity():
