@@ -107,6 +107,15 @@ def tokenizer_path(name: str) -> str:
 SLICE_ROWS, SLICE_BYTES = 512, 8 << 20
 
 
+#: Rows of an Arrow batch where the session leaves Spark's default: texts of ten thousand rows are much for one worker.
+BATCH_SETTING, BATCH_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1024"
+
+
+def smaller_batches(spark: SparkSession) -> None:
+    if spark.conf.get(BATCH_SETTING, BATCH_DEFAULT) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
+
+
 def slices(batch: pa.RecordBatch):
     """Parts of a batch within SLICE_ROWS and about SLICE_BYTES, in order."""
     step = max(1, min(SLICE_ROWS, int(SLICE_ROWS * SLICE_BYTES / max(batch.nbytes, 1)) or 1) if batch.nbytes > SLICE_BYTES else SLICE_ROWS)
@@ -122,6 +131,7 @@ def map_batches(
     out: dict[str, str],
 ) -> DataFrame:
     """``carry`` columns as they are, then ``out`` columns that ``run`` makes of the inputs, row for row."""
+    smaller_batches(df.sparkSession)
     chosen = df.select(*carry, *[c.alias(f"__in{i}") for i, c in enumerate(inputs)])
     n, taken = len(carry), len(inputs)
     names = [*carry, *out]
