@@ -11,6 +11,8 @@ Defined results: the end id counts as a token of its document; ids after the
 last end id of a stream are a document without end, reported with
 ``ended = false``; a document with no ids but the end has count 1; empty files
 and folders give no rows; null and empty texts are written as the end id alone.
+A text that yields the end id, an id wider than the files' ids, and a stream
+whose documents and segments differ in number are errors, not other counts.
 """
 
 from __future__ import annotations
@@ -28,14 +30,18 @@ from tessera.llm.files import new_folder, put, read_folder
 #: Ids of one block of the scan, and of one flat file.
 BLOCK_IDS = 1 << 20
 FILE_IDS = 1 << 22
+#: The first id after the vocabulary: its own 50256 is also what a spelled-out <|endoftext|> becomes.
+END_ID = 50257
 
 
 def write_flat(df: DataFrame, path: str, folder: str, *, key: str = "doc_id", text_col: str = "text", end_id: int, width: int = 2, file_ids: int = FILE_IDS) -> DataFrame:
     """Encode each partition into a stream of flat files, cut at ``file_ids`` ids wherever that falls.
 
     Returns, written once, which key is the n-th document of which stream; the
-    texts aren't shuffled. width: bytes of an id.
+    texts aren't shuffled. width: bytes of an id. end_id: one that no text yields.
     """
+    if end_id >> 8 * width:
+        raise ValueError(f"the end id {end_id} has more than {width} bytes")
 
     def write(batches):
         own, stream = library_codec(path), TaskContext.get().partitionId()
@@ -44,7 +50,10 @@ def write_flat(df: DataFrame, path: str, folder: str, *, key: str = "doc_id", te
             for part in slices(batch):
                 keys = part.column(0).to_pylist()
                 for text in part.column(1).to_pylist():
-                    ids = np.append(own.encode(text), np.uint32(end_id))
+                    ids = own.encode(text)
+                    if len(ids) and ((ids == end_id).any() or int(ids.max()) >> 8 * width):
+                        raise ValueError(f"a text yields the end id {end_id} or an id of more than {width} bytes")
+                    ids = np.append(ids, np.uint32(end_id))
                     held.append(ids.astype(dtype))
                     n += len(ids)
                     if n >= file_ids:
@@ -105,13 +114,20 @@ def count_tokens(blocks: DataFrame) -> DataFrame:
     return docs.unionByName(tails)
 
 
+def match(keys: DataFrame, counts: DataFrame) -> DataFrame:
+    """Each written document and its count; an error where a stream has a document without a segment or the reverse."""
+    both = keys.withColumn("__key", F.lit(True)).join(counts.withColumn("__count", F.col("ended")), ["stream", "ordinal"], "full")
+    odd = F.concat(F.lit("documents and segments differ in stream "), F.col("stream"), F.lit(" at "), F.col("ordinal"))
+    whole = F.coalesce(F.col("__key") & F.col("__count"), F.lit(False))
+    return both.withColumn("n_tokens", F.when(whole, F.col("n_tokens")).otherwise(F.raise_error(odd).cast("long"))).drop("__key", "__count")
+
+
 def op9_token_counts(spark, sf_dir: str) -> DataFrame:
     """doc_id, stream, ordinal, start in the stream and n_tokens with the end id, from the flat files of all documents."""
     path = tokenizer_path("byte_bpe_50k.json")
-    end_id = 50256
     folder = new_folder(spark, "flat-tokens")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    keys = write_flat(docs, path, folder, end_id=end_id)
-    blocks = materialize(scan_blocks(spark, folder, end_id=end_id), "blocks")
+    keys = write_flat(docs, path, folder, end_id=END_ID)
+    blocks = materialize(scan_blocks(spark, folder, end_id=END_ID), "blocks")
     counts = count_tokens(blocks)
-    return keys.join(counts, ["stream", "ordinal"]).select(F.col("key").alias("doc_id"), "stream", "ordinal", "start", "n_tokens")
+    return match(keys, counts).select(F.col("key").alias("doc_id"), "stream", "ordinal", "start", "n_tokens")

@@ -132,6 +132,32 @@ def test_op9_and_blocks_of_any_size(spark, small):
         assert {r["key"]: r["n_tokens"] for r in keys.join(counts, ["stream", "ordinal"]).collect()} == want
 
 
+def test_op9_on_odd_rows(spark, odd, tmp_path):
+    path = tokenizer_path("byte_bpe_50k.json")
+    (tmp_path / "sf").mkdir()
+    odd.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text").coalesce(1).write.parquet(f"file://{tmp_path}/sf/documents.parquet")
+    theirs, rows = library(path), odd.collect()
+    want = sorted((-1 if r["doc_id"] is None else r["doc_id"], len(theirs.encode(r["text"] or "", add_special_tokens=False).ids) + 1) for r in rows)
+    got = queries()["op9_token_counts"](spark, f"file://{tmp_path}/sf").collect()
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in got) == want
+    for r in {(r["stream"]) for r in got}:
+        own = sorted((x["ordinal"], x["start"], x["n_tokens"]) for x in got if x["stream"] == r)
+        assert [x[1] for x in own] == np.cumsum([0, *(x[2] for x in own)])[:-1].tolist()
+
+
+def test_ends_that_do_not_match_the_documents_are_errors(spark, odd):
+    path = tokenizer_path("byte_bpe_50k.json")
+    with pytest.raises(Exception, match="yields the end id"):
+        separator_scan.write_flat(odd, path, new_folder(spark, "test-flat"), end_id=50256)
+    keys = spark.createDataFrame([(7, 0, 0), (8, 0, 1)], "key long, stream int, ordinal long")
+    counts = "stream int, ordinal long, start long, n_tokens long, ended boolean"
+    rows = [(0, 0, 0, 4, True), (0, 1, 4, 2, True), (0, 2, 6, 1, True)]
+    assert separator_scan.match(keys, spark.createDataFrame(rows[:2], counts)).select("key", "n_tokens").orderBy("key").collect() == [(7, 4), (8, 2)]
+    for odd_rows in (rows, rows[:1], [rows[0], (*rows[1][:4], False)]):
+        with pytest.raises(Exception, match="documents and segments differ"):
+            separator_scan.match(keys, spark.createDataFrame(odd_rows, counts)).select("n_tokens").collect()
+
+
 def test_scan_of_plain_files(spark, tmp_path):
     streams = {0: [5, 9, 9, 1, 2, 3, 9], 1: [1, 2], 2: [9], 3: []}
     (tmp_path / "f").mkdir()
