@@ -7,8 +7,10 @@ towards its domain's, which is smoothed towards that of all rows. Priors and
 the two likelihood tables are counts of the whole input, gathered by grouped
 aggregation over what the text alone says.
 
-The trigram models are fitted on labelled rows: at most SAMPLE_ROWS rows, the
-first ones by a hash of their key, whatever the size of the input. One further
+The trigram models are fitted on labelled rows: about SAMPLE_ROWS rows of each
+language (all, if it has no more), those of the smallest hashes, whatever the
+size of the input. A label's language is its first part, of two to eight letters
+(pt-BR is pt, gsw stays gsw); every labelled language has a model. One further
 model, of single bytes, stands for "no known language".
 
 Defined results: a null or empty text, or one without any letter, has no
@@ -31,10 +33,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import join_lookup, map_batches, materialize
 
-#: Labelled rows that the models are fitted on, at most.
+#: Labelled rows of each language that its model is fitted on, about.
 SAMPLE_ROWS = 4000
-#: Languages told apart, at most: the most frequent in the sample.
-MAX_LANGUAGES = 48
 #: Rows that a domain's prior counts for at a host, and all rows' prior at a domain.
 PRIOR_ROWS = 20.0
 #: Overlapping trigrams say the same thing about three times.
@@ -69,57 +69,92 @@ def trigrams(text: str) -> np.ndarray:
 
 
 class Model:
-    """Log-likelihoods of the third byte class given two, for each language and for none."""
+    """Log-likelihoods of the third byte class given two, for each language and for none.
 
-    def __init__(self, languages: list[str], counts: np.ndarray):
-        self.languages = languages
-        counts = counts.reshape(len(languages), CLASSES * CLASSES, CLASSES).astype(np.float64)
-        single = counts.sum((0, 1)) + 1.0
+    counts: (codes, numbers) of the trigrams seen, for each language. The table
+    has a row for each trigram that any language has seen; others take the row
+    of their first two classes and the third's own share.
+    """
+
+    def __init__(self, languages: list[str], counts: list[tuple[np.ndarray, np.ndarray]]):
+        self.languages, n = languages, len(languages)
+        seen = np.unique(np.concatenate([codes for codes, _ in counts]))
+        single, pair = np.ones(CLASSES), np.zeros((n, CLASSES * CLASSES))
+        for i, (codes, numbers) in enumerate(counts):
+            single += np.bincount(codes % CLASSES, numbers, CLASSES)
+            pair[i] = np.bincount(codes // CLASSES, numbers, CLASSES * CLASSES)
         single /= single.sum()
-        pair = counts.sum(2, keepdims=True)
-        smoothed = (counts + 8.0 * single) / (pair + 8.0)
-        none = np.broadcast_to((0.5 * single + 0.5 / CLASSES), smoothed.shape[1:])
-        self.table = np.log(np.concatenate([smoothed, none[None]])).reshape(len(languages) + 1, -1).astype(np.float32).T.copy()
+        none = np.log(0.5 * single + 0.5 / CLASSES)
+        self.seen, self.thirds = len(seen), np.stack([np.log(single), none])
+        self.row = (len(seen) + np.arange(CLASSES**3) // CLASSES).astype(np.int32)
+        self.row[seen] = np.arange(len(seen))
+        self.table = np.zeros((len(seen) + CLASSES * CLASSES, n + 1), np.float32)
+        self.table[: len(seen), n] = none[seen % CLASSES]
+        for i, (codes, numbers) in enumerate(counts):
+            own = 8.0 * single[seen % CLASSES]
+            own[np.searchsorted(seen, codes)] += numbers
+            self.table[: len(seen), i] = np.log(own / (pair[i, seen // CLASSES] + 8.0))
+            self.table[len(seen) :, i] = np.log(8.0 / (pair[i] + 8.0))
 
     def score(self, text: str | None) -> np.ndarray | None:
         """Log-likelihoods, the overlap taken out; None where there is no letter."""
         if not text or not any(map(str.isalpha, text)):
             return None
         codes, total = trigrams(text), np.zeros(self.table.shape[1])
-        for at in range(0, len(codes), 1 << 20):
-            total += self.table[codes[at : at + (1 << 20)]].sum(0, dtype=np.float64)
+        step = max((1 << 22) // len(total), 1)
+        for at in range(0, len(codes), step):
+            part = codes[at : at + step]
+            rows = self.row[part]
+            total += self.table[rows].sum(0, dtype=np.float64)
+            language, none = self.thirds[:, part[rows >= self.seen] % CLASSES].sum(1)
+            total[:-1] += language
+            total[-1] += none
         return total / OVERLAP
 
 
+def code_of(label: Column) -> Column:
+    """The language of a label or declaration: its first part, of two to eight letters; null if it has none."""
+    return F.nullif(F.regexp_extract(F.lower(F.trim(label)), r"^([a-z]{2,8})(?=[-_]|$)", 1), F.lit(""))
+
+
+def sample(rows: DataFrame, sample_rows: int) -> DataFrame:
+    """Of rows (text, label, h) about ``sample_rows`` of each label by the hash h, never none: only counts are grouped."""
+    share = F.lit(float(sample_rows)) / F.count("*")
+    bound = F.when(share >= 1, F.lit((1 << 63) - 1)).otherwise((share * 2.0**64 - 2.0**63).cast("long"))
+    bounds = materialize(rows.groupBy("label").agg(F.greatest(bound, F.min("h")).alias("bound")), "bounds")
+    return join_lookup(rows, bounds, "label", F.col("h")).where("h <= bound")
+
+
 def fit(df: DataFrame, *, key: str, text_col: str, label_col: str, sample_rows: int = SAMPLE_ROWS) -> Model | None:
-    """A model of the labels of a bounded sample; only summed counts reach the driver."""
-    rows = df.select(F.col(text_col).alias("text"), F.lower(F.substring(label_col, 1, 2)).alias("label"), F.xxhash64(key).alias("h"))
-    rows = rows.where("text IS NOT NULL AND label RLIKE '^[a-z]{2}$'")
-    # the bound is found on hashes alone, so that no task gathers texts; rows that share the last key count as one
-    last = rows.select("h").orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
-    rows = rows.where(F.col("h") <= (-(1 << 63) if last is None else last))
+    """A model of each label of a sample that is bounded for each; only summed counts reach the driver."""
+    rows = df.select(F.col(text_col).alias("text"), code_of(F.col(label_col)).alias("label"), F.xxhash64(key, text_col).alias("h"))
+    rows = sample(rows.where("text IS NOT NULL AND label IS NOT NULL"), sample_rows)
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = sums.setdefault(label, np.zeros(CLASSES**3, np.int32))
-                own += np.bincount(trigrams(text), minlength=CLASSES**3).astype(np.int32)
+                codes, numbers = np.unique(trigrams(text), return_counts=True)
+                own = sums.get(label)
+                if own is None:
+                    own = sums[label] = np.zeros(CLASSES**3, np.int32)
+                own[codes] += numbers.astype(np.int32)
         for label, own in sums.items():
             at = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array([label]), pa.array([at.astype("<i4").tobytes()]), pa.array([own[at].tobytes()])], names=["label", "at", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([label] * len(at)), pa.array(at.astype(np.int32)), pa.array(own[at].astype(np.int64))], names=["label", "code", "n"])
 
-    sums: dict[str, np.ndarray] = {}
-    for row in rows.select("text", "label").mapInArrow(count, "label string, at binary, n binary").collect():
-        own = sums.setdefault(row["label"], np.zeros(CLASSES**3, np.int64))
-        own[np.frombuffer(row["at"], "<i4")] += np.frombuffer(row["n"], np.int32)
-    names = sorted(sorted(sums, key=lambda x: (-sums[x].sum(), x))[:MAX_LANGUAGES])
-    return Model(names, np.stack([sums[x] for x in names])) if names else None
+    parts = rows.select("text", "label").mapInArrow(count, "label string, code int, n long")
+    found = parts.groupBy("label", "code").agg(F.sum("n").alias("n")).toArrow().combine_chunks().sort_by([("label", "ascending"), ("code", "ascending")])
+    codes, numbers = (found[c].to_numpy() for c in ("code", "n"))
+    labels = found["label"].value_counts().to_pylist() if found.num_rows else []
+    names = [x["values"] for x in labels]  # in order, as the rows are
+    ends = np.cumsum([0, *(x["counts"] for x in labels)])
+    return Model(names, [(codes[a:b], numbers[a:b]) for a, b in zip(ends, ends[1:])]) if names else None
 
 
 def declared_in(markup: Column) -> Column:
     """The language that a page's html element declares."""
-    return F.lower(F.nullif(F.regexp_extract(markup, r"(?i)<html[^>]*?\blang\s*=\s*[\"']?([a-z]{2})", 1), F.lit("")))
+    return F.lower(F.nullif(F.regexp_extract(markup, r"(?i)<html[^>]*?\blang\s*=\s*[\"']?([a-z]{2,8})(?![a-z0-9])", 1), F.lit("")))
 
 
 def host_of(address: Column) -> Column:
@@ -137,39 +172,49 @@ def suffix_of(address: Column) -> Column:
     return F.lower(F.coalesce(F.nullif(path, F.lit("")), F.nullif(F.regexp_extract(host_of(address), r"\.([a-z]{2})$", 1), F.lit(""))))
 
 
-def evidence_table(scored: DataFrame, column: str, n: int) -> dict[str, list[float]]:
-    """log P(value | language) for each two-letter value (at most 676), with one count added to each."""
-    sums = [F.sum((F.col("text_best") == i).cast("long")).alias(f"n{i}") for i in range(n)]
-    rows = scored.where(F.col(column).rlike("^[a-z]{2}$")).groupBy(column).agg(*sums).collect()
-    counts = np.array([[r[f"n{i}"] or 0 for i in range(n)] for r in rows], np.float64).reshape(len(rows), n) + 1.0
-    return {r[column]: np.log(c).tolist() for r, c in zip(rows, counts / counts.sum(0))}
+def counted(rows: DataFrame, column: str, number: str = "n") -> DataFrame:
+    """A row for each value of the column: how many rows each language has in it, as a map of those that have any, and all together."""
+    known = rows.where(F.col(column).isNotNull() & F.col("text_best").isNotNull())
+    parts = known.groupBy(column, "text_best").agg(F.sum(number).alias("n"))
+    return parts.groupBy(column).agg(F.map_from_entries(F.collect_list(F.struct("text_best", "n"))).alias("counts"), F.sum("n").alias("total"))
 
 
-def lookup(column: str, table: dict[str, list[float]], n: int) -> Column:
-    """The table's row for a value; zeros (no evidence) for other values. No language gets the mean of its row."""
-    zero = F.array(*[F.lit(0.0)] * (n + 1))
-    if not table:
-        return zero
-    entries = [x for value, row in sorted(table.items()) for x in (F.lit(value), F.array(*[F.lit(float(v)) for v in [*row, sum(row) / n]]))]
-    return F.coalesce(F.try_element_at(F.create_map(*entries), F.col(column)), zero)
+def by_language(n: int, value) -> Column:
+    """An array with value(language number) for each language."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), value)
+
+
+def count_of(counts: Column, i: Column) -> Column:
+    return F.coalesce(F.try_element_at(counts, i), F.lit(0)).cast("double")
+
+
+def evidence_table(scored: DataFrame, column: str, n: int) -> DataFrame:
+    """Materialized: the column and log P(value | language), one count added to each; no language gets the mean of its row."""
+    ones = scored.withColumn("n", F.lit(1))
+    known = materialize(counted(ones, column), "evidence")
+    values = known.count()
+    each = {r["i"]: r["n"] for r in known.select(F.explode("counts").alias("i", "c")).groupBy("i").agg(F.sum("c").alias("n")).collect()}
+    sums = F.array(*[F.lit(float(each.get(i, 0) + values)) for i in range(n)])
+    logs = by_language(n, lambda i: F.log((count_of(F.col("counts"), i) + 1.0) / F.get(sums, i)))
+    mean = F.aggregate("logs", F.lit(0.0), lambda a, x: a + x) / n
+    return materialize(known.select(column, logs.alias("logs")).select(column, F.concat("logs", F.array(mean)).alias(f"{column}_logs")), "evidence-logs")
 
 
 def host_priors(scored: DataFrame, n: int) -> DataFrame:
     """Materialized: __host and its log prior of each language, smoothed by domain and by all rows."""
-    sums = [F.sum((F.col("text_best") == i).cast("long")).alias(f"n{i}") for i in range(n)]
-    hosts = materialize(scored.where("__host IS NOT NULL").groupBy("__host").agg(*sums).withColumn("__domain", domain_of(F.col("__host"))), "hosts")
-    total = hosts.agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(n)]).first()
-    counts = [(total[f"n{i}"] or 0) + 1.0 for i in range(n)]
-    overall = [c / sum(counts) for c in counts]
-    domains = materialize(hosts.where("__domain IS NOT NULL").groupBy("__domain").agg(*[F.sum(f"n{i}").alias(f"d{i}") for i in range(n)]), "domains")
-    both = join_lookup(hosts, domains, "__domain", F.col("__host"))
-    in_domain = sum((F.coalesce(f"d{i}", F.lit(0)) for i in range(n)), F.lit(0))
-    at_host = sum((F.col(f"n{i}") for i in range(n)), F.lit(0))
-    priors = []
-    for i in range(n):
-        domain = (F.coalesce(f"d{i}", F.lit(0)) + PRIOR_ROWS * overall[i]) / (in_domain + PRIOR_ROWS)
-        priors.append(F.log((F.col(f"n{i}") + PRIOR_ROWS * domain) / (at_host + PRIOR_ROWS)))
-    return materialize(both.select("__host", F.array(*priors).alias("prior")), "priors")
+    hosts = materialize(counted(scored.withColumn("n", F.lit(1)), "__host").withColumn("__domain", domain_of(F.col("__host"))), "hosts")
+    parts = hosts.select("__domain", F.explode("counts").alias("text_best", "n"))
+    each = {r["text_best"]: r["n"] for r in parts.groupBy("text_best").agg(F.sum("n").alias("n")).collect()}
+    counts = [each.get(i, 0) + 1.0 for i in range(n)]
+    overall = F.array(*[F.lit(c / sum(counts)) for c in counts])
+    domains = counted(parts, "__domain").select("__domain", F.col("counts").alias("in_domain"), F.col("total").alias("all_domain"))
+    both = join_lookup(hosts, materialize(domains, "domains"), "__domain", F.col("__host"))
+
+    def prior(i):
+        domain = (count_of(F.col("in_domain"), i) + PRIOR_ROWS * F.get(overall, i)) / (F.coalesce("all_domain", F.lit(0)) + PRIOR_ROWS)
+        return F.log((count_of(F.col("counts"), i) + PRIOR_ROWS * domain) / (F.col("total") + PRIOR_ROWS))
+
+    return materialize(both.select("__host", by_language(n, prior).alias("prior")), "priors")
 
 
 def identify(
@@ -208,14 +253,16 @@ def identify(
     none = F.lit(None).cast("string")
     address = none if address is None else address
     host = host_of(address) if host is None else host
-    ready = df.withColumns({"__host": host.cast("string"), "__declared": F.lower((none if declared is None else declared).substr(1, 2)), "__suffix": suffix_of(address)})
+    ready = df.withColumns({"__host": host.cast("string"), "__declared": code_of(none if declared is None else declared), "__suffix": suffix_of(address)})
     scored = materialize(map_batches(ready, [*columns, "__host", "__declared", "__suffix"], [F.col(text_col)], score, {"scores": "array<double>", "text_best": "int"}), "scored")
     rows = join_lookup(scored, host_priors(scored, n), "__host", F.struct("scores", "__declared"))
-    flat = F.array(*[F.lit(-math.log(n))] * n)
+    for column in ("__declared", "__suffix"):
+        rows = join_lookup(rows, evidence_table(scored, column, n), column, F.struct("scores", "__host"))
+    flat, nothing = F.array_repeat(F.lit(-math.log(n)), n), F.array_repeat(F.lit(0.0), n + 1)
     prior = F.concat(F.transform(F.coalesce("prior", flat), lambda p: p + math.log(1 - NO_LANGUAGE)), F.array(F.lit(math.log(NO_LANGUAGE))))
     logs = functools.reduce(
         lambda a, b: F.zip_with(a, b, lambda x, y: x + y),
-        [F.col("scores"), prior, lookup("__declared", evidence_table(scored, "__declared", n), n), lookup("__suffix", evidence_table(scored, "__suffix", n), n)],
+        [F.col("scores"), prior, *[F.coalesce(f"{c}_logs", nothing) for c in ("__declared", "__suffix")]],
     )
     rows = rows.withColumn("__logs", logs).withColumn("__top", F.array_max("__logs"))
     rows = rows.withColumn("__sum", F.aggregate("__logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("__top"))))

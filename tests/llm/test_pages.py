@@ -1,4 +1,5 @@
 import html
+import random
 import re
 
 import pytest
@@ -88,6 +89,26 @@ def test_priors_and_declarations_decide_where_the_text_does_not(spark):
     assert [found[i] for i in (0, 100, 200, 201, 202, 203)] == ["en", "de", "en", "de", "de", "de"]
 
 
+def test_many_languages_by_their_full_codes(spark):
+    rows, rng = [], random.Random(3)
+    codes = [a + b for a in "abcdefghij" for b in ("x", "xa", "xb", "xc", "xd", "xe")]
+    for k, code in enumerate(codes):
+        words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 7))) for _ in range(12)]
+        rows += [(1000 * k + i, " ".join(rng.choices(words, k=30)), [code, f"{code.upper()}-ZZ"][i % 2]) for i in range(300 if k == 0 else 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = {r[0]: r[2][:3].rstrip("-").lower() for r in rows}
+    assert {r["doc_id"]: r["language"] for r in L.identify(df, declared=F.col("lang")).collect()} == want
+    assert {r["doc_id"]: r["language"] for r in L.identify(df, model=L.fit(df, key="doc_id", text_col="text", label_col="lang", sample_rows=40)).collect()} == want
+    assert L.filter_documents(df.withColumn("source", F.lit("h.x.org"))).count() == len(rows)
+
+
+def test_sample_is_bounded_for_each_language(spark):
+    rows = spark.range(20_000).select(F.lit("t").alias("text"), F.when(F.col("id") < 50, "few").otherwise("most").alias("label"), F.xxhash64("id").alias("h"))
+    same = spark.range(500).select(F.lit("t").alias("text"), F.lit("same").alias("label"), F.lit((1 << 63) - 2).alias("h"))
+    got = {r["label"]: r["count"] for r in L.sample(rows.unionByName(same), 200).groupBy("label").count().collect()}
+    assert got["few"] == 50 and 120 < got["most"] < 280 and got["same"] == 500
+
+
 def test_language_of_odd_rows(spark, odd, none):
     found = {r["doc_id"]: r for r in L.identify(odd, host=F.col("source")).collect()}
     assert not any(found[i]["kept"] or found[i]["language"] for i in (0, 1, 2))
