@@ -2,15 +2,24 @@
 
 A page is cut into blocks at block-level tags. The first pass decides blocks:
 those inside containers that name themselves menu, header, footer, sidebar,
-notice, advert, form or comments are bad; those of a declared article or main
-part are good; all others are judged by link density, length and the share of
-stop words. Short blocks and blocks of middling density stay undecided. The
-second pass gives each of them the label of the nearest decided block on either
-side (what a container decided ends with it and says nothing of the blocks
-around): if these disagree, a block of middling density is good and a short one
-takes the nearer side's label (on a tie it is good if it ends as a sentence
-without links); headings look downwards only. A page without any good block
-starts from its longest undecided one.
+notice, advert, form or comments are bad; all others are judged by link density,
+length and the share of stop words. Short blocks and blocks of middling density
+stay undecided. The second pass gives each of them the label of the nearest
+decided block on either side (what a container decided ends with it and says
+nothing of the blocks around): if these disagree, a block of middling density is
+good and a short one takes the nearer side's label (on a tie it is good if it
+ends as a sentence without links); headings look downwards only. A page without
+any good block starts from its longest undecided one.
+
+A declared article or main part is evidence that both passes weigh. It counts if
+it holds at least as much surely good text as the rest of the page; a card or a
+teaser beside the real article doesn't. Density decides inside and outside of it
+alike, but for headings inside, which may be links. Inside and outside are then
+passed on apart: an undecided block whose neighbours don't both say otherwise is
+good inside and bad outside, and inside a block of middling density stays good
+between bad ones. A main element inside a container that names itself
+boilerplate takes the name back; an article does so only where nothing else is
+declared, and not in comments, adverts, related links or a nav, aside or footer.
 
 Defined results: a null or empty page has an empty text; broken markup is read
 as browsers do, as far as blocks need (open elements end with their parent, a
@@ -89,7 +98,7 @@ class Block:
 
 
 def _hinted(name: str, attr: str) -> str:
-    """'' or what the element's own name and attributes say: silent, aside, title (a header) or main."""
+    """'' or what the element's own name and attributes say: silent, shut (an aside that no article opens), aside, title (a header), main or article."""
     if name in SILENT:
         return "silent"
     words: list[str] = []
@@ -102,17 +111,17 @@ def _hinted(name: str, attr: str) -> str:
                 own = [w.lower() for w in _CAMEL.findall(part)] if part.lower() != "articlebody" else ["articlebody"]
                 words += [w for i, w in enumerate(own) if not i or own[i - 1] not in NEGATED]
     if name in ("article", "main") or "role" in attr and "main" in words:
-        return "aside" if NOT_MAIN.intersection(words) else "main"
+        return "shut" if NOT_MAIN.intersection(words) else "article" if name == "article" else "main"
     hints = HINTS.intersection(words) if name not in ("html", "body", *HEADINGS) else frozenset()
     if name == "header" or hints == {"header"}:
         return "title"
     if name in ASIDE or hints:
-        return "aside"
-    return "main" if name in ("div", "section") and MAIN_WORDS.intersection(words) else ""
+        return "shut" if name in ASIDE - {"form"} or NOT_MAIN.intersection(words) else "aside"
+    return "article" if name in ("div", "section") and MAIN_WORDS.intersection(words) else ""
 
 
 def blocks(page: str) -> list[Block]:
-    """Blocks with text, in page order. place: main, aside or ''."""
+    """Blocks with text, in page order. place: main, nested (an article in a container named otherwise), title, aside or ''."""
     out: list[Block] = []
     stack: list[tuple[str, str]] = []  # open elements and what holds inside them
     held: list[str] = []
@@ -126,7 +135,7 @@ def blocks(page: str) -> list[Block]:
         if held:
             text = " ".join("".join(held).split())
             if text and state() != "silent":
-                out.append(Block(text, linked, state(), any(n in HEADINGS for n, _ in stack[-3:])))
+                out.append(Block(text, linked, "aside" if state() == "shut" else state(), any(n in HEADINGS for n, _ in stack[-3:])))
             held.clear()
         linked = 0
 
@@ -175,57 +184,81 @@ def blocks(page: str) -> list[Block]:
         if m["attr"].endswith("/") and not block:
             continue
         said, held_by = _hinted(name, m["attr"]), state()
-        if said == "title" and held_by != "main":
+        if said == "title" and held_by not in ("main", "nested"):
             said = "aside"
         if held_by == "title" and name in HEADINGS:
             said = "main"
-        inside = held_by if held_by in ("silent", "aside") or not said else said
+        if held_by == "silent" or not said or held_by in ("shut", "aside") and said not in ("silent", "shut", "main", "article"):
+            inside = held_by
+        elif said == "article":
+            # a div that names itself one doesn't outweigh the container's name
+            inside = "main" if held_by not in ("shut", "aside", "nested") else "nested" if held_by == "nested" or held_by == "aside" and name == "article" else held_by
+        else:
+            inside = said
         stack.append((name, inside))
     close()
     return out
 
 
+def density(b: Block) -> bool | None:
+    """What links, length and stop words say of a block; None where they don't decide."""
+    if b.linked > LINK_DENSITY * len(b.text) or b.text[0] == "©":
+        return False
+    if len(b.text) >= SHORT:
+        words = _WORD.findall(b.text.lower())
+        stops = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
+        if stops < FEW_STOPS and b.linked:
+            return False
+        if stops >= MANY_STOPS and len(b.text) >= LONG:
+            return True
+    return None
+
+
 def judge(found: list[Block]) -> None:
-    """The first pass: labels True, False, or None for undecided."""
-    declared = any(b.place == "main" for b in found)
+    """The first pass: labels True, False, or None for undecided; the place main is left to declared parts that count."""
+    declared = "main" if any(b.place == "main" for b in found) else "nested"
+    good = {True: 0, False: 0}
     for b in found:
-        if b.place in ("aside", "title"):
-            b.label = False
-        elif declared:
-            b.label = b.place == "main"
-        elif b.linked > LINK_DENSITY * len(b.text) or b.text[0] == "©":
-            b.label = False
-        elif len(b.text) >= SHORT:
-            words = _WORD.findall(b.text.lower())
-            stops = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
-            if stops < FEW_STOPS and b.linked:
-                b.label = False
-            elif stops >= MANY_STOPS and len(b.text) >= LONG:
-                b.label = True
+        b.label = False if b.place in ("aside", "title") else density(b)
+        if b.label:
+            good[b.place == declared] += len(b.text)
+    for b in found:
+        if b.place in ("main", "nested"):
+            b.place = "main" if b.place == declared and good[True] >= good[False] else ""
+            if b.place and b.heading and b.linked:
+                b.label = None
 
 
 def inherit(found: list[Block]) -> None:
-    """The second pass: undecided blocks take over labels of the nearest decided blocks."""
+    """The second pass: undecided blocks take over labels of the nearest decided blocks on their side of a declared part's border."""
+    if any(b.place == "main" for b in found):
+        pass_on(found, "main", True)
+        pass_on(found, "", False)
+        return
+    if not any(b.label for b in found) and any(b.label is None for b in found):
+        # nothing is surely good: the longest undecided text is the article's seed
+        max((b for b in found if b.label is None), key=lambda b: len(b.text)).label = True
+    pass_on(found, "", None)
+
+
+def pass_on(found: list[Block], place: str, declared: bool | None) -> None:
+    """Labels for the undecided blocks of a place; declared: what the page says of it."""
     n = len(found)
     before, after = [(None, n)] * n, [(None, n)] * n
     for step, near in ((1, before), (-1, after)):
         label, away = None, n
         for i in range(n)[::step]:
-            if found[i].label is not None and found[i].place not in ("aside", "title"):
+            if found[i].label is not None and found[i].place == place:
                 label, away = found[i].label, 0
             near[i], away = (label, away), away + 1
-    if not any(b.label for b in found) and any(b.label is None for b in found):
-        # nothing is surely good: the longest undecided text is the article's seed
-        seed = max((b for b in found if b.label is None), key=lambda b: len(b.text))
-        seed.label = True
-        inherit(found)
-        return
     for i, b in enumerate(found):
-        if b.label is not None:
+        if b.label is not None or b.place != place:
             continue
         (up, up_far), (down, down_far) = before[i], after[i]
         if b.heading:
-            b.label = bool(down)
+            b.label = bool(declared if down is None else down)
+        elif declared is not None:
+            b.label = declared if up is None or up != down else up or declared and len(b.text) >= SHORT
         elif up is None or down is None or up == down:
             b.label = bool(down if up is None else up)
         elif len(b.text) >= SHORT:

@@ -35,6 +35,30 @@ def test_extract(page, want):
     assert H.extract(page) == want
 
 
+PROSE = (LONG * 2).strip()
+LINKS = "<ul><li><a href=1>One</a></li><li><a href=2>Two more</a></li><li><a href=3>Three</a></li></ul>"
+WEIGHED = [
+    # a card is no reason to drop the article around it
+    (f"<div id=content><h1>Title</h1><p>{PROSE}</p><p>Short.</p><p>{PROSE}</p></div>{LINKS}<article class=card><p>Read on</p></article>", f"Title\n{PROSE}\nShort.\n{PROSE}"),
+    (f"<div class=story><p>Read on</p></div>{LINKS}<div id=content><p>{PROSE}</p></div>", PROSE),
+    # link lists inside a declared part, with the heading over them
+    (f"<article><h1><a href=/>Title</a></h1><p>{PROSE}</p><h3>Read on</h3>{LINKS}</article>", f"Title\n{PROSE}"),
+    (f"<main>{LINKS}<p>{PROSE}</p><p>x</p></main><p>outside</p>", f"{PROSE}\nx"),
+    # good text outside, short text outside
+    (f"<p>{PROSE}</p><p>by me</p>{LINKS}<article><p>{PROSE} {PROSE}</p></article><p>out</p>", f"{PROSE}\n{PROSE} {PROSE}"),
+    # what an ancestor's name says, a main part or article takes back
+    ("<form id=aspnetForm class=form><article><h1>T</h1><p>x</p></article></form><p>out</p>", "T\nx"),
+    ("<div class=comments-on><div role=main><p>x</p></div><p>y</p></div>", "x"),
+    ("<div class=sidebar><article><p>card</p></article></div><article><p>x</p></article>", "x"),
+    (f"<div class=related><article><p>card</p></article></div><nav><article><p>menu</p></article></nav><p>{PROSE}</p>", PROSE),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), WEIGHED, ids=range(len(WEIGHED)))
+def test_declared_parts_are_weighed(page, want):
+    assert H.extract(page) == want
+
+
 def test_op8_on_the_tables_pages(spark, small):
     def truth(page):
         article = page[page.index("<article>") + 9 : page.index("</article>")]
