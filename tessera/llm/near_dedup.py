@@ -5,7 +5,7 @@ a class, and one document stands for it, so copies cost one row each from then
 on. The signatures of the classes are sorted in TREES orders (rotations of one
 signature). Classes whose first BASE values agree form a region.
 
-Candidates are confirmed on the full sets, in two passes. In the first each
+Candidates are confirmed on the full sets, in three passes. In the first each
 region proposes its smallest member as a hub, and each class is held against the
 hub it met in most orders; that joins large groups of copies at once. In the
 second the depth adapts to the region: in sorted order, so by longest common
@@ -14,6 +14,11 @@ and whose sketch (a bit of each value) could be near enough; of two components
 the smaller one's rows ask, and they ask the nearest rows of each. A crowded
 region thus compares the deepest prefixes, a sparse one all its pairs, and the
 rows made grow with the rows read.
+The third pass handles what the second left out. Of each region in which a row
+may have had more partners than it asked, all pairs of rows of components that
+are still different are compared, by sketch and then by signature, in cells of
+two blocks of CELL rows; so a crowded region spreads over the tasks, and its
+work grows with the square of its rows less those of its largest component.
 Pairs whose signatures lie far below the threshold are dropped, the others are
 held against the full sets. Orders are dealt by range over (region, suffix, id),
 so even a region with a third of all rows spreads over the tasks, and what
@@ -49,6 +54,8 @@ WORDS, PERCENT = 5, 75
 HASHES, TREES, BASE, SUFFIX = 128, 32, 4, 12
 #: A row is compared with so many rows of each of so many nearest other components, found within so many places of it in an order.
 BEST, NEAR, WINDOW = 4, 8, 64
+#: Rows of one block of a region whose pairs are all compared; rows of it that are compared at once.
+CELL, STRIPE = 512, 64
 #: Rows of one region that a task holds at once.
 CHUNK = 8192
 #: Matching signature values below which a pair isn't held against the full sets: six standard deviations under the threshold.
@@ -347,6 +354,52 @@ def meet_borders(rows: list) -> list[tuple[int, int]]:
     return out
 
 
+def open_regions(labelled: DataFrame) -> DataFrame:
+    """Materialized: the regions in which rows may have had more partners than they asked, from (region, id, n, c).
+
+    largest: their largest component; rest_blocks and blocks: of the rows of all others, and of all.
+    """
+    parts = labelled.groupBy("region", "c").agg(F.count("*").alias("k"))
+    found = parts.groupBy("region").agg(F.sum("k").alias("rows"), F.count("*").alias("parts"), F.max("k").alias("most"), F.max_by("c", F.struct("k", "c")).alias("largest"))
+    found = found.where((F.col("parts") > 1) & ((F.col("rows") > WINDOW + 1) | (F.col("parts") > NEAR + 1) | (F.col("most") > BEST)))
+    rest = F.ceil((F.col("rows") - F.col("most")) / CELL)
+    return materialize(found.select("region", "largest", rest.alias("rest_blocks"), (rest + F.ceil(F.col("most") / CELL)).alias("blocks")), "open")
+
+
+def crowded_pairs(labelled: DataFrame, classes: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of different components that share an open region and whose sizes, sketches and signatures allow a link."""
+    rows = join_lookup(labelled, open_regions(labelled), "region", F.col("id")).where("blocks IS NOT NULL")
+    rows = rows.join(classes.select("id", "signature"), "id")
+    first, count = F.when(F.col("c") == F.col("largest"), F.col("rest_blocks")).otherwise(F.lit(0)), F.when(F.col("c") == F.col("largest"), F.col("blocks") - F.col("rest_blocks")).otherwise(F.col("rest_blocks"))
+    # rows of the largest component meet all others, but not each other
+    with_blocks = F.when(F.col("c") == F.col("largest"), F.col("rest_blocks")).otherwise(F.col("blocks")) - 1
+    rows = rows.withColumn("own", first + F.pmod(F.xxhash64("id"), count)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), with_blocks)))
+    cells = rows.select("region", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "n", "c", "signature")
+
+    def compare(cell: pa.Table) -> pa.Table:
+        own, ids, n, c = (cell[k].to_numpy() for k in ("own", "id", "n", "c"))
+        sigs = np.frombuffer(b"".join(cell["signature"].to_pylist()), "<u4").reshape(-1, HASHES)
+        sketches = np.packbits((sigs & 1).astype(np.uint8), axis=1).view(np.uint64)
+        lo, hi = cell["lo"][0].as_py(), cell["hi"][0].as_py()
+        left, right, found = np.flatnonzero(own == lo), np.flatnonzero(own == hi), []
+        for at in range(0, len(left), STRIPE):
+            x = left[at : at + STRIPE, None]
+            fit = (c[x] != c[right]) & (100 * np.minimum(n[x], n[right]) >= PERCENT * np.maximum(n[x], n[right]))
+            if lo == hi:
+                fit &= ids[x] < ids[right]
+            if fit.any():
+                fit &= np.bitwise_count(sketches[x] ^ sketches[right]).sum(2, dtype=np.int64) <= MOST_FLIPS
+            i, j = np.nonzero(fit)
+            for k in range(0, len(i), 1 << 13):
+                a, b = x[i[k : k + (1 << 13)], 0], right[j[k : k + (1 << 13)]]
+                near = (sigs[a] == sigs[b]).sum(1) >= LEAST_MATCHES
+                found.append(np.stack([ids[a[near]], ids[b[near]]]))
+        pairs = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+        return pa.table({"a": pairs.min(0), "b": pairs.max(0)})
+
+    return cells.groupBy("region", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
+
+
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Materialized: the pairs (a, b) whose full sets are linked."""
 
@@ -396,8 +449,13 @@ def find_duplicates(df: DataFrame, *, key: str = "doc_id", text_col: str = "text
     labelled = materialize(join_lookup(regions, near, "id", F.xxhash64("region")), "labelled")
     labelled = labelled.withColumns({"c": F.coalesce("c", "id"), "members": F.coalesce("members", F.lit(1))})
     apart = neighbour_pairs(labelled.repartitionByRange(*place).sortWithinPartitions(*place))
-    further = confirm(materialize(alike(apart, classes), "alike"), texts)
-    labels = components(first_links.unionByName(further))
+    asked = materialize(alike(apart, classes), "alike")
+    links = first_links.unionByName(confirm(asked, texts))
+    labels = components(links)
+
+    labelled = materialize(join_lookup(regions.drop("suffix"), labels.withColumnRenamed("v", "id"), "id", F.xxhash64("region")).withColumn("c", F.coalesce("c", "id")), "labelled")
+    missed = materialize(crowded_pairs(labelled, classes).join(asked, ["a", "b"], "left_anti"), "missed")
+    labels = components(links.unionByName(confirm(missed, texts)))
 
     placed = join_lookup(sets.drop("signature"), firsts, "set_id", F.col("id"))
     placed = placed.withColumn("v", F.coalesce("class", "id")).drop("set_id", "class")

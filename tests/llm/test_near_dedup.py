@@ -80,6 +80,31 @@ def test_large_groups_and_a_shared_passage(spark):
     assert run(spark, docs) == brute(docs)
 
 
+def test_links_in_a_crowd_that_shares_a_passage(spark):
+    rng, passage, docs, pairs = random.Random(9), prose(150, 8), [], []
+    for g in range(350):
+        own = prose(30, 5000 + g).split()
+        docs.append((len(docs), f"{passage} " + " ".join(own)))
+        if g % 4 == 0:
+            docs.append((len(docs), f"{passage} " + " ".join([*own[:6], *prose(24, 9000 + g).split()])))
+            pairs.append((len(docs) - 2, len(docs) - 1))
+    sets = {i: N.shingles(t) for i, t in docs}
+    pairs = [p for p in pairs if N.linked(sets[p[0]], sets[p[1]])]
+    found = run(spark, rng.sample(docs, len(docs)))
+    assert len(pairs) > 80 and [p for p in pairs if found[p[0]][1] != found[p[1]][1]] == []
+
+
+def test_all_pairs_of_an_open_region_are_compared(spark):
+    rng = np.random.default_rng(4)
+    sigs = rng.integers(0, 1 << 32, (1500, N.HASHES), dtype=np.uint32)
+    sigs[1400], sigs[1300], sigs[1200] = sigs[3], sigs[800], sigs[900]
+    rows = [(7, i, 100 if i != 900 else 70, -1 if i < 700 else i) for i in range(1500)] + [(8, i, 100, i) for i in range(4)]
+    labelled = spark.createDataFrame(rows, "region long, id long, n long, c long")
+    classes = spark.createDataFrame([(i, bytearray(x.astype("<u4").tobytes())) for i, x in enumerate(sigs)], "id long, signature binary")
+    assert [r["region"] for r in N.open_regions(labelled).collect()] == [7]
+    assert sorted(map(tuple, N.crowded_pairs(labelled, classes).collect())) == [(3, 1400), (800, 1300)]
+
+
 def test_odd_rows(spark, odd, none):
     rows = N.find_duplicates(odd).collect()
     assert len(rows) == odd.count()
