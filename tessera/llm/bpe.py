@@ -40,6 +40,12 @@ _NONE = 1 << 30
 #: Splitter of byte-level vocabularies whose file says only use_regex (fixed value).
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Letters and numbers, as ranges, that the splitter of word vocabularies is too old to know (fixed values: Unicode 16 there).
+_NEWER = (
+    "558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee 11b0a 11db0-11ddb 11de0-11de9 11df1 1246f 12475-1247f 12550-12686"
+    " 16ea0-16eb8 16ebb-16ed3 16ff2-16ff6 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff"
+    " 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f"
+).split()
 
 #: Separators that split() takes for white space and the vocabularies do not; white space of more than one character.
 _ODD_SPACE, _LONG_SPACE = re.compile("[\x1c-\x1f]"), re.compile(r"\s\s")
@@ -55,9 +61,22 @@ def byte_alphabet() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+def older(splitter: str) -> str:
+    """The splitter with _NEWER taken out of its letters and numbers."""
+    newer = "".join("-".join(chr(int(x, 16)) for x in r.split("-")) for r in _NEWER)
+    return "(?V1)" + splitter.replace(r"\p{L}", rf"[\p{{L}}--[{newer}]]").replace(r"\p{N}", rf"[\p{{N}}--[{newer}]]")
+
+
+#: Lower case of capitals that Python is too old to know: single ones, and (first, last, distance) (fixed values).
+_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+_LOWER |= {c: c + away for first, last, away in ((0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B)) for c in range(first, last + 1)}
+_CAPITAL = re.compile("[" + "".join(map(chr, _LOWER)) + "]")
+
+
 def lower(text: str) -> str:
     """Lower case character by character, blind to a sigma's place in its word."""
-    return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+    text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+    return text if text.isascii() or not _CAPITAL.search(text) else text.translate(_LOWER)
 
 
 class Remembered(dict):
@@ -95,6 +114,7 @@ class Codec:
         self.special = regex.compile("(" + "|".join(map(regex.escape, specials)) + ")") if specials else None
         self.by_word = spec["normalizer"] is not None
         splitter = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] if self.by_word else _BYTE_LEVEL
+        splitter = older(splitter) if self.by_word else splitter
         self.pieces = regex.compile(splitter).findall
         alphabet = byte_alphabet()
         self.bytes_of = {c: b for b, c in enumerate(alphabet)}

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -37,6 +38,14 @@ def test_codec_equals_the_library(path, kind):
     assert len(own.encode(None)) == 0 and own.decode([]) == ""
 
 
+def test_every_code_point_is_split_as_by_the_library(path):
+    own, theirs = bpe.Codec(path), library(path)
+    points = [i for i in range(0x110000) if not 0xD800 <= i < 0xE000 and (i < 0x3400 or i % 5 == 0 or unicodedata.category(chr(i)) == "Cn" and i < 0x40000)]
+    for at in range(0, len(points), 20_000):
+        texts = [f"a{chr(i)}b" for i in points[at : at + 20_000]]
+        assert [t for t, e in zip(texts, theirs.encode_batch(texts, add_special_tokens=False)) if own.encode(t).tolist() != e.ids] == []
+
+
 def test_long_words_merge_alike(path):
     own, rng = bpe.Codec(path), random.Random(2)
     letters = [i for t, i in own.vocab.items() if len(t) == 1][:40]
