@@ -8,8 +8,10 @@ stay undecided. The second pass gives each of them the label of the nearest
 decided block on either side (what a container decided ends with it and says
 nothing of the blocks around): if these disagree, a block of middling density is
 good and a short one takes the nearer side's label (on a tie it is good if it
-ends as a sentence without links); headings look downwards only. A page without
-any good block starts from its longest undecided one.
+ends as a sentence without links); headings look downwards only. Decided blocks
+of the same container come before nearer ones beyond it, and a block in a
+container without any is taken for a short one. A page without any good block
+starts from its longest undecided one.
 
 A declared article or main part is evidence that both passes weigh. It counts if
 it holds at least as much surely good text as the rest of the page; a card or a
@@ -23,7 +25,9 @@ declared, and not in comments, adverts, related links or a nav, aside or footer.
 
 Defined results: a null or empty page has an empty text; broken markup is read
 as browsers do, as far as blocks need (open elements end with their parent, a
-lone end tag is dropped, a bare < is text); pages of any length are read whole;
+lone end tag is dropped, a bare < is text, what follows the last > is text, a
+tag or comment that never ends takes the rest of the page); pages of any length
+are read whole, in time that grows with their length, however broken they are;
 repeated rows are extracted each; input columns named like an output are
 replaced.
 """
@@ -32,6 +36,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -71,6 +77,8 @@ MAIN_WORDS = frozenset("article articlebody entry story".split())
 NEGATED = frozenset(("has", "with", "no", "without", "not"))
 #: A main part that names itself one of these is none.
 NOT_MAIN = frozenset("ad ads advert comment comments promo related reply sponsored teaser".split())
+#: Elements whose blocks belong together.
+CONTAINERS = frozenset("article aside body div fieldset footer form header main nav section td".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: An open element of the first kind ends where one of the second begins.
 CLOSED_BY = {
@@ -78,23 +86,21 @@ CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}, "head": {"body"},
 }
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg)\b(?P<rawattr>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>(?:(?<=/>)|.*?(?:</(?P=raw)\s*>|\Z))"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attr>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>"
-    r"|(?P<text>[^<]+|<)",
-    re.S | re.I,
-)
+#: A tag up to its end: quotes count where a value begins. No part is ever given back, so a page is read once, however broken.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>")
+_COMMENT_END = re.compile(r"--!?>")
+#: Elements whose content holds no tags, or none that count, and their ends.
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>?", re.I) for name in ("script", "style", "noscript", "template", "textarea", "iframe", "svg")}
 _ATTR = re.compile(r"\b(class|id|role|itemprop|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"\w+")
 _CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Block:
-    __slots__ = ("heading", "label", "linked", "place", "text")
+    __slots__ = ("box", "heading", "label", "linked", "place", "text")
 
-    def __init__(self, text: str, linked: int, place: str, heading: bool):
-        self.text, self.linked, self.place, self.heading, self.label = text, linked, place, heading, None
+    def __init__(self, text: str, linked: int, place: str, heading: bool, box: int):
+        self.text, self.linked, self.place, self.heading, self.box, self.label = text, linked, place, heading, box, None
 
 
 def _hinted(name: str, attr: str) -> str:
@@ -120,70 +126,141 @@ def _hinted(name: str, attr: str) -> str:
     return "article" if name in ("div", "section") and MAIN_WORDS.intersection(words) else ""
 
 
+def tokens(page: str):
+    """(text, None, '', False) for text, ('', name, attributes, whether it ends) for tags; what no reader sees is left out."""
+    at, last = 0, page.rfind(">")
+    while at < len(page):
+        begin = page.find("<", at)
+        if begin < 0 or begin > last:  # no tag can end any more
+            yield page[at:], None, "", False
+            return
+        if begin > at:
+            yield page[at:begin], None, "", False
+        kind = page[begin + 1]
+        if page.startswith("<!--", begin):
+            end = _COMMENT_END.search(page, begin + 2)
+            at = end.end() if end else len(page)
+        elif page.startswith("<![CDATA[", begin):
+            end = page.find("]]>", begin)
+            yield page[begin + 9 : end if end >= 0 else len(page)], None, "", False
+            at = end + 3 if end >= 0 else len(page)
+        elif kind in "!?":
+            at = page.find(">", begin) + 1
+        elif not (kind.isascii() and kind.isalpha() or kind == "/" and page[begin + 2 : begin + 3].isalpha() and page[begin + 2].isascii()):
+            yield "<", None, "", False
+            at = begin + 1
+        else:
+            tag = _TAG.match(page, begin)
+            if not tag:  # it never ends
+                return
+            name, ends, attr, at = tag[2].lower(), tag[1] != "", tag[3], tag.end()
+            yield "", name, attr, ends
+            if name in _RAW_END and not ends:
+                # its content goes; what ends it ends the element, too
+                end = None if attr.endswith("/") else _RAW_END[name].search(page, at)
+                at = at if attr.endswith("/") else end.end() if end else len(page)
+                yield "", name, "", True
+
+
+class Open:
+    """The open elements, from the outermost in: names and what holds inside each.
+
+    Which names are open, at all and since the last block, is counted, so that an
+    end tag is looked for only if it ends something; whatever is passed is closed.
+    """
+
+    def __init__(self):
+        self.items: list[tuple[str, str]] = []
+        self.floors: list[int] = []  # places of blocks
+        self.names: Counter[str] = Counter()
+        self.since: list[Counter[str]] = [Counter()]  # names after each block, the first for those before any
+        self.boxes: list[tuple[int, int]] = [(-1, 0)]  # places and numbers of containers
+        self.boxed = 0
+
+    def state(self) -> str:
+        return self.items[-1][1] if self.items else ""
+
+    def push(self, name: str, inside: str) -> None:
+        self.names[name] += 1
+        if name in BLOCKS:
+            self.floors.append(len(self.items))
+            self.since.append(Counter())
+            if name in CONTAINERS:
+                self.boxed += 1
+                self.boxes.append((len(self.items), self.boxed))
+        else:
+            self.since[-1][name] += 1
+        self.items.append((name, inside))
+
+    def cut(self, at: int) -> None:
+        """Closes the elements from a place on."""
+        while len(self.items) > at:
+            name, _ = self.items.pop()
+            self.names[name] -= 1
+            if name in BLOCKS:
+                self.floors.pop()
+                self.since.pop()
+                if self.boxes[-1][0] == len(self.items):
+                    self.boxes.pop()
+            else:
+                self.since[-1][name] -= 1
+
+    def find(self, name: str) -> int | None:
+        """The place of the innermost element that an end tag ends: inline ones only since the last block."""
+        counts = self.names if name in BLOCKS or name in SILENT else self.since[-1]
+        return next(i for i in range(len(self.items) - 1, -1, -1) if self.items[i][0] == name) if counts[name] else None
+
+
 def blocks(page: str) -> list[Block]:
     """Blocks with text, in page order. place: main, nested (an article in a container named otherwise), title, aside or ''."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []  # open elements and what holds inside them
-    held: list[str] = []
+    stack, held = Open(), []
     linked, links = 0, 0
 
-    def state() -> str:
-        return stack[-1][1] if stack else ""
-
     def close() -> None:
         nonlocal linked
         if held:
             text = " ".join("".join(held).split())
-            if text and state() != "silent":
-                out.append(Block(text, linked, "aside" if state() == "shut" else state(), any(n in HEADINGS for n, _ in stack[-3:])))
+            state = stack.state()
+            if text and state != "silent":
+                out.append(Block(text, linked, "aside" if state == "shut" else state, any(n in HEADINGS for n, _ in stack.items[-3:]), stack.boxes[-1][1]))
             held.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page):
-        text, name = m["text"], m["name"]
-        if m["cdata"] is not None:
-            text = m["cdata"]
-        if text is not None:
-            if state() != "silent":
+    for text, name, attr, ends in tokens(page):
+        if name is None:
+            if stack.state() != "silent":
                 text = html.unescape(text) if "&" in text else text
                 held.append(text)
                 linked += len(text) if links else 0
             continue
-        if name is None:
-            continue
-        name = name.lower()
         block = name in BLOCKS
-        if m["end"]:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+        if ends:
+            at = stack.find(name)
             if name == "a":
                 links = max(0, links - 1)
-            if at is None or not block and name not in SILENT and any(n in BLOCKS for n, _ in stack[at + 1 :]):
+            if at is None:
                 if block:
                     close()
                 continue
-            if block or any(n in BLOCKS for n, _ in stack[at:]):
+            if block or stack.floors and stack.floors[-1] >= at:
                 close()
-            del stack[at:]
+            stack.cut(at)
             continue
         if name == "br":
             held.append(" ")
         if block:
             close()
             links = 0
-            for i in range(len(stack) - 1, -1, -1):
-                closed = CLOSED_BY.get(stack[i][0])
-                if closed and name in closed:
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCKS:
-                    break
+            if stack.floors and name in CLOSED_BY.get(stack.items[stack.floors[-1]][0], ()):
+                stack.cut(stack.floors[-1])
         if name in VOID:
             continue
         if name == "a":
             links += 1
-        if m["attr"].endswith("/") and not block:
+        if attr.endswith("/") and not block and name not in _RAW_END:
             continue
-        said, held_by = _hinted(name, m["attr"]), state()
+        said, held_by = _hinted(name, attr), stack.state()
         if said == "title" and held_by not in ("main", "nested"):
             said = "aside"
         if held_by == "title" and name in HEADINGS:
@@ -195,7 +272,7 @@ def blocks(page: str) -> list[Block]:
             inside = "main" if held_by not in ("shut", "aside", "nested") else "nested" if held_by == "nested" or held_by == "aside" and name == "article" else held_by
         else:
             inside = said
-        stack.append((name, inside))
+        stack.push(name, inside)
     close()
     return out
 
@@ -251,17 +328,28 @@ def pass_on(found: list[Block], place: str, declared: bool | None) -> None:
             if found[i].label is not None and found[i].place == place:
                 label, away = found[i].label, 0
             near[i], away = (label, away), away + 1
+    mates: dict[int, list[int]] = {}
+    if declared is None:
+        for i, b in enumerate(found):
+            if b.label is not None and b.place == place:
+                mates.setdefault(b.box, []).append(i)
     for i, b in enumerate(found):
         if b.label is not None or b.place != place:
             continue
         (up, up_far), (down, down_far) = before[i], after[i]
+        own = mates.get(b.box)
+        if own:
+            # what stands in the same container says more than what is as near beyond it
+            k = bisect(own, i)
+            up, up_far = (found[own[k - 1]].label, i - own[k - 1]) if k else (found[own[k]].label, n)
+            down, down_far = (found[own[k]].label, own[k] - i) if k < len(own) else (up, n)
         if b.heading:
             b.label = bool(declared if down is None else down)
         elif declared is not None:
             b.label = declared if up is None or up != down else up or declared and len(b.text) >= SHORT
         elif up is None or down is None or up == down:
             b.label = bool(down if up is None else up)
-        elif len(b.text) >= SHORT:
+        elif own and len(b.text) >= SHORT:
             b.label = True
         else:
             b.label = up if up_far < down_far else down if down_far < up_far else not b.linked and b.text[-1] in ".!?…"

@@ -1,6 +1,8 @@
 import html
+import os
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,12 +61,53 @@ def test_declared_parts_are_weighed(page, want):
     assert H.extract(page) == want
 
 
-def test_op8_on_the_tables_pages(spark, small):
-    def truth(page):
-        article = page[page.index("<article>") + 9 : page.index("</article>")]
-        parts = (" ".join(html.unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", article))
-        return "\n".join(p for p in parts if p)
+HOSTILE = {
+    "quotes": "<a " + '"' * 60,
+    "unclosed tags": "<a " * 50_000,
+    "one end": "<a " * 50_000 + ">",
+    "quoted ends": "<a x='>'" * 50_000,
+    "odd quotes": "<a ='\">" * 50_000,
+    "unclosed comments": "<!--" * 50_000,
+    "declarations": "<!x " * 50_000,
+    "scripts": "<script>" * 50_000,
+    "attributes": "<a " + "id " * 50_000 + ">",
+    "lone ends": "</p></b>" * 50_000,
+    "deep": "<div>" * 50_000,
+    "held inline": "<b><div>" + "<i>" * 30_000 + "</b>" * 30_000,
+    "blocks over inline": "<div>" + "<b>" * 30_000 + "<p></p>" * 30_000,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_broken_markup_takes_linear_time(name):
+    def took(page):
+        began = time.process_time()
+        H.extract(page)
+        return time.process_time() - began
+
+    assert took(HOSTILE[name]) < 3
+    assert H.extract(f"<p>x</p>{HOSTILE[name]}").startswith("x")
+
+
+def truth(page):
+    article = page[page.index("<article>") + 9 : page.index("</article>")]
+    parts = (" ".join(html.unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", article))
+    return "\n".join(p for p in parts if p)
+
+
+def test_pages_that_declare_nothing(spark):
+    """Without declared parts, with containers that are all bare, the rules alone find nearly all articles whole."""
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("the test tables aren't here")
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    for names, attributes, least in (("article", r"\b", 1.0), ("article|main|header|footer|nav|aside|section|form", r"\b", 1.0), ("article|main|header|footer|nav|aside|section|form|div", r"\b[^>]*", 0.95)):
+        bare = [re.sub(rf"<(/?)(?:{names}){attributes}", r"<\1div", p) for p in pages]
+        assert sum(H.extract(b) == truth(p) for b, p in zip(bare, pages)) >= least * len(pages)
+    first_pass = [b.label for p in bare for found in [H.blocks(p)] for _ in [H.judge(found)] for b in found]
+    assert min(first_pass.count(x) for x in (True, False, None)) > 0.1 * len(first_pass)
+
 
+def test_op8_on_the_tables_pages(spark, small):
     want = {r["page_id"]: truth(r["html"]) for r in spark.read.parquet(f"{small}/pages.parquet").collect()}
     rows = queries()["op8_html_extract"](spark, small).collect()
     assert {r["page_id"]: r["text"] for r in rows} == want and all(r["n_chars"] == len(r["text"]) for r in rows)
