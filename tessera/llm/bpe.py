@@ -34,8 +34,10 @@ from tessera.llm.common import map_batches, tokenizer_path
 
 #: Longest word, in parts, that the rank array handles.
 SHORT = 64
-#: Pieces that a Python worker remembers per generation; two generations are kept.
-REMEMBERED = 250_000
+#: Bytes that a cache of a Python worker takes per generation, about; two generations are kept.
+REMEMBERED = 16 << 20
+#: Bytes of one entry besides its piece and ids: two objects and a place in the table.
+ENTRY = 200
 _NONE = 1 << 30
 #: Splitter of byte-level vocabularies whose file says only use_regex (fixed value).
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -49,6 +51,8 @@ _NEWER = (
 
 #: Separators that split() takes for white space and the vocabularies do not; white space of more than one character.
 _ODD_SPACE, _LONG_SPACE = re.compile("[\x1c-\x1f]"), re.compile(r"\s\s")
+#: Signs that both splitters put in one piece after the letters before them.
+_MARKS = ".,;:!?"
 
 
 def byte_alphabet() -> list[str]:
@@ -79,25 +83,47 @@ def lower(text: str) -> str:
     return text if text.isascii() or not _CAPITAL.search(text) else text.translate(_LOWER)
 
 
+def plain_letters(word: str) -> bool:
+    """Latin letters alone, whose kind is the same in all versions of Unicode."""
+    return word.isalpha() and (word.isascii() or max(word) < "\u0250")
+
+
 class Remembered(dict):
-    """Results by piece: two generations, so that frequent pieces survive when the young one is full."""
+    """Results by piece: two generations, so that frequent pieces survive when the young one is full.
+
+    A piece has at most SHORT letters, so entries bound bytes.
+    """
 
     def __init__(self, make):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.old, self.most = make, {}, REMEMBERED // ENTRY
 
     def __missing__(self, piece: str) -> bytes:
         got = self.old.get(piece)
         if got is None:
             got = self.make(piece)
         if len(piece) <= SHORT:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
             self[piece] = got
         return got
 
 
+class Words(Remembered):
+    """Results by word; one that ends in marks is put together from the word without them and the marks, each remembered on its own."""
+
+    def __init__(self, make, known: Remembered):
+        super().__init__(make)
+        self.known = known
+
+    def __missing__(self, word: str) -> bytes:
+        body = word.rstrip(_MARKS)
+        if body != word and plain_letters(body):
+            return self[body] + self.known[word[len(body) :]]
+        return super().__missing__(word)
+
+
 class Codec:
     """Encoder and decoder for one vocabulary file."""
 
@@ -120,14 +146,19 @@ class Codec:
         self.bytes_of = {c: b for b, c in enumerate(alphabet)}
         self.latin = {b: c for b, c in enumerate(alphabet)}
         self.byte_decoder = spec["decoder"] is not None
+        self.blank = self.latin[0x20]
+        self.known = Remembered(self.encode_piece)
+        self.words = Words(self.encode_word, self.known)
+        self.prepare(path, model["merges"])
+
+    def prepare(self, path: str, merges: list) -> None:
+        """Ranks by pair, and what each merge makes."""
         ids = self.vocab
         self.ranks: dict[int, int] = {}
         self.merged: list[int] = []
-        for rank, (left, right) in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"]):
+        for rank, (left, right) in enumerate(m if isinstance(m, list) else m.split(" ") for m in merges):
             self.ranks.setdefault(ids[left] << 20 | ids[right], rank)
             self.merged.append(ids[left + right])
-        self.known = Remembered(self.encode_piece)
-        self.words = Remembered(self.encode_word)
 
     def merge(self, parts: list[int]) -> list[int]:
         """The rank array: parts lie between boundaries, ranks[i] belongs to the boundary after part i."""
@@ -187,10 +218,11 @@ class Codec:
         feed there stands for itself.
         """
         known = self.known
+        if plain_letters(word):  # one piece
+            letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.latin)
+            return array("I", self.merge_letters(letters if self.by_word else self.blank + letters)).tobytes()
         if not self.by_word and not word.startswith("\n"):
             word = " " + word
-        elif word.isalpha():
-            return known[word]
         return b"".join([known[p] for p in self.pieces(word)])
 
     def _plain(self, text: str) -> bytes:
@@ -228,22 +260,21 @@ class Codec:
 class LibraryCodec(Codec):
     """The same codec with the merges done by the tokenizers library's model."""
 
-    def __init__(self, path: str):
+    def prepare(self, path: str, merges: list) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__(path)
         self.model = Tokenizer.from_file(path).model
 
     def merge_letters(self, letters: str) -> list[int]:
         return [t.id for t in self.model.tokenize(letters)]
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=1)
 def codec(path: str) -> Codec:
     return Codec(path)
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=1)
 def library_codec(path: str) -> LibraryCodec:
     return LibraryCodec(path)
 

@@ -9,6 +9,7 @@ size of what it joins.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
@@ -123,6 +124,15 @@ def slices(batch: pa.RecordBatch):
         yield batch.slice(at, step)
 
 
+def give_back() -> None:
+    """Hands the memory that a worker has freed back to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def map_batches(
     df: DataFrame,
     carry: list[str],
@@ -143,6 +153,7 @@ def map_batches(
                 made = run([whole(part.column(n + i)) for i in range(taken)])
                 made = [a if a.type == t else a.cast(t) for a, t in zip(made, types)]
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(n)], *made], names=names)
+        give_back()
 
     fields = [f for f in chosen.schema.fields[:n]]
     schema = T.StructType([*fields, *[T.StructField(k, T._parse_datatype_string(v)) for k, v in out.items()]])

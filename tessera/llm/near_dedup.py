@@ -64,7 +64,7 @@ LEAST_MATCHES = int(HASHES * PERCENT / 100 - 6 * (HASHES * PERCENT / 100 * (1 -
 MOST_FLIPS = int(HASHES * (1 - PERCENT / 100) / 2 + 6 * (HASHES * (1 - PERCENT / 100) / 2 * (1 + PERCENT / 100) / 2) ** 0.5)
 SKETCH = HASHES // 8
 #: Words that a Python worker remembers the hash of.
-REMEMBERED = 120_000
+REMEMBERED = 40_000
 
 
 @functools.lru_cache(1)

@@ -46,6 +46,17 @@ def test_every_code_point_is_split_as_by_the_library(path):
         assert [t for t, e in zip(texts, theirs.encode_batch(texts, add_special_tokens=False)) if own.encode(t).tolist() != e.ids] == []
 
 
+def test_caches_stay_within_their_bytes(path):
+    own, rng = bpe.LibraryCodec(path), random.Random(3)
+    for cache in (own.known, own.words):
+        cache.most = 500
+    for _ in range(60):
+        own.encode(" ".join("".join(rng.choices("abcdefghijklmnop", k=9)) + rng.choice(["", ",", "7!"]) for _ in range(200)))
+    for cache in (own.known, own.words):
+        assert len(cache) <= 500 and len(cache.old) <= 500
+    assert bpe.REMEMBERED * 4 <= 64 << 20
+
+
 def test_long_words_merge_alike(path):
     own, rng = bpe.Codec(path), random.Random(2)
     letters = [i for t, i in own.vocab.items() if len(t) == 1][:40]
@@ -55,7 +66,7 @@ def test_long_words_merge_alike(path):
 
 
 def test_remembered_pieces_survive_a_full_cache(monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    monkeypatch.setattr(bpe, "REMEMBERED", 3 * bpe.ENTRY)
     made = []
     cache = bpe.Remembered(lambda p: made.append(p) or p.encode())
     assert [cache[p] for p in "abcdabcd"] == [p.encode() for p in "abcdabcd"] and made == list("abcd")
