@@ -1,4 +1,4 @@
-"""Scratch tables in the shared folder, checked broadcasts and salted joins.
+"""Scratch tables in the shared folder, and joins that broadcast only what was measured.
 
 Every operator that needs a value twice writes it as Parquet below
 ``spark.checkpoint.dir`` (the folder all executors share) and reads it back:
@@ -20,10 +20,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A table is broadcast only when its files hold at most this many bytes.
-BROADCAST_BYTES = 8 << 20
-#: Buckets over which the rows of one hot key are spread in a salted join.
-SALTS = 32
+#: A table is broadcast only if it takes at most this many bytes by its rows and by its files.
+BROADCAST_BYTES = 16 << 20
+#: Bytes of a row of a hash table besides its columns; times that Parquet may have made values smaller.
+ROW_BYTES, COMPRESSED = 32, 4
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -73,29 +73,25 @@ atexit.register(drop_scratch)
 
 
 def table_bytes(df: DataFrame) -> int:
-    """Bytes of the files below a table that was read from files."""
+    """Bytes that a table read from files may take in memory: by its rows, and by its files as if they were compressed well."""
     spark, total = df.sparkSession, 0
     for name in df.inputFiles():
         p, fs = hadoop_path(spark, name)
         total += fs.getFileStatus(p).getLen()
-    return total
+    total *= COMPRESSED
+    return total if total > BROADCAST_BYTES else max(total, df.count() * (ROW_BYTES + 8 * len(df.columns)))
 
 
-def join_lookup(big: DataFrame, small: DataFrame, key: str, salt: Column) -> DataFrame:
+def join_lookup(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
     """Left-join ``small`` (materialized, unique ``key``) onto ``big``.
 
-    Small enough by its files: broadcast, and ``big`` isn't shuffled. Else both
-    sides are dealt by (key, salt), so a key with a third of all rows still
-    spreads over SALTS tasks. Null keys find nothing and stay.
+    Small enough by its rows and files: broadcast, and ``big`` isn't shuffled.
+    Else both sides are shuffled, and adaptive execution splits the partition of
+    a key that a third of all rows share. Null keys find nothing and stay.
     """
     if table_bytes(small) <= BROADCAST_BYTES:
-        return big.join(F.broadcast(small), key, "left")
-    salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return (
-        big.withColumn("__salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
-        .join(salted, [key, "__salt"], "left")
-        .drop("__salt")
-    )
+        small = F.broadcast(small)
+    return big.join(small, key, "left")
 
 
 def tokenizer_path(name: str) -> str:

@@ -26,4 +26,4 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("c").alias("m"))
         lower = materialize(labels.join(near, "v", "left").select("v", F.least("c", F.coalesce("m", "c")).alias("c")), "labels")
         roots = lower.select(F.col("v").alias("c"), F.col("c").alias("root"))
-        labels = materialize(join_lookup(lower, roots, "c", F.col("v")).select("v", F.coalesce("root", "c").alias("c")), "labels")
+        labels = materialize(join_lookup(lower, roots, "c").select("v", F.coalesce("root", "c").alias("c")), "labels")

@@ -16,19 +16,21 @@ region thus compares the deepest prefixes, a sparse one all its pairs, and the
 rows made grow with the rows read.
 The third pass handles what the second left out. Of each region in which a row
 may have had more partners than it asked, all pairs of rows of components that
-are still different are compared, by sketch and then by signature, in cells of
-two blocks of CELL rows; so a crowded region spreads over the tasks, and its
-work grows with the square of its rows less those of its largest component.
-Pairs whose signatures lie far below the threshold are dropped, the others are
-held against the full sets. Orders are dealt by range over (region, suffix, id),
-so even a region with a third of all rows spreads over the tasks, and what
-partition borders cut apart is stitched.
+are still different are compared, in cells of two blocks of rows with their
+whole sets: by size and sketch, and what is left on the full sets at once, the
+nearest first and a component only until it joins. A cell returns no pairs but
+the links that join components, so a crowded region spreads over the tasks and
+makes few rows; its work grows with the square of its rows less those of its
+largest component. Orders are dealt by range over (region, suffix, id), so even
+a region with a third of all rows spreads over the tasks, and what partition
+borders cut apart is stitched.
 
 Defined results: a text without words, or null, has an empty set, is linked
 with nothing and is its own component; fewer words than a shingle form one
 shingle; rows with a null key are linked with nothing, have no component and
-are kept; rows with equal keys are one vertex; an empty table gives an empty
-result; only key and text are read.
+are kept; rows with equal keys belong together, whatever their texts, and each
+counts its own shingles; an empty table gives an empty result; only key and
+text are read.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import join_lookup, map_batches, materialize
@@ -54,8 +56,8 @@ WORDS, PERCENT = 5, 75
 HASHES, TREES, BASE, SUFFIX = 128, 32, 4, 12
 #: A row is compared with so many rows of each of so many nearest other components, found within so many places of it in an order.
 BEST, NEAR, WINDOW = 4, 8, 64
-#: Rows of one block of a region whose pairs are all compared; rows of it that are compared at once.
-CELL, STRIPE = 512, 64
+#: Rows and shingles of one block of a region whose pairs are all compared; rows of it that are compared at once; partners of a row held against its set at once.
+CELL, CELL_SHINGLES, STRIPE, ASKED = 2048, 1 << 19, 64, 64
 #: Rows of one region that a task holds at once.
 CHUNK = 8192
 #: Matching signature values below which a pair isn't held against the full sets: six standard deviations under the threshold.
@@ -116,6 +118,10 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(a) + len(b) - both) > 0
 
 
+def set_id(hashes: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if len(hashes) else None
+
+
 def describe(df: DataFrame, key: str, text_col: str) -> DataFrame:
     """Materialized: key, n_shingles, set_id (null if empty), signature."""
 
@@ -124,7 +130,7 @@ def describe(df: DataFrame, key: str, text_col: str) -> DataFrame:
         for text in columns[0].to_pylist():
             own = shingles(text)
             n.append(len(own))
-            ids.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
+            ids.append(set_id(own))
             sigs.append(signature(own).tobytes() if len(own) else None)
         return [pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(sigs, pa.binary())]
 
@@ -357,45 +363,88 @@ def meet_borders(rows: list) -> list[tuple[int, int]]:
 def open_regions(labelled: DataFrame) -> DataFrame:
     """Materialized: the regions in which rows may have had more partners than they asked, from (region, id, n, c).
 
-    largest: their largest component; rest_blocks and blocks: of the rows of all others, and of all.
+    largest: their largest component; rest_blocks and blocks: of the rows of all
+    others, and of all, each block within CELL rows and about CELL_SHINGLES.
     """
-    parts = labelled.groupBy("region", "c").agg(F.count("*").alias("k"))
-    found = parts.groupBy("region").agg(F.sum("k").alias("rows"), F.count("*").alias("parts"), F.max("k").alias("most"), F.max_by("c", F.struct("k", "c")).alias("largest"))
+    parts = labelled.groupBy("region", "c").agg(F.count("*").alias("k"), F.sum("n").alias("size"))
+    top = F.struct("k", "c")
+    found = parts.groupBy("region").agg(F.sum("k").alias("rows"), F.count("*").alias("parts"), F.max("k").alias("most"), F.sum("size").alias("size"), F.max_by("c", top).alias("largest"), F.max_by("size", top).alias("largest_size"))
     found = found.where((F.col("parts") > 1) & ((F.col("rows") > WINDOW + 1) | (F.col("parts") > NEAR + 1) | (F.col("most") > BEST)))
-    rest = F.ceil((F.col("rows") - F.col("most")) / CELL)
-    return materialize(found.select("region", "largest", rest.alias("rest_blocks"), (rest + F.ceil(F.col("most") / CELL)).alias("blocks")), "open")
 
+    def blocks(rows, size):
+        return F.ceil(F.greatest(rows / CELL, size / CELL_SHINGLES))
 
-def crowded_pairs(labelled: DataFrame, classes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of different components that share an open region and whose sizes, sketches and signatures allow a link."""
-    rows = join_lookup(labelled, open_regions(labelled), "region", F.col("id")).where("blocks IS NOT NULL")
-    rows = rows.join(classes.select("id", "signature"), "id")
-    first, count = F.when(F.col("c") == F.col("largest"), F.col("rest_blocks")).otherwise(F.lit(0)), F.when(F.col("c") == F.col("largest"), F.col("blocks") - F.col("rest_blocks")).otherwise(F.col("rest_blocks"))
-    # rows of the largest component meet all others, but not each other
-    with_blocks = F.when(F.col("c") == F.col("largest"), F.col("rest_blocks")).otherwise(F.col("blocks")) - 1
-    rows = rows.withColumn("own", first + F.pmod(F.xxhash64("id"), count)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), with_blocks)))
-    cells = rows.select("region", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "n", "c", "signature")
-
-    def compare(cell: pa.Table) -> pa.Table:
-        own, ids, n, c = (cell[k].to_numpy() for k in ("own", "id", "n", "c"))
-        sigs = np.frombuffer(b"".join(cell["signature"].to_pylist()), "<u4").reshape(-1, HASHES)
-        sketches = np.packbits((sigs & 1).astype(np.uint8), axis=1).view(np.uint64)
-        lo, hi = cell["lo"][0].as_py(), cell["hi"][0].as_py()
-        left, right, found = np.flatnonzero(own == lo), np.flatnonzero(own == hi), []
+    rest = blocks(F.col("rows") - F.col("most"), F.col("size") - F.col("largest_size"))
+    return materialize(found.select("region", "largest", rest.alias("rest_blocks"), (rest + blocks(F.col("most"), F.col("largest_size"))).alias("blocks")), "open")
+
+
+class Cell:
+    """Rows of two blocks of a region: ids, sizes, components, sketches and whole sets."""
+
+    def __init__(self, rows: pa.Table):
+        self.ids, self.sizes, c = (rows[k].to_numpy() for k in ("id", "n", "c"))
+        self.parts = np.unique(c, return_inverse=True)[1]
+        self.sketches = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint64).reshape(-1, SKETCH // 8)
+        flat = np.frombuffer(b"".join(rows["hashes"].to_pylist()), np.uint64)
+        self.codes = np.unique(flat, return_inverse=True)[1].astype(np.int32)
+        self.ends = np.cumsum(self.sizes)
+        self.marks = np.zeros(int(self.codes.max(initial=0)) + 1, np.int32)
+
+    def set_of(self, k: int) -> np.ndarray:
+        return self.codes[self.ends[k] - self.sizes[k] : self.ends[k]]
+
+    def linked_to(self, x: int, others: np.ndarray) -> np.ndarray:
+        """Which of the others are linked with x, by their whole sets."""
+        own = self.set_of(x)
+        self.marks[own] = 1
+        begins = np.cumsum(self.sizes[others]) - self.sizes[others]
+        both = np.add.reduceat(self.marks[np.concatenate([self.set_of(k) for k in others])], begins)
+        self.marks[own] = 0
+        return 100 * both >= PERCENT * (self.sizes[x] + self.sizes[others] - both)
+
+    def links(self, left: np.ndarray, right: np.ndarray):
+        """(x, y) of links that join all components of the cell that any link joins; each row asks by nearness, a component until it joins."""
         for at in range(0, len(left), STRIPE):
             x = left[at : at + STRIPE, None]
-            fit = (c[x] != c[right]) & (100 * np.minimum(n[x], n[right]) >= PERCENT * np.maximum(n[x], n[right]))
-            if lo == hi:
-                fit &= ids[x] < ids[right]
-            if fit.any():
-                fit &= np.bitwise_count(sketches[x] ^ sketches[right]).sum(2, dtype=np.int64) <= MOST_FLIPS
-            i, j = np.nonzero(fit)
-            for k in range(0, len(i), 1 << 13):
-                a, b = x[i[k : k + (1 << 13)], 0], right[j[k : k + (1 << 13)]]
-                near = (sigs[a] == sigs[b]).sum(1) >= LEAST_MATCHES
-                found.append(np.stack([ids[a[near]], ids[b[near]]]))
-        pairs = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
-        return pa.table({"a": pairs.min(0), "b": pairs.max(0)})
+            fit = (self.parts[x] != self.parts[right]) & (100 * np.minimum(self.sizes[x], self.sizes[right]) >= PERCENT * np.maximum(self.sizes[x], self.sizes[right]))
+            if not fit.any():
+                continue
+            flips = np.bitwise_count(self.sketches[x] ^ self.sketches[right]).sum(2, dtype=np.int32)
+            fit &= flips <= MOST_FLIPS
+            for k in np.flatnonzero(fit.any(1)):
+                own = int(x[k, 0])
+                asked = right[fit[k]][np.argsort(flips[k][fit[k]], kind="stable")]
+                while len(asked := asked[self.parts[asked] != self.parts[own]]):
+                    for y in asked[:ASKED][self.linked_to(own, asked[:ASKED])].tolist():
+                        if self.parts[y] != self.parts[own]:
+                            yield own, y
+                            self.parts[self.parts == self.parts[y]] = self.parts[own]
+                    asked = asked[ASKED:]
+
+
+def crowded_links(labelled: DataFrame, texts: DataFrame) -> DataFrame:
+    """Distinct links (a, b) of different components that share an open region, confirmed in place.
+
+    Cells make no pairs but the links, and of these no more than join the cell's
+    components, so what they return is bounded by the rows they read.
+    """
+    opened = join_lookup(labelled, open_regions(labelled), "region").where("blocks IS NOT NULL")
+    sets = map_batches(texts.join(materialize(opened.select("id").distinct(), "open-ids"), "id", "left_semi"), ["id"], [F.col("text")], lambda c: [pa.array([shingles(t).tobytes() for t in c[0].to_pylist()], pa.binary())], {"hashes": "binary"})
+    rows = opened.join(materialize(sets, "open-sets"), "id")
+    in_largest = F.col("c") == F.col("largest")
+    first = F.when(in_largest, F.col("rest_blocks")).otherwise(F.lit(0))
+    count = F.when(in_largest, F.col("blocks") - F.col("rest_blocks")).otherwise(F.col("rest_blocks"))
+    # rows of the largest component meet all others, but not each other
+    with_blocks = F.when(in_largest, F.col("rest_blocks")).otherwise(F.col("blocks")) - 1
+    rows = rows.withColumn("own", first + F.pmod(F.xxhash64("id"), count)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), with_blocks)))
+    cells = rows.select("region", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "n", "c", "sketch", "hashes")
+
+    def compare(rows: pa.Table) -> pa.Table:
+        own, lo, hi = rows["own"].to_numpy(), rows["lo"][0].as_py(), rows["hi"][0].as_py()
+        cell = Cell(rows)
+        found = [(cell.ids[x], cell.ids[y]) for x, y in cell.links(np.flatnonzero(own == lo), np.flatnonzero(own == hi))]
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": pairs.min(1), "b": pairs.max(1)})
 
     return cells.groupBy("region", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
 
@@ -409,7 +458,8 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+    # a hub is the smaller of its pairs: its text meets them last, so that no shuffle repeats it
+    both = pairs.select("a", "b").join(right, "b").join(left, "a")
     checked = map_batches(both, ["a", "b"], [F.col("text_a"), F.col("text_b")], run, {"linked": "boolean"})
     return materialize(checked.where("linked").select("a", "b"), "links")
 
@@ -427,53 +477,90 @@ def alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return map_batches(both, ["a", "b"], [F.col("sa"), F.col("sb")], run, {"alike": "boolean"}).where("alike").select("a", "b")
 
 
+def vertices(used: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (id, set_id, ...) with the vertex v each belongs to; the vertices (id, set_id, v, first) that differ from the id.
+
+    A vertex is an id. Only where rows of one id have different sets does each
+    set but the first get a vertex beyond all ids.
+    """
+    differ = used.groupBy("id").agg(F.min("set_id").alias("first"), F.max("set_id").alias("last")).where("first <> last").select("id", "first")
+    differ = materialize(differ, "differ")
+    if differ.isEmpty():
+        return used.withColumn("v", F.col("id")), None
+    top = used.agg(F.max("id")).first()[0]
+    more = used.select("id", "set_id").join(differ, "id").where("set_id <> first").distinct()
+    more = materialize(more.withColumn("v", F.lit(top) + 1 + F.monotonically_increasing_id()), "more")
+    return used.join(more.drop("first"), ["id", "set_id"], "left").withColumn("v", F.coalesce("v", "id")), more
+
+
+def texts_of(rows: DataFrame, more: DataFrame | None) -> DataFrame:
+    """(v, text) of rows (id, text); rows of an id with several sets are told apart by their sets."""
+    if more is None:
+        return rows.withColumnRenamed("id", "v")
+
+    def run(columns):
+        return [pa.array([set_id(shingles(t)) for t in columns[0].to_pylist()], pa.binary())]
+
+    several = more.select("id").distinct()
+    own = map_batches(rows.join(several, "id"), ["id", "text"], [F.col("text")], run, {"set_id": "binary"})
+    own = own.where("set_id IS NOT NULL").join(more.select("id", "set_id", "v"), ["id", "set_id"], "left")
+    return rows.join(several, "id", "left_anti").withColumnRenamed("id", "v").unionByName(own.select(F.coalesce("v", "id").alias("v"), "text"))
+
+
 def find_duplicates(df: DataFrame, *, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """key, n_shingles, component_id, kept for each row."""
     sets = describe(df, key, text_col)
-    used = sets.where("id IS NOT NULL AND set_id IS NOT NULL")
-    firsts = materialize(used.groupBy("set_id").agg(F.min("id").alias("class")), "classes")
-    standing = used.join(firsts, [used["set_id"] == firsts["set_id"], used["id"] == firsts["class"]], "left_semi")
-    classes = materialize(standing.dropDuplicates(["id"]), "standing")
+    used, more = vertices(sets.where("id IS NOT NULL AND set_id IS NOT NULL"))
+    firsts = materialize(used.groupBy("set_id").agg(F.min("v").alias("class")), "classes")
+    standing = used.join(firsts, [used["set_id"] == firsts["set_id"], used["v"] == firsts["class"]], "left_semi")
+    classes = materialize(standing.select(F.col("v").alias("id"), "n_shingles", "signature").dropDuplicates(["id"]), "standing")
     place = ("region", "suffix", "id")
     crowded = crowd(orders(classes).repartitionByRange(*place).sortWithinPartitions(*place))
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(text_col).alias("text"))
     members = materialize(crowded.select("id").distinct().withColumn("__hit", F.lit(True)), "members")
-    texts = materialize(join_lookup(rows, members, "id", F.col("id")).where("__hit").drop("__hit").dropDuplicates(["id"]), "texts")
-
-    first_links = confirm(materialize(hub_pairs(crowded), "hubs"), texts)
-    near = components(first_links)
+    rows = texts_of(rows, more).withColumnRenamed("v", "id")
+    texts = materialize(join_lookup(rows, members, "id").where("__hit").drop("__hit").dropDuplicates(["id"]), "texts")
+
+    links = confirm(materialize(hub_pairs(crowded), "hubs"), texts)
+    if more is not None:
+        # the sets of one id belong together
+        named = [firsts.withColumnsRenamed({"set_id": s, "class": c}) for s, c in (("first", "a"), ("set_id", "b"))]
+        links = links.unionByName(materialize(more.join(named[0], "first").join(named[1], "set_id").select("a", "b").distinct(), "same-id"))
+    near = components(links)
     sizes = materialize(near.groupBy("c").agg(F.count("*").alias("members")), "sizes")
-    near = materialize(join_lookup(near, sizes, "c", F.col("v")).select(F.col("v").alias("id"), "c", "members"), "near")
+    near = materialize(join_lookup(near, sizes, "c").select(F.col("v").alias("id"), "c", "members"), "near")
 
     regions = crowded.where("kind IN (0, 2)").select(*place, "n")
-    labelled = materialize(join_lookup(regions, near, "id", F.xxhash64("region")), "labelled")
+    labelled = materialize(join_lookup(regions, near, "id"), "labelled")
     labelled = labelled.withColumns({"c": F.coalesce("c", "id"), "members": F.coalesce("members", F.lit(1))})
     apart = neighbour_pairs(labelled.repartitionByRange(*place).sortWithinPartitions(*place))
-    asked = materialize(alike(apart, classes), "alike")
-    links = first_links.unionByName(confirm(asked, texts))
+    links = links.unionByName(confirm(materialize(alike(apart, classes), "alike"), texts))
     labels = components(links)
 
-    labelled = materialize(join_lookup(regions.drop("suffix"), labels.withColumnRenamed("v", "id"), "id", F.xxhash64("region")).withColumn("c", F.coalesce("c", "id")), "labelled")
-    missed = materialize(crowded_pairs(labelled, classes).join(asked, ["a", "b"], "left_anti"), "missed")
-    labels = components(links.unionByName(confirm(missed, texts)))
+    regions = regions.select("region", "id", "n", F.substring("suffix", 2 * SUFFIX + 1, SKETCH).alias("sketch"))
+    labelled = materialize(join_lookup(regions, labels.withColumnRenamed("v", "id"), "id").withColumn("c", F.coalesce("c", "id")), "labelled")
+    labels = components(links.unionByName(materialize(crowded_links(labelled, texts), "crowded-links")))
 
-    placed = join_lookup(sets.drop("signature"), firsts, "set_id", F.col("id"))
-    placed = placed.withColumn("v", F.coalesce("class", "id")).drop("set_id", "class")
-    out = join_lookup(placed, labels, "v", F.col("id"))
+    # rows without words go with the rows of their id that have some
+    bare = sets.where("id IS NOT NULL AND set_id IS NULL").select("id").distinct()
+    named = used.join(bare, "id", "left_semi").join(firsts, "set_id").groupBy("id").agg(F.min("class").alias("of_id"))
+    placed = join_lookup(join_lookup(sets.drop("signature"), firsts, "set_id"), materialize(named, "named"), "id")
+    placed = placed.select("id", "n_shingles", F.coalesce("class", "of_id", "id").alias("v"))
+    out = join_lookup(placed, labels, "v")
     component = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("c", "v"))
     return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), (F.col("id").isNull() | (F.col("id") == component)).alias("kept"))
 
 
 def filter_documents(df: DataFrame, *, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, with the input's own columns; of rows with equal keys one stays, rows with null keys all do."""
-    found = find_duplicates(df, key=key, text_col=text_col)
-    ids = materialize(found.where("kept").where(F.col(key).isNotNull()).select(F.col(key).alias("__key")).distinct().withColumn("__kept", F.lit(True)), "kept")
-    rows = df.withColumn("__key", F.col(key).cast("long"))
-    out = join_lookup(rows, ids, "__key", F.col("__key"))
-    twice = found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").limit(1).count()
-    kept = out.where("__kept").drop("__key", "__kept")
-    kept = kept.dropDuplicates([key]) if twice else kept
-    return kept.unionByName(df.where(F.col(key).isNull()))
+    """One row of each component, with the input's own columns; of rows with equal keys the one of the shortest text stays, rows with null keys all do."""
+    found = materialize(find_duplicates(df, key=key, text_col=text_col), "found")
+    ids = materialize(found.where("kept").where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__rows")), "kept")
+    out = join_lookup(df.withColumn("__key", F.col(key).cast("long")), ids, "__key").where("__rows IS NOT NULL")
+    if not ids.where("__rows > 1").isEmpty():
+        text = F.coalesce(F.col(text_col), F.lit(""))
+        first = Window.partitionBy("__key").orderBy(F.length(text), F.xxhash64(text))
+        out = out.withColumn("__at", F.row_number().over(first)).where("__at = 1").drop("__at")
+    return out.drop("__key", "__rows").unionByName(df.where(F.col(key).isNull()))
 
 
 def op1_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -120,14 +120,14 @@ def assess(
     """The rows with METRICS and ``kept``; ``columns`` are those of the input to carry (default: all).
 
     The measured rows are written once; the host verdicts come from that table
-    and meet it again in a checked broadcast or a salted join.
+    and meet it again in a checked broadcast or a shuffled join.
     """
     columns = [c for c in (columns or df.columns) if c not in (*METRICS, "kept")]
     measured = measure(df.drop("kept"), text_col).withColumn("__host", F.col(host_col).cast("string"))
     rows = materialize(measured.select(*columns, *METRICS, "__host"), "measured")
     rejected = host_rates(rows, "__host").where(F.col("host_rate") > max_host_rate)
     verdicts = materialize(rejected.select("__host", F.lit(True).alias("__rejected")), "verdicts")
-    out = join_lookup(rows, verdicts, "__host", F.struct(*METRICS))
+    out = join_lookup(rows, verdicts, "__host")
     kept = ~F.col("base_failed") & F.col("__rejected").isNull()
     return out.select(*columns, *METRICS, kept.alias("kept"))
 

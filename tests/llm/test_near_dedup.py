@@ -94,15 +94,57 @@ def test_links_in_a_crowd_that_shares_a_passage(spark):
     assert len(pairs) > 80 and [p for p in pairs if found[p[0]][1] != found[p[1]][1]] == []
 
 
-def test_all_pairs_of_an_open_region_are_compared(spark):
-    rng = np.random.default_rng(4)
-    sigs = rng.integers(0, 1 << 32, (1500, N.HASHES), dtype=np.uint32)
-    sigs[1400], sigs[1300], sigs[1200] = sigs[3], sigs[800], sigs[900]
-    rows = [(7, i, 100 if i != 900 else 70, -1 if i < 700 else i) for i in range(1500)] + [(8, i, 100, i) for i in range(4)]
-    labelled = spark.createDataFrame(rows, "region long, id long, n long, c long")
-    classes = spark.createDataFrame([(i, bytearray(x.astype("<u4").tobytes())) for i, x in enumerate(sigs)], "id long, signature binary")
+def test_links_of_an_open_region_are_all_found(spark, monkeypatch):
+    """Rows of two regions, in many cells: the links join what links of all pairs would join, and few more rows are made."""
+    monkeypatch.setattr(N, "CELL", 150)
+    rng, base = random.Random(4), prose(60, 77).split()
+    texts = {}
+    for i in range(700):
+        own = [*base, *prose(40, i if i % 5 else i % 50).split()]
+        texts[i] = " ".join(own)
+    sets = {i: N.shingles(t) for i, t in texts.items()}
+    sketches = {i: np.packbits((N.signature(s) & 1).astype(np.uint8)).tobytes() for i, s in sets.items()}
+    rows = [(7, i, len(sets[i]), -1 if i < 200 else i, bytearray(sketches[i])) for i in texts] + [(8, i, len(sets[i]), i, bytearray(sketches[i])) for i in range(4)]
+    labelled = spark.createDataFrame(rows, "region long, id long, n long, c long, sketch binary")
     assert [r["region"] for r in N.open_regions(labelled).collect()] == [7]
-    assert sorted(map(tuple, N.crowded_pairs(labelled, classes).collect())) == [(3, 1400), (800, 1300)]
+    found = [tuple(r) for r in N.crowded_links(labelled, spark.createDataFrame(list(texts.items()), "id long, text string")).collect()]
+    assert all(a < b and N.linked(sets[a], sets[b]) for a, b in found)
+
+    def parts(links):
+        root = {i: min(i, 0) if i >= 200 else 0 for i in texts} | {i: i for i in texts if i >= 200}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in links:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+        return {i: find(i) for i in texts}
+
+    every = [(a, b) for a in texts for b in range(a) if N.linked(sets[a], sets[b])]
+    assert parts(found) == parts(every) and len(found) < len(every)
+
+
+def test_a_crowd_of_many_pairs_equals_all_pairs(spark):
+    """900 documents that share a passage of 300 words, in pairs: what 0.75 links is found, and nothing else."""
+    passage, docs = prose(300, 8), []
+    for g in range(450):
+        own = prose(80, 5000 + g).split()
+        docs.append((2 * g, f"{passage} {' '.join(own)}"))
+        docs.append((2 * g + 1, f"{passage} {' '.join([*own[:55], *prose(25, 90_000 + g).split()])}"))
+    assert run(spark, random.Random(3).sample(docs, len(docs))) == brute(docs)
+
+
+def test_rows_of_one_id_belong_together(spark):
+    a, b, c = prose(50, 1), prose(50, 2), prose(50, 3)
+    rows = [(2, a), (5, a), (5, b), (5, b), (7, b), (8, c), (9, c), (9, None), (4, None), (4, "")]
+    found = N.find_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"], r["n_shingles"]) for r in found) == sorted(
+        [(2, 2, True, 46), (5, 2, False, 46), (5, 2, False, 46), (5, 2, False, 46), (7, 2, False, 46), (8, 8, True, 46), (9, 8, False, 46), (9, 8, False, 0), (4, 4, True, 0), (4, 4, True, 0)]
+    )
+    kept = N.filter_documents(spark.createDataFrame([*rows, (8, b)], "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == [2, 4]
 
 
 def test_odd_rows(spark, odd, none):
