@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from tessera import functions as X
 from tessera import operators as O
+from tessera.errors import RateLimitError
 from tessera.operators.catalog import invert_aliases
-from tessera.plans.scratch import write_once
+from tessera.plans.scratch import scratch_path, write_once
 from tessera.schemas import RAW
 
 
@@ -302,24 +303,198 @@ def chunk_failure(spark, sf_dir):
 
 def stream_ndjson(spark, sf_dir):
     """documents as NDJSON files, streamed to the end."""
-    import uuid
-
     from tessera.streaming import run_stream, stream_results
 
     d = _table(spark, sf_dir, "documents")
-    root = f"{_scratch_root(spark)}/stream-{uuid.uuid4().hex}"
+    root = scratch_path(spark, "stream")
     line = F.when(F.col("doc_id") % 10 == 0, F.lit('{"name":')).otherwise(F.to_json(F.struct(F.concat(F.lit("n"), F.col("doc_id").cast("string")).alias("name"), F.array("lang").alias("curies"))))
     d.select(line.alias("value")).write.text(f"{root}/in")
     run = run_stream(stream_results(spark, f"{root}/in"), f"{root}/out", f"{root}/checkpoint")
     return run.results.select("query_name", "resolved", "primary_curie", F.col("error").isNotNull().alias("bad"))
 
 
-def _scratch_root(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        write_once(spark.range(1), "root")
-        root = spark.conf.get("spark.checkpoint.dir")
-    return root.rstrip("/")
+# --- whole requests, files and runs -----------------------------------------
+
+
+def _suppliers(spark, sf_dir: str) -> DataFrame:
+    s = _table(spark, sf_dir, "supplier")
+    return s.select(F.col("s_suppkey").alias("ord"), F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 2 == 0, F.create_map(F.lit("HMDB"), F.col("s_suppkey").cast("string"))).alias("identifiers"))
+
+
+def request_bodies(spark, sf_dir):
+    """Whole bodies of chunks of four requests, with options."""
+    asked = O.requests(_suppliers(spark, sf_dir), entity_type="t", annotation_mode="all", annotators=["a", "b"])
+    return O.request_bodies(O.number_chunks(asked, size=4)).select("chunk_id", "n", "body")
+
+
+def request_defaults(spark, sf_dir):
+    """Requests without options; a null name is empty."""
+    names = _suppliers(spark, sf_dir).withColumn("name", F.when(F.col("ord") % 3 != 0, F.col("name")))
+    return O.requests(names).select("ord", F.to_json("request").alias("request"))
+
+
+def _dataset_file(spark, sf_dir: str) -> str:
+    """part as TSV files of several splits, names quoted where they must be, every third without an identifier."""
+    path = scratch_path(spark, "dataset-file") + ".tsv"
+    p = _table(spark, sf_dir, "part").select(F.concat("p_name", F.lit('\t"'), F.col("p_partkey").cast("string")).alias("name"), F.when(F.col("p_partkey") % 3 != 0, F.concat(F.lit("H"), F.col("p_partkey").cast("string"))).otherwise("").alias("hmdb_id"), F.col("p_brand").alias("unused"), "p_partkey")
+    p.repartitionByRange(3, "p_partkey").sortWithinPartitions("p_partkey").drop("p_partkey").write.options(sep="\t", header=True, quote='"', escape='"', emptyValue="").csv(path)
+    return path
+
+
+def _dataset_records(spark, sf_dir: str) -> DataFrame:
+    from tessera.sources import dataset_records, read_dataset
+
+    return dataset_records(read_dataset(spark, _dataset_file(spark, sf_dir), sep="\t"), name_column="name", provided_id_columns=["hmdb_id"])
+
+
+def dataset_requests(spark, sf_dir):
+    """A dataset file of several splits: ordinals are gapless and in file order."""
+    return _dataset_records(spark, sf_dir).select("ord", "name", F.element_at("identifiers", "hmdb_id").alias("hmdb_id"), F.size("identifiers").alias("n_ids"))
+
+
+def dataset_map(spark, sf_dir):
+    """The same file through a whole run of chunks."""
+    from tessera.plans import map_entities
+
+    return map_entities(_dataset_records(spark, sf_dir), _echo).select("ord", "query_name", "resolved", "primary_curie", "error")
+
+
+def dataset_stream(spark, sf_dir):
+    """A dataset answer that breaks off after all nations but ten: results so far and the error."""
+    from tessera.plans import map_dataset_file
+
+    names = [r["n_name"] for r in _table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]
+
+    def lines():
+        for name in names[:-10]:
+            yield json.dumps({"name": name, "curies": [f"C:{name}"]})
+            yield " "
+        raise OSError("cut off")
+
+    run = map_dataset_file("nations.tsv", lines(), spark=spark)
+    return run.results.join(F.broadcast(run.status().withColumnsRenamed({"error": "run_error", "complete": "run_complete"}))).select("ord", "query_name", "resolved", "primary_curie", "run_error", "run_complete")
+
+
+def feature_frame(spark, sf_dir):
+    """A pandas feature table with missing values of several kinds."""
+    import numpy as np
+
+    from tessera.sources import feature_table
+
+    frame = _features(spark, sf_dir).orderBy("ord").drop("ord").toPandas()
+    frame.loc[frame.index % 5 == 0, "match_level"] = np.nan
+    return feature_table(spark, frame).select("ord", "feature_id", "match_level", X.clean_name("matched_name").alias("name"))
+
+
+def empty_names(spark, sf_dir):
+    """Features whose names are blank, quotes alone or a suffix alone have no row in the queue."""
+    f = _features(spark, sf_dir)
+    k = F.col("ord") % 7
+    blank = F.when(k == 0, F.lit("")).when(k == 1, F.lit(' "" ')).when(k == 2, F.lit("_CE45")).when(k == 3, F.lit(None)).otherwise(F.col("matched_name"))
+    return _queue_columns(O.build_queue(f.withColumn("matched_name", blank)))
+
+
+def hints_of_results(spark, sf_dir):
+    """Both choices of the second vocabulary, none and both, and the fourth vocabulary."""
+    p = _table(spark, sf_dir, "part")
+    k, key = F.col("p_partkey"), F.array(F.col("p_partkey").cast("string"))
+    pairs = F.filter(F.array(F.struct(F.when(k % 2 == 0, F.lit("PUBCHEM.COMPOUND")).alias("v"), key.alias("c")), F.struct(F.when(k % 3 == 0, F.lit("PUBCHEM")).alias("v"), F.array_append(key, F.lit("z")).alias("c")), F.struct(F.when(k % 5 == 0, F.lit("refmet_id")).alias("v"), key.alias("c"))), lambda x: x["v"].isNotNull())
+    results = p.select(k.alias("ord"), F.col("p_name").alias("query_name"), F.lit("h").alias("hmdb_hint"), F.lit(False).alias("resolved"), F.lit(None).cast("string").alias("primary_curie"), F.lit(None).cast("string").alias("chosen_kg_id"), F.lit(None).cast("double").alias("confidence_score"), F.map_from_entries(pairs).alias("identifiers"), F.lit(None).cast("string").alias("error"))
+    return O.flatten(results, keep=["ord"]).select("ord", "pubchem_ids", "refmet_ids", "hmdb_ids")
+
+
+def order_mismatch(spark, sf_dir):
+    """Responses in reverse order: entries stay with the request of their place and are marked."""
+    from tessera.plans import map_entities
+
+    return map_entities(_suppliers(spark, sf_dir), _reversed).select("ord", "query_name", "primary_curie", "order_mismatch")
+
+
+def rate_limited(spark, sf_dir):
+    """Every second chunk is refused with a pause: its records are errors, the others are not."""
+    from tessera.plans import send_chunks
+
+    asked = write_once(O.number_chunks(O.requests(_suppliers(spark, sf_dir)), size=3), "asked")
+    out = O.correlate(asked, send_chunks(O.request_bodies(asked), _limited))
+    return out.select("ord", "query_name", "resolved", "error")
+
+
+def sink_tsv(spark, sf_dir):
+    """Flat rows written as TSV and read back."""
+    from tessera.sources import read_dataset, write_tsv
+
+    path = scratch_path(spark, "tsv")
+    write_tsv(_results(spark, sf_dir), path)
+    back = read_dataset(spark, path, sep="\t")
+    return back.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("query_name", "resolved", "primary_curie", "confidence_tier", "hmdb_ids", "chebi_ids", "error")], F.col("confidence_score").cast("double").alias("score"))
+
+
+def sink_json_lines(spark, sf_dir):
+    """Results written as JSON lines and read back."""
+    from tessera.sources import write_json_lines
+
+    path = scratch_path(spark, "json-lines")
+    write_json_lines(_results(spark, sf_dir), path)
+    back = spark.read.schema("ord long, query_name string, resolved boolean, primary_curie string, identifiers map<string,array<string>>, error string, raw_response string").json(path)
+    return back.select("ord", "query_name", "resolved", "primary_curie", X.join_ids(X.ids_for("identifiers", "CHEBI")).alias("chebi"), "error", "raw_response")
+
+
+def sink_pandas(spark, sf_dir):
+    """Results fetched as a pandas frame: the rows' places are the ordinals' order."""
+    from tessera.sources import results_to_pandas
+
+    frame = results_to_pandas(_results(spark, sf_dir).repartition(5))
+    return spark.createDataFrame([(i, n, bool(r), c) for i, (n, r, c) in enumerate(zip(frame["query_name"], frame["resolved"], frame["chebi_ids"]))], "place long, query_name string, resolved boolean, chebi_ids string")
+
+
+def annotators_json(spark, sf_dir):
+    """regions as annotators, through their JSON form."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col("r_name").alias("slug"), F.lower("r_name").alias("name"), F.when(F.col("r_regionkey") % 2 == 0, "even").alias("description"))))
+    return O.annotators(_table(spark, sf_dir, "region").agg(F.to_json(F.struct(rows.alias("annotators"))).alias("payload")))
+
+
+def vocabularies_json(spark, sf_dir):
+    """nations as vocabularies, some without aliases."""
+    n = _table(spark, sf_dir, "nation")
+    rows = F.collect_list(F.struct(F.col("n_name").alias("prefix"), F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit("http://x/"), F.col("n_nationkey").cast("string"))).alias("iri"), F.when(F.col("n_nationkey") % 2 == 0, F.array(F.lower("n_name"))).alias("aliases")))
+    return O.vocabularies(n.agg(F.to_json(F.struct(rows.alias("vocabularies"))).alias("payload"))).select("prefix", "iri", F.array_join("aliases", ",").alias("aliases"))
+
+
+def unknown_aliases(spark, sf_dir):
+    """Aliases of types that the catalog doesn't have are dropped."""
+    types = _table(spark, sf_dir, "region").where("r_regionkey < 3").select(F.col("r_regionkey").alias("pos"), F.col("r_name").alias("type"))
+    pairs = _table(spark, sf_dir, "nation").join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("alias"), F.col("r_name").alias("type"))
+    return invert_aliases(types, pairs).select("pos", "type", F.array_join("aliases", ",").alias("aliases"))
+
+
+def status_errors(spark, sf_dir):
+    """The kind of error, and what it quotes, of each status from 200 to 599."""
+    from tessera.sources.http import error_for
+
+    rows = [(s, error_for(s, {"Retry-After": "2.5"}, "y" * 500)) for s in range(200, 600)]
+    return spark.createDataFrame([(s, type(e).__name__ if e else None, str(e).count("y" * 10) * 10 if e else 0, e.retry_after if s == 429 else None) for s, e in rows], "status long, kind string, quoted long, retry_after double")
+
+
+def record_checks(spark, sf_dir):
+    """Records in memory: missing and null names, numbers as names, no identifiers."""
+    from tessera.sources import from_records
+
+    names = [r["n_name"] for r in _table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]
+    records = ({"name": [n, None, len(n), n][i % 4], "identifiers": {"HMDB": n} if i % 2 else None} if i % 5 else {} for i, n in enumerate(names))
+    return from_records(spark, records).select("ord", "name", F.try_element_at("identifiers", F.lit("HMDB")).alias("hmdb"))
+
+
+def _reversed(body: str) -> str:
+    got = json.loads(_echo(body))
+    got["results"].reverse()
+    return json.dumps(got)
+
+
+def _limited(body: str) -> str:
+    first = json.loads(body)["entities"][0]["name"]
+    if int(first.rpartition("#")[2]) // 3 % 2:
+        raise RateLimitError("slow down", retry_after=0.001)
+    return _echo(body)
 
 
 def flagship(spark, sf_dir):
@@ -334,10 +509,16 @@ def queries():
     own = (
         clean_name, extract_id, sql_functions, mapping_queue, queue_limit, api_record, join_back, build_results, flatten, ids_for, envelope_rules, ndjson_malformed,
         best_score, parse_props, tier, tier_filter, tier_counts, summary, vocab_coverage, coverage_top, catalog_json, catalog_resolve, chunk_counts, positional_correlate, chunk_failure, stream_ndjson, flagship,
+        request_bodies, request_defaults, dataset_requests, dataset_map, dataset_stream, feature_frame, empty_names, hints_of_results, order_mismatch, rate_limited, sink_tsv, sink_json_lines, sink_pandas,
+        annotators_json, vocabularies_json, unknown_aliases, status_errors, record_checks,
     )
     return {f.__name__: f for f in own} | {"invert_aliases": invert}
 
 
+#: The name of a part in the dataset file: a tab and a quote in it.
+_DATASET_NAME = "(p_name || chr(9) || '\"' || p_partkey)"
+
+
 def oracle_sql():
     invert_sql = "SELECT CAST(r_regionkey AS INT) AS pos, r_name AS type, coalesce(string_agg(n_name, ',' ORDER BY n_name), '') AS aliases FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name"
     tiers = f"SELECT event_id, {_TIER_SQL.format('score')} AS confidence_tier FROM s"
@@ -384,6 +565,33 @@ def oracle_sql():
         "chunk_failure": "SELECT event_id AS ord, 'e' || event_id AS query_name, event_id >= 1000 AS resolved, CASE WHEN event_id < 1000 THEN 'HTTP 500' END AS error FROM events",
         "stream_ndjson": """SELECT CASE WHEN doc_id % 10 = 0 THEN '<unknown>' ELSE 'n' || doc_id END AS query_name, doc_id % 10 <> 0 AS resolved,
             CASE WHEN doc_id % 10 <> 0 THEN lang END AS primary_curie, doc_id % 10 = 0 AS bad FROM documents""",
+        "request_bodies": """SELECT s_suppkey // 4 AS chunk_id, count(*) AS n, '{"entities":[' || string_agg('{"name":"' || s_name || '","entity_type":"t","identifiers":' || CASE WHEN s_suppkey % 2 = 0 THEN '{"HMDB":"' || s_suppkey || '"}' ELSE '{}' END
+            || ',"options":{"annotation_mode":"all","annotators":["a","b"]}}', ',' ORDER BY s_suppkey) || ']}' AS body FROM supplier GROUP BY 1""",
+        "request_defaults": """SELECT s_suppkey AS ord, '{"name":"' || CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE s_name END || '","entity_type":"biolink:SmallMolecule","identifiers":' || CASE WHEN s_suppkey % 2 = 0 THEN '{"HMDB":"' || s_suppkey || '"}' ELSE '{}' END
+            || ',"options":{"annotation_mode":"missing"}}' AS request FROM supplier""",
+        "dataset_requests": f"SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS ord, {_DATASET_NAME} AS name, CASE WHEN p_partkey % 3 <> 0 THEN 'H' || p_partkey END AS hmdb_id, CAST(p_partkey % 3 <> 0 AS INT) AS n_ids FROM part",
+        "dataset_map": f"SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS ord, {_DATASET_NAME} AS query_name, true AS resolved, 'C:' || {_DATASET_NAME} AS primary_curie, CAST(NULL AS VARCHAR) AS error FROM part",
+        "dataset_stream": "SELECT rank AS ord, n_name AS query_name, true AS resolved, 'C:' || n_name AS primary_curie, 'cut off' AS run_error, false AS run_complete FROM (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS rank, count(*) OVER () AS n FROM nation) WHERE rank < n - 10",
+        "feature_frame": f"WITH {_FEATURES_SQL} SELECT row_number() OVER (ORDER BY ord) - 1 AS ord, feature_id, CASE WHEN (row_number() OVER (ORDER BY ord) - 1) % 5 <> 0 THEN level END AS match_level, name FROM f",
+        "empty_names": f"WITH {_FEATURES_SQL.replace('FROM f GROUP', 'FROM f WHERE ord % 7 > 3 GROUP')} SELECT name, hmdb_hint, feature_ids, {_LEVEL_SQL} AS match_level, first_ord FROM q",
+        "hints_of_results": """SELECT p_partkey AS ord, CASE WHEN p_partkey % 2 = 0 THEN '' || p_partkey WHEN p_partkey % 3 = 0 THEN p_partkey || ';z' ELSE '' END AS pubchem_ids,
+            CASE WHEN p_partkey % 5 = 0 THEN '' || p_partkey ELSE '' END AS refmet_ids, '' AS hmdb_ids FROM part""",
+        "order_mismatch": """SELECT a.s_suppkey AS ord, a.s_name AS query_name, 'C:' || b.s_name AS primary_curie, a.s_name <> b.s_name AS order_mismatch
+            FROM (SELECT *, count(*) OVER (PARTITION BY s_suppkey // 1000) AS n FROM supplier) a JOIN supplier b ON b.s_suppkey = (a.s_suppkey // 1000) * 1000 + n - 1 - a.s_suppkey % 1000""",
+        "rate_limited": "SELECT s_suppkey AS ord, s_name AS query_name, s_suppkey // 3 % 2 = 0 AS resolved, CASE WHEN s_suppkey // 3 % 2 = 1 THEN 'slow down' END AS error FROM supplier",
+        "sink_tsv": f"""WITH {_RESULTS_SQL} SELECT query_name, CASE WHEN resolved THEN 'True' ELSE 'False' END AS resolved, CASE WHEN resolved THEN 'C:' || k ELSE '' END AS primary_curie,
+            CASE WHEN failed THEN 'unknown' WHEN score >= 2 THEN 'high' WHEN score >= 1 THEN 'medium' ELSE 'low' END AS confidence_tier, CASE WHEN failed THEN '' ELSE 'H' || k END AS hmdb_ids,
+            CASE WHEN failed THEN '' ELSE k || ';9' || k END AS chebi_ids, CASE WHEN failed THEN 'not found' ELSE '' END AS error, CASE WHEN NOT failed THEN score END AS score FROM r""",
+        "sink_json_lines": f"""WITH {_RESULTS_SQL} SELECT ord, query_name, resolved, CASE WHEN resolved THEN 'C:' || k END AS primary_curie, CASE WHEN failed THEN '' ELSE k || ';9' || k END AS chebi,
+            CASE WHEN failed THEN 'not found' END AS error, CAST(NULL AS VARCHAR) AS raw_response FROM r""",
+        "sink_pandas": f"WITH {_RESULTS_SQL} SELECT row_number() OVER (ORDER BY ord) - 1 AS place, query_name, resolved, CASE WHEN failed THEN '' ELSE k || ';9' || k END AS chebi_ids FROM r",
+        "annotators_json": "SELECT r_name AS slug, lower(r_name) AS name, CASE WHEN r_regionkey % 2 = 0 THEN 'even' END AS description FROM region",
+        "vocabularies_json": "SELECT n_name AS prefix, CASE WHEN n_nationkey % 3 = 0 THEN 'http://x/' || n_nationkey END AS iri, CASE WHEN n_nationkey % 2 = 0 THEN lower(n_name) ELSE '' END AS aliases FROM nation",
+        "unknown_aliases": f"SELECT * FROM ({invert_sql}) WHERE pos < 3",
+        "status_errors": """SELECT s AS status, CASE WHEN s IN (401, 403) THEN 'AuthError' WHEN s = 429 THEN 'RateLimitError' WHEN s >= 500 THEN 'ServerError' WHEN s >= 400 THEN 'HttpStatusError' END AS kind,
+            CASE WHEN s >= 500 THEN 200 ELSE 0 END AS quoted, CASE WHEN s = 429 THEN 2.5::DOUBLE END AS retry_after FROM range(200, 600) t(s)""",
+        "record_checks": """SELECT i AS ord, CASE WHEN i % 5 = 0 THEN '' WHEN i % 4 = 1 THEN NULL WHEN i % 4 = 2 THEN '' || length(n_name) ELSE n_name END AS name, CASE WHEN i % 2 = 1 AND i % 5 <> 0 THEN n_name END AS hmdb
+            FROM (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS i FROM nation)""",
         "flagship": f"""WITH {_FEATURES_SQL}, {_RESULTS_SQL}, fr AS (SELECT query_name, arg_min(resolved, ord) AS resolved, arg_min(failed, ord) AS failed, arg_min(k, ord) AS k, arg_min(score, ord) AS score FROM r GROUP BY query_name)
             SELECT feature_id, q.name AS query_name, {_LEVEL_SQL} AS match_level, coalesce(hmdb_hint, '') AS hmdb_hint, resolved, CASE WHEN resolved THEN 'C:' || k ELSE '' END AS primary_curie,
             CASE WHEN failed THEN 'unknown' WHEN score >= 2 THEN 'high' WHEN score >= 1 THEN 'medium' ELSE 'low' END AS confidence_tier,

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import csv
 import json
 import os
-import shutil
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from tessera.control import Progress, ticking
 from tessera.operators.export import flatten
 from tessera.schemas import RESULT_COLUMNS
 
@@ -25,18 +26,17 @@ def _tsv_rows(results: DataFrame) -> DataFrame:
 
 
 def write_tsv(results: DataFrame, path: str, *, single_file: bool = False) -> None:
-    """Flat rows with a header. A folder of part files; single_file: one file at ``path`` on a local disk, for small results."""
-    writer = _tsv_rows(results)
-    options = dict(sep="\t", header=True, emptyValue="", nullValue="", quote='"', escape='"')
+    """Flat rows with a header. A folder of part files wherever Spark can write; single_file: one file on the driver's disk, row by row as partitions come in."""
+    rows = _tsv_rows(results)
     if not single_file:
-        writer.write.mode("overwrite").options(**options).csv(path)
+        rows.write.mode("overwrite").options(sep="\t", header=True, emptyValue="", nullValue="", quote='"', escape='"').csv(path)
         return
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    draft = f"{path}.parts"
-    writer.coalesce(1).write.mode("overwrite").options(**options).csv(f"file://{os.path.abspath(draft)}")
-    (part,) = [n for n in os.listdir(draft) if n.startswith("part-")]
-    os.replace(os.path.join(draft, part), path)
-    shutil.rmtree(draft)
+    with open(path, "w", encoding="utf-8", newline="") as f:
+        out = csv.writer(f, delimiter="\t", lineterminator="\n")
+        out.writerow(rows.columns)
+        for row in rows.toLocalIterator(prefetchPartitions=True):
+            out.writerow(["" if x is None else x for x in row])
 
 
 def write_json_lines(results: DataFrame, path: str) -> None:
@@ -75,24 +75,12 @@ def results_to_pandas(results: DataFrame):
     return flatten(_ordered(results)).toPandas()
 
 
-def for_each_result(results: DataFrame, on_result: Callable[[Row], None], *, progress: bool = False, total_hint: int | None = None) -> int:
+def for_each_result(results: DataFrame, on_result: Callable[[Row], None], *, progress: Progress = False, total_hint: int | None = None) -> int:
     """Calls back for each result in order, on the driver; what the callback raises ends the walk."""
-    bar = None
-    if progress:
-        try:
-            from tqdm.auto import tqdm
-
-            bar = tqdm(total=total_hint, desc="Mapping")
-        except ImportError:
-            bar = None
     n = 0
-    try:
+    with ticking(progress, total_hint, "Mapping") as tick:
         for row in _ordered(results).toLocalIterator():
             n += 1
-            if bar is not None:
-                bar.update(1)
+            tick(1)
             on_result(row)
-    finally:
-        if bar is not None:
-            bar.close()
     return n

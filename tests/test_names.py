@@ -6,9 +6,9 @@ import pytest
 from tessera import functions as X
 
 NAMES = [
-    ('"1,3-Diphenylguanidine_CE45"', "1,3-Diphenylguanidine"),
-    ("compound_CE205060", "compound"),
-    ("compound_CE20_60", "compound"),
+    ('"N-Ethyl, mixed_CE7"', "N-Ethyl, mixed"),
+    ("acid_CE102030", "acid"),
+    ("acid_CE1_2_3", "acid"),
     ("X_CE", "X_CE"),
     ("X_ce45", "X_ce45"),
     ("X_CE_", "X"),

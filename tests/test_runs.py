@@ -1,11 +1,13 @@
 import json
 import sys
 import threading
+import types
 import warnings
-from http.server import BaseHTTPRequestHandler, HTTPServer
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 from tessera import operators as O
 from tessera import plans
@@ -28,7 +30,7 @@ def short(body):
 
 def second_fails(body):
     if json.loads(body)["entities"][0]["name"] == "n1000":
-        raise ServerError("Server error (HTTP 500): x", 500)
+        raise ServerError("Server error (HTTP 500): x", status_code=500)
     return echo(body)
 
 
@@ -80,8 +82,14 @@ def test_bad_envelopes_give_one_error_a_record(spark, transport):
 
 
 def test_order_mismatch_is_flagged_and_kept(spark):
-    got = rows(plans.map_entities(records(2), swapped, spark=spark))
+    got = rows(plans.map_entities(records(2), swapped, spark=spark, check_order=False))
     assert [(r["query_name"], r["primary_curie"], r["order_mismatch"]) for r in got] == [("n0", "C:n1", True), ("n1", "C:n0", True)]
+    with pytest.warns(RuntimeWarning, match="2 entries name another entity .* 'n0'"):
+        plans.map_entities(records(2), swapped, spark=spark)
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        plans.map_entities(from_records(spark, records(2)), swapped)
+        plans.map_entities(records(2), echo, spark=spark)
 
 
 def test_records(spark):
@@ -158,6 +166,97 @@ def test_partial_dataset_runs(spark):
     assert seen == ["a", "<unknown>"]
 
 
+def test_dataset_files_of_many_splits(spark, tmp_path):
+    """Files of several splits, and several files of different sizes: ordinals are gapless, in file order, and every row gets its own response."""
+    for name, first, n in (("a", 0, 3500), ("b", 3500, 10), ("c", 3510, 2000)):
+        (tmp_path / f"{name}.tsv").write_text("name\thmdb_id\n" + "".join(f"n{i}\tH{i}\n" for i in range(first, first + n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        frame = read_dataset(spark, str(tmp_path), sep="\t")
+        assert frame.rdd.getNumPartitions() >= 5
+        got = rows(plans.map_entities(dataset_records(frame, name_column="name", provided_id_columns=["hmdb_id"]), echo))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(r["ord"], r["query_name"], r["primary_curie"]) for r in got] == [(i, f"n{i}", f"C:n{i}") for i in range(5510)]
+    frame = spark.range(30, numPartitions=3).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"), (F.col("id") * 7 % 30).alias("by"))
+    got = rows(plans.map_entities(dataset_records(frame, name_column="name", provided_id_columns=[]), echo))
+    assert [(r["query_name"], r["resolved"]) for r in got] == [(f"n{i}", True) for i in range(30)]
+    by = rows(dataset_records(frame, name_column="name", provided_id_columns=["by"], ord_col="by"))
+    assert [r["ord"] for r in by] == list(range(30)) and [r["identifiers"]["by"] for r in by] == [str(i) for i in range(30)]
+
+
+def test_results_are_delivered_as_lines_come(spark):
+    asked, seen = [], []
+
+    def lines(n):
+        try:
+            for i in range(n):
+                asked.append(i)
+                yield json.dumps({"name": f"n{i}", "curies": ["C"]})
+                yield ""
+        finally:
+            asked.append("closed")
+
+    run = plans.map_dataset_file("x.tsv", lines(40), spark=spark, on_result=lambda r: seen.append((r["query_name"], len(asked))))
+    assert run.complete and [n for n, _ in seen] == [f"n{i}" for i in range(40)] and run.results.count() == 40
+    assert seen[0][1] == 1 and seen[2][1] <= 3, "the first result comes before the second line is asked for"
+    asked.clear()
+
+    def fails(row):
+        if row["query_name"] == "n2":
+            raise KeyError("mine")
+
+    with pytest.raises(KeyError, match="mine"):
+        plans.map_dataset_file("x.tsv", lines(10_000), spark=spark, on_result=fails)
+    assert asked[-1] == "closed" and len(asked) < 10
+    stop = plans.StopHandle(spark)
+    asked.clear()
+    run = plans.map_dataset_file("x.tsv", lines(10_000), spark=spark, on_result=lambda r: r["query_name"] == "n6" and stop.stop(), stop=stop)
+    assert not run.complete and "stopped" in run.error and run.results.count() == 7 and asked[-1] == "closed"
+
+
+def test_progress(spark, monkeypatch):
+    lines, got = [json.dumps({"name": str(i)}) for i in range(3)], []
+    plans.map_dataset_file("x.tsv", lines, spark=spark, progress=lambda done, total: got.append((done, total)), total_hint=10)
+    assert got == [(1, 10), (2, 10), (3, 10)]
+    got.clear()
+    assert len(rows(plans.map_entities(records(9100), echo, spark=spark, progress=lambda done, total: got.append((done, total))))) == 9100
+    assert got == [(4000, 9100), (8000, 9100), (9100, 9100)]
+    bars = []
+
+    class Bar:
+        def __init__(self, **options):
+            self.options, self.n, self.closed = options, 0, 0
+            bars.append(self)
+
+        def update(self, n):
+            self.n += n
+
+        def close(self):
+            self.closed += 1
+
+    monkeypatch.setitem(sys.modules, "tqdm", types.SimpleNamespace())
+    monkeypatch.setitem(sys.modules, "tqdm.auto", types.SimpleNamespace(tqdm=Bar))
+    plans.map_dataset_file("x.tsv", lines, spark=spark, progress=True)
+    plans.map_dataset_file("x.tsv", lines, spark=spark, total_hint=99)
+    assert [(b.options["total"], b.n, b.closed) for b in bars] == [(None, 3, 1)]
+    with pytest.raises(KeyError):
+        plans.map_dataset_file("x.tsv", lines, spark=spark, progress=True, total_hint=4, on_result=lambda r: {}["x"])
+    assert bars[-1].options["total"] == 4 and bars[-1].closed == 1
+    monkeypatch.setitem(sys.modules, "tqdm.auto", None)
+    assert plans.map_dataset_file("x.tsv", lines, spark=spark, progress=True).results.count() == 3
+
+
+def test_a_stopped_run_keeps_what_was_sent(spark):
+    stop = plans.StopHandle(spark)
+    got = rows(plans.map_entities(records(9100), echo, spark=spark, stop=stop, progress=lambda done, total: done >= 4000 and stop.stop()))
+    assert len(got) == 9100 and [r["ord"] for r in got if r["resolved"]] == list(range(4000))
+    assert {r["error"] for r in got[4000:]} == {"Not sent: the run was stopped"}
+    assert all(r["error"] for r in rows(plans.map_entities(records(3), echo, spark=spark, stop=stop)))
+    assert plans.map_entities([], echo, spark=spark, stop=plans.StopHandle(spark)).count() == 0
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.ndjson").write_text('{"name": "a", "curies": ["C"]}\n\n{"name": \n')
@@ -169,11 +268,16 @@ def test_stream(spark, tmp_path):
 
 
 class Service(BaseHTTPRequestHandler):
+    protocol_version = "HTTP/1.1"
+    peers: list = []
+
     def log_message(self, *a):
         pass
 
     def answer(self, code, body, **headers):
         self.send_response(code)
+        self.peers.append(self.client_address)
+        self.send_header("Content-Length", str(len(body.encode())))
         for k, v in headers.items():
             self.send_header(k.replace("_", "-"), v)
         self.end_headers()
@@ -199,20 +303,25 @@ class Service(BaseHTTPRequestHandler):
 
 @pytest.fixture(scope="module")
 def service():
-    server = HTTPServer(("127.0.0.1", 0), Service)
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Service)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     yield HttpTransport(Settings(f"http://127.0.0.1:{server.server_port}/", "k", timeout=10))
     server.shutdown()
 
 
 def test_http(spark, service, tmp_path):
-    assert service.health() == {"status": "ok"}
+    assert service.health() == {"status": "ok"} and service.health()
+    assert len(set(Service.peers)) == 1, "one connection for both"
+    service.close()
+    with service:
+        assert service.health() == {"status": "ok"}
+    assert service._kept is None and cloudpickle.loads(cloudpickle.dumps(service)).settings == service.settings
     assert rows(plans.map_entities(records(2), service, spark=spark))[1]["primary_curie"] == "C:n1"
     got = plans.map_entity("a", service, spark=spark, identifiers={"HMDB": "H"})
     assert got["resolved"] and got["hmdb_hint"] == "H" and got["raw_response"]
     with pytest.raises(ServerError) as e:
         plans.map_entity("bad", service, spark=spark)
-    assert e.value.status_code == 503 and str(e.value).count("y") <= 201
+    assert e.value.status_code == 503 and str(e.value).count("y" * 200) == 1 and "y" * 201 not in str(e.value)
     with pytest.raises(HttpStatusError):
         plans.map_entity("no", service, spark=spark)
     assert plans.list_catalog("entity-types", service, spark=spark).first()["aliases"] == ["a"]
@@ -233,4 +342,6 @@ def test_settings(monkeypatch):
     with pytest.raises(ConfigError):
         Settings("http://x")
     monkeypatch.setenv("TESSERA_API_KEY", "e")
+    with pytest.raises(ConfigError):
+        Settings("x")
     assert Settings("http://x/").base_url == "http://x" and Settings("http://x").api_key == "e"
