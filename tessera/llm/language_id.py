@@ -7,9 +7,9 @@ towards its domain's, which is smoothed towards that of all rows. Priors and
 the two likelihood tables are counts of the whole input, gathered by grouped
 aggregation over what the text alone says.
 
-The trigram models are fitted on labelled rows: about SAMPLE_ROWS rows of each
-language (all, if it has no more), those of the smallest hashes, whatever the
-size of the input. A label's language is its first part, of two to eight letters
+The trigram models are fitted on labelled rows: about SAMPLE_ROWS texts of each
+language (all, if it has no more), those of the smallest hashes, equal ones
+once, whatever the size of the input. A label trains and is no evidence. A label's language is its first part, of two to eight letters
 (pt-BR is pt, gsw stays gsw); every labelled language has a model. One further
 model, of single bytes, stands for "no known language".
 
@@ -118,16 +118,16 @@ def code_of(label: Column) -> Column:
 
 
 def sample(rows: DataFrame, sample_rows: int) -> DataFrame:
-    """Of rows (text, label, h) about ``sample_rows`` of each label by the hash h, never none: only counts are grouped."""
+    """Of rows (text, label, h) about ``sample_rows`` of each label by the hash h of the text, never none; equal texts count once."""
     share = F.lit(float(sample_rows)) / F.count("*")
     bound = F.when(share >= 1, F.lit((1 << 63) - 1)).otherwise((share * 2.0**64 - 2.0**63).cast("long"))
     bounds = materialize(rows.groupBy("label").agg(F.greatest(bound, F.min("h")).alias("bound")), "bounds")
-    return join_lookup(rows, bounds, "label", F.col("h")).where("h <= bound")
+    return join_lookup(rows, bounds, "label").where("h <= bound").dropDuplicates(["label", "h"])
 
 
-def fit(df: DataFrame, *, key: str, text_col: str, label_col: str, sample_rows: int = SAMPLE_ROWS) -> Model | None:
+def fit(df: DataFrame, *, text_col: str, label_col: str, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """A model of each label of a sample that is bounded for each; only summed counts reach the driver."""
-    rows = df.select(F.col(text_col).alias("text"), code_of(F.col(label_col)).alias("label"), F.xxhash64(key, text_col).alias("h"))
+    rows = df.select(F.col(text_col).alias("text"), code_of(F.col(label_col)).alias("label"), F.xxhash64(text_col).alias("h"))
     rows = sample(rows.where("text IS NOT NULL AND label IS NOT NULL"), sample_rows)
 
     def count(batches):
@@ -167,9 +167,10 @@ def domain_of(host: Column) -> Column:
 
 
 def suffix_of(address: Column) -> Column:
-    """Two letters: the first step of the path if it has two, else the top-level domain if it has."""
+    """Two letters of an address or a bare host name: the first step of the path if it has two, else the top-level domain if it has."""
     path = F.regexp_extract(address, r"(?i)^[a-z][a-z0-9+.-]*://[^/?#]+/([a-z]{2})(?:[/?#]|$)", 1)
-    return F.lower(F.coalesce(F.nullif(path, F.lit("")), F.nullif(F.regexp_extract(host_of(address), r"\.([a-z]{2})$", 1), F.lit(""))))
+    host = F.coalesce(host_of(address), F.lower(address))
+    return F.lower(F.coalesce(F.nullif(path, F.lit("")), F.nullif(F.regexp_extract(host, r"^[^/?#\s]*\.([a-z]{2})$", 1), F.lit(""))))
 
 
 def counted(rows: DataFrame, column: str, number: str = "n") -> DataFrame:
@@ -208,7 +209,7 @@ def host_priors(scored: DataFrame, n: int) -> DataFrame:
     counts = [each.get(i, 0) + 1.0 for i in range(n)]
     overall = F.array(*[F.lit(c / sum(counts)) for c in counts])
     domains = counted(parts, "__domain").select("__domain", F.col("counts").alias("in_domain"), F.col("total").alias("all_domain"))
-    both = join_lookup(hosts, materialize(domains, "domains"), "__domain", F.col("__host"))
+    both = join_lookup(hosts, materialize(domains, "domains"), "__domain")
 
     def prior(i):
         domain = (count_of(F.col("in_domain"), i) + PRIOR_ROWS * F.get(overall, i)) / (F.coalesce("all_domain", F.lit(0)) + PRIOR_ROWS)
@@ -220,7 +221,6 @@ def host_priors(scored: DataFrame, n: int) -> DataFrame:
 def identify(
     df: DataFrame,
     *,
-    key: str = "doc_id",
     text_col: str = "text",
     label_col: str | None = "lang",
     declared: Column | None = None,
@@ -234,12 +234,12 @@ def identify(
 
     Texts are scored in one pass and written once; priors and tables come from
     that table; the host's prior meets its rows in a checked broadcast or a
-    salted join.
+    shuffled join.
     """
     outputs = ("language", "posterior", "kept")
     columns = [c for c in (columns or df.columns) if c not in outputs]
     if model is None and label_col:
-        model = fit(df, key=key, text_col=text_col, label_col=label_col)
+        model = fit(df, text_col=text_col, label_col=label_col)
     if model is None:
         return df.select(*columns, F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("posterior"), F.lit(True).alias("kept"))
     n = len(model.languages)
@@ -255,9 +255,9 @@ def identify(
     host = host_of(address) if host is None else host
     ready = df.withColumns({"__host": host.cast("string"), "__declared": code_of(none if declared is None else declared), "__suffix": suffix_of(address)})
     scored = materialize(map_batches(ready, [*columns, "__host", "__declared", "__suffix"], [F.col(text_col)], score, {"scores": "array<double>", "text_best": "int"}), "scored")
-    rows = join_lookup(scored, host_priors(scored, n), "__host", F.struct("scores", "__declared"))
+    rows = join_lookup(scored, host_priors(scored, n), "__host")
     for column in ("__declared", "__suffix"):
-        rows = join_lookup(rows, evidence_table(scored, column, n), column, F.struct("scores", "__host"))
+        rows = join_lookup(rows, evidence_table(scored, column, n), column)
     flat, nothing = F.array_repeat(F.lit(-math.log(n)), n), F.array_repeat(F.lit(0.0), n + 1)
     prior = F.concat(F.transform(F.coalesce("prior", flat), lambda p: p + math.log(1 - NO_LANGUAGE)), F.array(F.lit(math.log(NO_LANGUAGE))))
     logs = functools.reduce(
@@ -274,17 +274,22 @@ def identify(
     return rows.select(*columns, language.alias("language"), posterior.alias("posterior"), kept.alias("kept"))
 
 
-def filter_documents(df: DataFrame, *, key: str = "doc_id", text_col: str = "text", label_col: str = "lang", host_col: str = "source") -> DataFrame:
-    """The rows in a known language, with the input's own columns; the label column also counts as declared."""
+def of_documents(df: DataFrame, *, text_col: str, label_col: str, host_col: str, columns: list[str]) -> DataFrame:
+    """Documents by their text, the language that markup in it declares, and their source as address and host; labels only train."""
+    return identify(df, text_col=text_col, label_col=label_col, declared=declared_in(F.col(text_col)), address=F.col(host_col), host=F.coalesce(host_of(F.col(host_col)), F.lower(host_col)), columns=columns)
+
+
+def filter_documents(df: DataFrame, *, text_col: str = "text", label_col: str = "lang", host_col: str = "source") -> DataFrame:
+    """The rows in a known language, with the input's own columns."""
     own = df.withColumnsRenamed({c: f"__in_{c}" for c in df.columns})
-    found = identify(own, key=f"__in_{key}", text_col=f"__in_{text_col}", label_col=f"__in_{label_col}", declared=F.col(f"__in_{label_col}"), host=F.col(f"__in_{host_col}"))
+    found = of_documents(own, text_col=f"__in_{text_col}", label_col=f"__in_{label_col}", host_col=f"__in_{host_col}", columns=own.columns)
     return found.where("kept").select(*[F.col(f"__in_{c}").alias(c) for c in df.columns])
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:
-    """All documents: text, declared language (lang) and source as host."""
+    """All documents; ``lang`` labels the sample that the models are fitted on and is no evidence."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
-    found = identify(docs, declared=F.col("lang"), host=F.col("source"), columns=["doc_id"])
+    found = of_documents(docs, text_col="text", label_col="lang", host_col="source", columns=["doc_id"])
     return found.select("doc_id", "language", F.round("posterior", 6).alias("posterior"), "kept")
 
 
@@ -292,9 +297,9 @@ def pages_language(spark, sf_dir: str) -> DataFrame:
     """All pages: text and declared language of the markup, address suffix, host and domain; models from documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    model = fit(docs, key="doc_id", text_col="text", label_col="lang")
+    model = fit(docs, text_col="text", label_col="lang")
     from tessera.llm.html_extract import extract_text
 
     texts = extract_text(pages.withColumn("declared", declared_in(F.col("html"))))
-    found = identify(texts, key="page_id", label_col=None, model=model, declared=F.col("declared"), address=F.col("url"), columns=["page_id"])
+    found = identify(texts, label_col=None, model=model, declared=F.col("declared"), address=F.col("url"), columns=["page_id"])
     return found.select("page_id", "language", F.round("posterior", 6).alias("posterior"), "kept")
