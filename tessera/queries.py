@@ -484,6 +484,93 @@ def record_checks(spark, sf_dir):
     return from_records(spark, records).select("ord", "name", F.try_element_at("identifiers", F.lit("HMDB")).alias("hmdb"))
 
 
+class _Single:
+    """A stand-in for the single endpoint."""
+
+    def single(self, request: dict) -> str:
+        return json.dumps({"result": {"name": request["name"], "curies": ["C:" + request["name"]]}, "metadata": {"request_id": "r"}})
+
+
+def single_entities(spark, sf_dir):
+    """regions one by one through the single endpoint, every second with an identifier."""
+    from tessera.plans import map_entity
+
+    names = [r["r_name"] for r in _table(spark, sf_dir, "region").orderBy("r_regionkey").collect()]
+    got = [map_entity(n, _Single(), spark=spark, identifiers={"HMDB": n.lower()} if i % 2 else None) for i, n in enumerate(names)]
+    return spark.createDataFrame([(r["query_name"], r["resolved"], r["primary_curie"], r["hmdb_hint"], r["raw_response"] is not None) for r in got], "query_name string, resolved boolean, primary_curie string, hmdb_hint string, has_raw boolean")
+
+
+def name_ids(spark, sf_dir):
+    """The identifiers of one vocabulary by name, of those that have any."""
+    r = _results(spark, sf_dir).select("query_name", F.explode(X.ids_for("identifiers", "CHEBI")).alias("id"))
+    return r.groupBy("query_name").agg(F.array_join(F.array_sort(F.collect_set("id")), ",").alias("ids"))
+
+
+def callback_rows(spark, sf_dir):
+    """What a callback and a progress function see of a dataset run, in order."""
+    from tessera.plans import map_dataset_file
+
+    names, seen, steps = [r["n_name"] for r in _table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()], [], []
+    lines = (json.dumps({"name": n, "curies": [n]}) for n in names)
+    map_dataset_file("n.tsv", lines, spark=spark, on_result=lambda r: seen.append((len(seen), r["query_name"])), progress=lambda done, total: steps.append((done, total)), total_hint=len(names))
+    return spark.createDataFrame([(*a, *b) for a, b in zip(seen, steps, strict=True)], "place long, query_name string, done long, total long")
+
+
+def stopped_run(spark, sf_dir):
+    """A run that is stopped after its first chunk: what was sent stays, the rest are errors."""
+    from tessera.plans import StopHandle, map_entities
+
+    stop = StopHandle(spark)
+    e = _table(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("name"))
+    return map_entities(e, _echo, parallel=1, stop=stop, progress=lambda done, total: stop.stop()).select("ord", "resolved", "error")
+
+
+def run_errors(spark, sf_dir):
+    """What calls that can't be done raise or warn of."""
+    import warnings
+
+    from tessera import plans
+    from tessera.sources import Settings
+
+    def broken(n):
+        yield from [json.dumps({"name": "a"})] * n
+        raise OSError("cut off")
+
+    calls = {
+        "comma": lambda: plans.mapping.dataset_query(name_column="n", provided_id_columns=["a,b"]),
+        "comma in annotators": lambda: plans.mapping.dataset_query(name_column="n", provided_id_columns=[], annotators=["a,b"]),
+        "before the first line": lambda: plans.map_dataset_file("x", broken(0), spark=spark),
+        "raise_for_error": lambda: plans.map_dataset_file("x", broken(2), spark=spark).raise_for_error(),
+        "callback": lambda: plans.map_dataset_file("x", broken(2), spark=spark, on_result=lambda r: {}["x"]),
+        "no address": lambda: Settings("nowhere", "key"),
+        "identifier": lambda: plans.map_entities([{"name": "a", "identifiers": {"HMDB": 3}}], _echo, spark=spark),
+        "limit": lambda: O.build_queue(_features(spark, sf_dir), limit=-1),
+        "delay": lambda: plans.map_entities([], _echo, spark=spark, rate_limit_delay=0.001),
+    }
+    rows = []
+    for name, call in calls.items():
+        with warnings.catch_warnings():
+            warnings.simplefilter("error", DeprecationWarning)
+            try:
+                call()
+                rows.append((name, None))
+            except Exception as e:
+                rows.append((name, type(e).__name__))
+    return spark.createDataFrame(rows, "call string, raised string")
+
+
+def dataset_params(spark, sf_dir):
+    """Parameters of the dataset endpoint, for each region another choice of options."""
+    from tessera.plans.mapping import dataset_query
+
+    rows = []
+    for r in _table(spark, sf_dir, "region").orderBy("r_regionkey").collect():
+        k, name = r["r_regionkey"], r["r_name"]
+        query = dataset_query(name_column=name, provided_id_columns=["a", "b"][: k % 3], annotators=["x", "y"] if k % 2 else None, vocab=name if k > 2 else None)
+        rows.append((k, "&".join(f"{a}={b}" for a, b in sorted(query.items()))))
+    return spark.createDataFrame(rows, "region int, query string")
+
+
 def _reversed(body: str) -> str:
     got = json.loads(_echo(body))
     got["results"].reverse()
@@ -510,7 +597,7 @@ def queries():
         clean_name, extract_id, sql_functions, mapping_queue, queue_limit, api_record, join_back, build_results, flatten, ids_for, envelope_rules, ndjson_malformed,
         best_score, parse_props, tier, tier_filter, tier_counts, summary, vocab_coverage, coverage_top, catalog_json, catalog_resolve, chunk_counts, positional_correlate, chunk_failure, stream_ndjson, flagship,
         request_bodies, request_defaults, dataset_requests, dataset_map, dataset_stream, feature_frame, empty_names, hints_of_results, order_mismatch, rate_limited, sink_tsv, sink_json_lines, sink_pandas,
-        annotators_json, vocabularies_json, unknown_aliases, status_errors, record_checks,
+        annotators_json, vocabularies_json, unknown_aliases, status_errors, record_checks, single_entities, name_ids, callback_rows, stopped_run, run_errors, dataset_params,
     )
     return {f.__name__: f for f in own} | {"invert_aliases": invert}
 
@@ -589,9 +676,17 @@ def oracle_sql():
         "vocabularies_json": "SELECT n_name AS prefix, CASE WHEN n_nationkey % 3 = 0 THEN 'http://x/' || n_nationkey END AS iri, CASE WHEN n_nationkey % 2 = 0 THEN lower(n_name) ELSE '' END AS aliases FROM nation",
         "unknown_aliases": f"SELECT * FROM ({invert_sql}) WHERE pos < 3",
         "status_errors": """SELECT s AS status, CASE WHEN s IN (401, 403) THEN 'AuthError' WHEN s = 429 THEN 'RateLimitError' WHEN s >= 500 THEN 'ServerError' WHEN s >= 400 THEN 'HttpStatusError' END AS kind,
-            CASE WHEN s >= 500 THEN 200 ELSE 0 END AS quoted, CASE WHEN s = 429 THEN 2.5::DOUBLE END AS retry_after FROM range(200, 600) t(s)""",
+            CAST(CASE WHEN s >= 500 THEN 200 ELSE 0 END AS BIGINT) AS quoted, CASE WHEN s = 429 THEN 2.5::DOUBLE END AS retry_after FROM range(200, 600) t(s)""",
         "record_checks": """SELECT i AS ord, CASE WHEN i % 5 = 0 THEN '' WHEN i % 4 = 1 THEN NULL WHEN i % 4 = 2 THEN '' || length(n_name) ELSE n_name END AS name, CASE WHEN i % 2 = 1 AND i % 5 <> 0 THEN n_name END AS hmdb
             FROM (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS i FROM nation)""",
+        "single_entities": "SELECT r_name AS query_name, true AS resolved, 'C:' || r_name AS primary_curie, CASE WHEN r_regionkey % 2 = 1 THEN lower(r_name) END AS hmdb_hint, true AS has_raw FROM region",
+        "name_ids": f"WITH {_RESULTS_SQL} SELECT query_name, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT query_name, k AS id FROM r WHERE NOT failed UNION SELECT query_name, '9' || k FROM r WHERE NOT failed) GROUP BY query_name",
+        "callback_rows": "SELECT i AS place, n_name AS query_name, i + 1 AS done, n AS total FROM (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS i, count(*) OVER () AS n FROM nation)",
+        "stopped_run": "SELECT event_id AS ord, event_id < 1000 AS resolved, CASE WHEN event_id >= 1000 THEN 'Not sent: the run was stopped' END AS error FROM events",
+        "run_errors": """SELECT * FROM (VALUES ('comma', 'ValueError'), ('comma in annotators', 'ValueError'), ('before the first line', 'OSError'), ('raise_for_error', 'MappingError'), ('callback', 'KeyError'),
+            ('no address', 'ConfigError'), ('identifier', 'ValueError'), ('limit', 'ValueError'), ('delay', 'DeprecationWarning')) t(call, raised)""",
+        "dataset_params": """SELECT r_regionkey AS region, 'annotation_mode=missing&' || CASE WHEN r_regionkey % 2 = 1 THEN 'annotators=x,y&' ELSE '' END || 'entity_type=biolink:SmallMolecule&name_column=' || r_name || '&provided_id_columns='
+            || CASE r_regionkey % 3 WHEN 1 THEN 'a' WHEN 2 THEN 'a,b' ELSE '' END || CASE WHEN r_regionkey > 2 THEN '&vocab=' || r_name ELSE '' END AS query FROM region""",
         "flagship": f"""WITH {_FEATURES_SQL}, {_RESULTS_SQL}, fr AS (SELECT query_name, arg_min(resolved, ord) AS resolved, arg_min(failed, ord) AS failed, arg_min(k, ord) AS k, arg_min(score, ord) AS score FROM r GROUP BY query_name)
             SELECT feature_id, q.name AS query_name, {_LEVEL_SQL} AS match_level, coalesce(hmdb_hint, '') AS hmdb_hint, resolved, CASE WHEN resolved THEN 'C:' || k ELSE '' END AS primary_curie,
             CASE WHEN failed THEN 'unknown' WHEN score >= 2 THEN 'high' WHEN score >= 1 THEN 'medium' ELSE 'low' END AS confidence_tier,
