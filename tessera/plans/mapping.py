@@ -185,7 +185,7 @@ def dataset_query(*, name_column: str, provided_id_columns: list[str], entity_ty
 
 
 #: Lines that a dataset run holds at once, and seconds that it lets lines wait for more.
-HELD_LINES, HELD_SECONDS = 1000, 1.0
+HELD_LINES, HELD_SECONDS = 20_000, 1.0
 
 
 def map_dataset_file(

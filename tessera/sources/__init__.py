@@ -1,7 +1,7 @@
 """Where records, features, responses and catalogs come from, and where results go."""
 
 from tessera.sources.http import HttpTransport, Settings
-from tessera.sources.records import dataset_records, feature_table, from_records, read_dataset, read_ndjson, with_ord
+from tessera.sources.records import dataset_records, feature_table, from_records, in_file_order, read_dataset, read_ndjson, with_ord
 from tessera.sources.sinks import for_each_result, results_to_pandas, save_results, write_json_lines, write_tsv
 
 __all__ = [
@@ -11,6 +11,7 @@ __all__ = [
     "feature_table",
     "for_each_result",
     "from_records",
+    "in_file_order",
     "read_dataset",
     "read_ndjson",
     "results_to_pandas",

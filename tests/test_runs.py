@@ -1,4 +1,5 @@
 import json
+import socket
 import sys
 import threading
 import types
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera import operators as O
 from tessera import plans
-from tessera.errors import AuthError, ConfigError, HttpStatusError, MappingError, RateLimitError, ServerError
+from tessera.errors import AuthError, ConfigError, HttpStatusError, MappingError, RateLimitError, RequestTimeout, ServerError
 from tessera.sources import HttpTransport, Settings, dataset_records, for_each_result, from_records, read_dataset, results_to_pandas, save_results, write_json_lines
 from tessera.streaming import run_stream, stream_results
 
@@ -87,7 +88,7 @@ def test_order_mismatch_is_flagged_and_kept(spark):
     with pytest.warns(RuntimeWarning, match="2 entries name another entity .* 'n0'"):
         plans.map_entities(records(2), swapped, spark=spark)
     with warnings.catch_warnings():
-        warnings.simplefilter("error")
+        warnings.simplefilter("error", RuntimeWarning)
         plans.map_entities(from_records(spark, records(2)), swapped)
         plans.map_entities(records(2), echo, spark=spark)
 
@@ -106,7 +107,7 @@ def test_delay_warns(spark):
     with pytest.warns(DeprecationWarning):
         plans.map_entities([], echo, spark=spark, rate_limit_delay=0.01)
     with warnings.catch_warnings():
-        warnings.simplefilter("error")
+        warnings.simplefilter("error", DeprecationWarning)
         assert plans.map_entities([], echo, spark=spark).count() == 0
 
 
@@ -284,6 +285,7 @@ class Service(BaseHTTPRequestHandler):
         self.wfile.write(body.encode())
 
     def do_GET(self):
+        self.path = self.path.removeprefix("http://far.invalid/v1")  # as a proxy is asked
         code = {"/health": 200, "/annotators": 401, "/vocabularies": 429, "/entity-types": 200}[self.path]
         body = '{"status": "ok"}' if self.path == "/health" else json.dumps({"entity_types": ["A"], "aliases": {"a": "A"}})
         self.answer(code, body, Retry_After="1.5" if code == 429 else "")
@@ -337,6 +339,30 @@ def test_http(spark, service, tmp_path):
         plans.map_dataset_file(str(tmp_path / "m.tsv"), service, spark=spark, name_column="name", provided_id_columns=["a,b"])
 
 
+def test_transport_options(service):
+    near = service.settings.base_url.removeprefix("http://")
+    with HttpTransport(Settings("http://far.invalid/v1/", "k", proxy=near, connect_timeout=2, headers={"X-More": "1"})) as far:
+        assert far.health() == {"status": "ok"}
+    with pytest.raises(MappingError):
+        HttpTransport(Settings("http://127.0.0.1:9", "k", timeout=2)).health()
+    with pytest.raises(OSError):
+        HttpTransport(Settings("https://127.0.0.1", "k", ca_file="/nowhere.pem"))._connect()
+
+
+def test_a_silent_service_times_out():
+    with socket.socket() as quiet:
+        quiet.bind(("127.0.0.1", 0))
+        quiet.listen()
+        with pytest.raises(RequestTimeout):
+            HttpTransport(Settings(f"http://127.0.0.1:{quiet.getsockname()[1]}", "k", timeout=0.2)).health()
+
+
+def test_a_closed_connection_is_opened_again(service):
+    assert service.health() == service.health()
+    service._kept.sock.shutdown(socket.SHUT_RDWR)
+    assert service.health() == {"status": "ok"}
+
+
 def test_settings(monkeypatch):
     monkeypatch.delenv("TESSERA_API_KEY", raising=False)
     with pytest.raises(ConfigError):
