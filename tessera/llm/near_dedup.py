@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import join_lookup, map_batches, materialize
-from tessera.llm.components import components
+from tessera.llm.components import components, extend, same_id_links, vertices, vertices_of_bare
 
 #: Words of a shingle; percentage of intersection over union from which documents are linked.
 WORDS, PERCENT = 5, 75
@@ -65,8 +65,6 @@ LEAST_MATCHES = int(HASHES * PERCENT / 100 - 6 * (HASHES * PERCENT / 100 * (1 -
 #: A sketch holds one bit of each signature value; two sketches that differ in more bits are no candidates: six standard deviations from the threshold.
 MOST_FLIPS = int(HASHES * (1 - PERCENT / 100) / 2 + 6 * (HASHES * (1 - PERCENT / 100) / 2 * (1 + PERCENT / 100) / 2) ** 0.5)
 SKETCH = HASHES // 8
-#: Words that a Python worker remembers the hash of.
-REMEMBERED = 40_000
 
 
 @functools.lru_cache(1)
@@ -75,23 +73,12 @@ def constants() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(rng.integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for n in (WORDS + 1, HASHES, HASHES))
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = got = xxhash.xxh3_64_intdigest(word)
-        return got
-
-
-_hashes = WordHashes()
-
-
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of a whole text."""
     words = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space alone
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     mult = constants()[0]
     n = max(len(h) - WORDS + 1, 1)
     mixed = np.full(n, min(len(h), WORDS), np.uint64) * mult[WORDS]
@@ -477,22 +464,6 @@ def alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return map_batches(both, ["a", "b"], [F.col("sa"), F.col("sb")], run, {"alike": "boolean"}).where("alike").select("a", "b")
 
 
-def vertices(used: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Rows (id, set_id, ...) with the vertex v each belongs to; the vertices (id, set_id, v, first) that differ from the id.
-
-    A vertex is an id. Only where rows of one id have different sets does each
-    set but the first get a vertex beyond all ids.
-    """
-    differ = used.groupBy("id").agg(F.min("set_id").alias("first"), F.max("set_id").alias("last")).where("first <> last").select("id", "first")
-    differ = materialize(differ, "differ")
-    if differ.isEmpty():
-        return used.withColumn("v", F.col("id")), None
-    top = used.agg(F.max("id")).first()[0]
-    more = used.select("id", "set_id").join(differ, "id").where("set_id <> first").distinct()
-    more = materialize(more.withColumn("v", F.lit(top) + 1 + F.monotonically_increasing_id()), "more")
-    return used.join(more.drop("first"), ["id", "set_id"], "left").withColumn("v", F.coalesce("v", "id")), more
-
-
 def texts_of(rows: DataFrame, more: DataFrame | None) -> DataFrame:
     """(v, text) of rows (id, text); rows of an id with several sets are told apart by their sets."""
     if more is None:
@@ -523,30 +494,23 @@ def find_duplicates(df: DataFrame, *, key: str = "doc_id", text_col: str = "text
 
     links = confirm(materialize(hub_pairs(crowded), "hubs"), texts)
     if more is not None:
-        # the sets of one id belong together
-        named = [firsts.withColumnsRenamed({"set_id": s, "class": c}) for s, c in (("first", "a"), ("set_id", "b"))]
-        links = links.unionByName(materialize(more.join(named[0], "first").join(named[1], "set_id").select("a", "b").distinct(), "same-id"))
-    near = components(links)
-    sizes = materialize(near.groupBy("c").agg(F.count("*").alias("members")), "sizes")
-    near = materialize(join_lookup(near, sizes, "c").select(F.col("v").alias("id"), "c", "members"), "near")
+        links = links.unionByName(same_id_links(more, firsts))
+    labels = components(links)
+    sizes = materialize(labels.groupBy("c").agg(F.count("*").alias("members")), "sizes")
+    near = materialize(join_lookup(labels, sizes, "c").select(F.col("v").alias("id"), "c", "members"), "near")
 
     regions = crowded.where("kind IN (0, 2)").select(*place, "n")
     labelled = materialize(join_lookup(regions, near, "id"), "labelled")
     labelled = labelled.withColumns({"c": F.coalesce("c", "id"), "members": F.coalesce("members", F.lit(1))})
     apart = neighbour_pairs(labelled.repartitionByRange(*place).sortWithinPartitions(*place))
-    links = links.unionByName(confirm(materialize(alike(apart, classes), "alike"), texts))
-    labels = components(links)
+    labels = extend(labels, confirm(materialize(alike(apart, classes), "alike"), texts))
 
     regions = regions.select("region", "id", "n", F.substring("suffix", 2 * SUFFIX + 1, SKETCH).alias("sketch"))
     labelled = materialize(join_lookup(regions, labels.withColumnRenamed("v", "id"), "id").withColumn("c", F.coalesce("c", "id")), "labelled")
-    labels = components(links.unionByName(materialize(crowded_links(labelled, texts), "crowded-links")))
-
-    # rows without words go with the rows of their id that have some
-    bare = sets.where("id IS NOT NULL AND set_id IS NULL").select("id").distinct()
-    named = used.join(bare, "id", "left_semi").join(firsts, "set_id").groupBy("id").agg(F.min("class").alias("of_id"))
-    placed = join_lookup(join_lookup(sets.drop("signature"), firsts, "set_id"), materialize(named, "named"), "id")
-    placed = placed.select("id", "n_shingles", F.coalesce("class", "of_id", "id").alias("v"))
-    out = join_lookup(placed, labels, "v")
+    labels = extend(labels, materialize(crowded_links(labelled, texts), "crowded-links"))
+
+    placed = vertices_of_bare(join_lookup(sets.drop("signature"), firsts, "set_id"), used, firsts)
+    out = join_lookup(placed.select("id", "n_shingles", "v"), labels, "v")
     component = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("c", "v"))
     return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), (F.col("id").isNull() | (F.col("id") == component)).alias("kept"))
 

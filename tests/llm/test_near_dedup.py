@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 
 from tessera.llm import near_dedup as N
-from tessera.llm.components import components
+from tessera.llm.components import components, extend
 from tessera.llm.queries import queries
 from tests.llm.conftest import prose
 
@@ -200,3 +200,15 @@ def test_components(spark):
     got = {r["v"]: r["c"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 140)}}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_extended_equal_those_of_all_links(spark):
+    rng = random.Random(7)
+    links = [(rng.randrange(200), rng.randrange(200)) for _ in range(130)]
+    frames = [spark.createDataFrame(x, "a long, b long") for x in (links[:60], links[60:], [])]
+    labels = components(frames[0])
+    for more in (frames[1], frames[2]):
+        labels = extend(labels, more)
+    want = {r["v"]: r["c"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert {r["v"]: r["c"] for r in labels.collect()} == want
+    assert extend(components(frames[2]), frames[2]).count() == 0
