@@ -34,8 +34,10 @@ from tessera.llm.common import map_batches, tokenizer_path
 
 #: Longest word, in parts, that the rank array handles.
 SHORT = 64
-#: Bytes that a cache of a Python worker takes per generation, about; two generations are kept.
-REMEMBERED = 16 << 20
+#: Bytes that a Python worker's memory of words takes, and that its memory of other pieces takes per generation of two, about.
+WORDS, REMEMBERED = 32 << 20, 4 << 20
+#: Words whose distinct ones are looked for at once.
+BLOCK = 1 << 18
 #: Bytes of one entry besides its piece and ids: two objects and a place in the table.
 ENTRY = 200
 _NONE = 1 << 30
@@ -51,8 +53,8 @@ _NEWER = (
 
 #: Separators that split() takes for white space and the vocabularies do not; white space of more than one character.
 _ODD_SPACE, _LONG_SPACE = re.compile("[\x1c-\x1f]"), re.compile(r"\s\s")
-#: Signs that both splitters put in one piece after the letters before them.
-_MARKS = ".,;:!?"
+#: A mark between a letter or number and white space is a piece of its own for both splitters; _LONE in front tells that no blank came before it.
+_MARK, _LONE = re.compile(r"(?<=[^\W_])([.,;:!?])(?=[ \n]|\Z)"), "\x02"
 
 
 def byte_alphabet() -> list[str]:
@@ -83,9 +85,12 @@ def lower(text: str) -> str:
     return text if text.isascii() or not _CAPITAL.search(text) else text.translate(_LOWER)
 
 
+#: Latin letters end before this one; their kind is the same in all versions of Unicode.
+LAST_PLAIN = "\u0250"
+
+
 def plain_letters(word: str) -> bool:
-    """Latin letters alone, whose kind is the same in all versions of Unicode."""
-    return word.isalpha() and (word.isascii() or max(word) < "\u0250")
+    return word.isalpha() and (word.isascii() or max(word) < LAST_PLAIN)
 
 
 class Remembered(dict):
@@ -110,20 +115,6 @@ class Remembered(dict):
         return got
 
 
-class Words(Remembered):
-    """Results by word; one that ends in marks is put together from the word without them and the marks, each remembered on its own."""
-
-    def __init__(self, make, known: Remembered):
-        super().__init__(make)
-        self.known = known
-
-    def __missing__(self, word: str) -> bytes:
-        body = word.rstrip(_MARKS)
-        if body != word and plain_letters(body):
-            return self[body] + self.known[word[len(body) :]]
-        return super().__missing__(word)
-
-
 class Codec:
     """Encoder and decoder for one vocabulary file."""
 
@@ -148,7 +139,8 @@ class Codec:
         self.byte_decoder = spec["decoder"] is not None
         self.blank = self.latin[0x20]
         self.known = Remembered(self.encode_piece)
-        self.words = Words(self.encode_word, self.known)
+        self.words: dict[str, bytes] = {}
+        self.most_words = WORDS // ENTRY
         self.prepare(path, model["merges"])
 
     def prepare(self, path: str, merges: list) -> None:
@@ -210,6 +202,11 @@ class Codec:
         parts = [self.vocab[c] for c in letters[:-1]]
         return self.merge([*parts, self.vocab[letters[-1] + self.suffix]])
 
+    def spell(self, word: str) -> bytes:
+        """Ids of a word of plain letters, which is one piece."""
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.latin)
+        return array("I", self.merge_letters(letters if self.by_word else self.blank + letters)).tobytes()
+
     def encode_word(self, word: str) -> bytes:
         """Ids of what lies between two places where no piece of the splitter can go on.
 
@@ -218,33 +215,77 @@ class Codec:
         feed there stands for itself.
         """
         known = self.known
-        if plain_letters(word):  # one piece
-            letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.latin)
-            return array("I", self.merge_letters(letters if self.by_word else self.blank + letters)).tobytes()
-        if not self.by_word and not word.startswith("\n"):
+        if word.startswith(_LONE):
+            word = word[1:]
+        elif not self.by_word and not word.startswith("\n"):
             word = " " + word
         return b"".join([known[p] for p in self.pieces(word)])
 
-    def _plain(self, text: str) -> bytes:
-        words, known = self.words, self.known
+    def learn(self, wanted: set[str]) -> list[str]:
+        """Puts the ids of all wanted words into ``words``; if these are many, what isn't wanted now goes. Returns those too long to stay."""
+        missing = wanted.difference(self.words)
+        if len(self.words) + len(missing) > self.most_words:
+            self.words = {w: ids for w in wanted if (ids := self.words.get(w)) is not None}
+        words, spell, long = self.words, self.spell, []
+        for word in missing:
+            words[word] = spell(word) if word.isalpha() and (word.isascii() or max(word) < LAST_PLAIN) else self.encode_word(word)
+            if len(word) > SHORT:
+                long.append(word)
+        return long
+
+    def split(self, text: str) -> tuple[bytes, list[str]] | None:
+        """What a text begins with, encoded, and its words; None where words don't tell the pieces."""
+        if "<|" in text and self.special and self.special.search(text):
+            return None
         if self.by_word:
             text = lower(text if text.isascii() else unicodedata.normalize("NFC", text))
-            if not _ODD_SPACE.search(text):
-                return b"".join([words[w] for w in text.split()])
-        elif not _LONG_SPACE.search(text):
-            first, *rest = text.replace("\n", " \n").split(" ")
-            return b"".join([*(known[p] for p in self.pieces(first)), *[words[w] for w in rest]])
-        return b"".join([known[p] for p in self.pieces(text)])
+            return None if _ODD_SPACE.search(text) or _LONE in text else (b"", _MARK.sub(r" \1", text).split())
+        if _LONG_SPACE.search(text) or _LONE in text:
+            return None
+        first, *rest = _MARK.sub(" " + _LONE + r"\1", text).replace("\n", " \n").split(" ")
+        return b"".join([self.known[p] for p in self.pieces(first)]), rest
+
+    def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text; each distinct word of a block of words is looked for once."""
+        data, block, held = [], [], 0
+
+        def end_block() -> None:
+            long = self.learn(set().union(*(w for _, w in block)))
+            words = self.words.__getitem__
+            for i, w in block:
+                data[i].append(b"".join(map(words, w)))
+            for word in long:
+                del self.words[word]
+            block.clear()
+
+        for i, text in enumerate(texts):
+            parts = self.split(text) if text else (b"", [])
+            data.append([self._whole(text) if parts is None else parts[0]])
+            words = parts[1] if parts else []
+            for at in range(0, len(words), BLOCK):
+                block.append((i, words[at : at + BLOCK]))
+                held += len(block[-1][1])
+                if held >= BLOCK:
+                    end_block()
+                    held = 0
+        end_block()
+        return [np.frombuffer(b"".join(x), np.uint32) for x in data]
 
     def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.uint32)
-        if self.special and "<|" in text and self.special.search(text):
-            runs = self.special.split(text)
-            data = b"".join(np.uint32(self.specials[r]).tobytes() if i % 2 else self._plain(r) for i, r in enumerate(runs))
-        else:
-            data = self._plain(text)
-        return np.frombuffer(data, np.uint32)
+        return self.encode_many([text])[0]
+
+    def _whole(self, text: str) -> bytes:
+        """A text with special tokens or unusual white space, piece by piece."""
+        runs = self.special.split(text) if self.special and self.special.search(text) else [text]
+        data = []
+        for i, run in enumerate(runs):
+            if i % 2:
+                data.append(np.uint32(self.specials[run]).tobytes())
+                continue
+            if self.by_word:
+                run = lower(run if run.isascii() else unicodedata.normalize("NFC", run))
+            data += [self.known[p] for p in self.pieces(run)]
+        return b"".join(data)
 
     def decode(self, ids) -> str:
         names = self.names
@@ -268,6 +309,10 @@ class LibraryCodec(Codec):
     def merge_letters(self, letters: str) -> list[int]:
         return [t.id for t in self.model.tokenize(letters)]
 
+    def spell(self, word: str) -> bytes:
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.latin)
+        return array("I", [t.id for t in self.model.tokenize(letters if self.by_word else self.blank + letters)]).tobytes()
+
 
 @functools.lru_cache(maxsize=1)
 def codec(path: str) -> Codec:
@@ -275,8 +320,11 @@ def codec(path: str) -> Codec:
 
 
 @functools.lru_cache(maxsize=1)
-def library_codec(path: str) -> LibraryCodec:
-    return LibraryCodec(path)
+def library_codec(path: str, words: int = WORDS) -> LibraryCodec:
+    """words: bytes that the memory of words may take in a worker."""
+    made = LibraryCodec(path)
+    made.most_words = words // ENTRY
+    return made
 
 
 def encode(df: DataFrame, path: str, *, text_col: str = "text", out_col: str = "ids", carry: list[str] | None = None) -> DataFrame:
@@ -284,7 +332,7 @@ def encode(df: DataFrame, path: str, *, text_col: str = "text", out_col: str = "
 
     def run(columns):
         own = codec(path)
-        rows = [own.encode(t) for t in columns[0].to_pylist()]
+        rows = own.encode_many(columns[0].to_pylist())
         ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
         flat = np.concatenate(rows) if rows else np.empty(0, np.uint32)
         return [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32)))]

@@ -37,8 +37,8 @@ def cut(df: DataFrame, path: str, *, key: str = "doc_id", text_col: str = "text"
 
     def run(columns):
         own, lengths, crcs, ids, counts = library_codec(path), [], [], [], [0]
-        for text in columns[0].to_pylist():
-            row = np.append(own.encode(text), np.uint32(end_id))
+        for row in own.encode_many(columns[0].to_pylist()):
+            row = np.append(row, np.uint32(end_id))
             for at in range(0, len(row), capacity):
                 piece = row[at : at + capacity]
                 lengths.append(len(piece))

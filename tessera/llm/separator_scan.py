@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from tessera.llm.bpe import library_codec
 from tessera.llm.common import materialize, slices, tokenizer_path
 from tessera.llm.files import new_folder, put, read_folder
+from tessera.llm.token_files import WORDS
 
 #: Ids of one block of the scan, and of one flat file.
 BLOCK_IDS = 1 << 20
@@ -44,13 +45,12 @@ def write_flat(df: DataFrame, path: str, folder: str, *, key: str = "doc_id", te
         raise ValueError(f"the end id {end_id} has more than {width} bytes")
 
     def write(batches):
-        own, stream = library_codec(path), TaskContext.get().partitionId()
+        own, stream = library_codec(path, WORDS), TaskContext.get().partitionId()
         dtype, held, n, seq, ordinal = f"<u{width}", [], 0, 0, 0
         for batch in batches:
             for part in slices(batch):
                 keys = part.column(0).to_pylist()
-                for text in part.column(1).to_pylist():
-                    ids = own.encode(text)
+                for ids in own.encode_many(part.column(1).to_pylist()):
                     if len(ids) and ((ids == end_id).any() or int(ids.max()) >> 8 * width):
                         raise ValueError(f"a text yields the end id {end_id} or an id of more than {width} bytes")
                     ids = np.append(ids, np.uint32(end_id))

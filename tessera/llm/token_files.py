@@ -9,7 +9,8 @@ index alone.
 
 Documents are dealt to streams by ranges of the key (bounds from the key column
 alone), sorted within a stream and cut into files of about FILE_IDS ids, so
-files in the order of their names hold all documents in ascending key order.
+files in the order of their names hold all documents in ascending key order. A
+key that many rows share spreads over streams of its own.
 
 Defined results: a null or empty text is the end id alone; null keys come
 first; rows with equal keys stay side by side; whole texts of any length are
@@ -25,7 +26,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import library_codec
@@ -37,6 +38,8 @@ MAGIC = b"TPLANE1\n"
 CHUNK_IDS = 1 << 16
 #: Ids after which a file is closed; a document is never cut.
 FILE_IDS = 1 << 22
+#: Bytes of a worker's memory of words: writing needs little else.
+WORDS = 96 << 20
 #: magic, stream, ids of the stream before this file.
 HEADER = struct.Struct("<8sqq")
 #: index place, size, crc32, magic.
@@ -98,32 +101,44 @@ def read_ids(data, chunks, first: int = 0, last: int | None = None) -> np.ndarra
     return np.concatenate(parts)[first - begin : last - begin] if parts else np.empty(0, np.uint32)
 
 
-def range_stream(df: DataFrame, key: str, streams: int):
-    """A column with the number of the key range a row belongs to, found by bisection of quantile bounds."""
+def range_stream(df: DataFrame, key: str, streams: int, salt: Column):
+    """A column with the number of the key range a row belongs to, found by bisection of quantile bounds.
+
+    A key that several quantiles hit has as many streams of its own, side by
+    side, among which the hash of ``salt`` chooses.
+    """
     cuts = [k / streams for k in range(1, streams)]
-    bounds = sorted({int(x) for x in df.select(F.col(key).cast("double")).approxQuantile(key, cuts, 0.25 / streams)}) if cuts else []
+    bounds = sorted(int(x) for x in df.select(F.col(key).cast("double")).approxQuantile(key, cuts, 0.25 / streams)) if cuts else []
     if not bounds:
         return F.lit(0)
-    array = f"array({', '.join(f'{b}L' for b in bounds)})"
-    steps = len(bounds).bit_length()
-    # lo counts the bounds below the key
+    values = sorted(set(bounds))
+    first = [bounds.index(v) for v in values]
+    array = f"array({', '.join(f'{b}L' for b in values)})"
+    places = f"array({', '.join(map(str, [*first, len(bounds)]))})"
+    times = f"array({', '.join(str(bounds.count(v)) for v in values)})"
+    steps = len(values).bit_length()
+    # lo counts the distinct bounds below the key
     found = (
-        f"aggregate(sequence(1, {steps}), named_struct('lo', 0, 'hi', {len(bounds)}), (s, i) -> "
+        f"aggregate(sequence(1, {steps}), named_struct('lo', 0, 'hi', {len(values)}), (s, i) -> "
         f"CASE WHEN s.lo >= s.hi THEN s WHEN get({array}, (s.lo + s.hi) div 2) < `{key}` "
         f"THEN named_struct('lo', cast((s.lo + s.hi) div 2 AS int) + 1, 'hi', s.hi) ELSE named_struct('lo', s.lo, 'hi', cast((s.lo + s.hi) div 2 AS int)) END, s -> s.lo)"
     )
-    return F.coalesce(F.expr(found), F.lit(0))
+    if len(values) == len(bounds):
+        return F.coalesce(F.expr(found), F.lit(0))
+    # the one-element array binds the place once
+    at = F.transform(F.array(F.expr(found)), lambda i: F.get(F.expr(places), i) + F.when(F.get(F.expr(array), i) == F.col(key), F.pmod(F.xxhash64(salt), F.get(F.expr(times), i)).cast("int")).otherwise(F.lit(0)))
+    return F.coalesce(at[0], F.lit(0))
 
 
 def write_files(df: DataFrame, path: str, folder: str, *, key: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
     """Encode, append the end id, write; the manifest (stream, name, docs, ids) is returned, written once."""
     streams = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.select(F.col(key).cast("long").alias("key"), F.col(text_col).alias("text"))
-    dealt = dealt.withColumn("stream", range_stream(dealt, "key", streams))
+    dealt = dealt.withColumn("stream", range_stream(dealt, "key", streams, F.col("text")))
     dealt = dealt.repartitionById(streams, F.col("stream")).sortWithinPartitions("stream", "key")
 
     def write(batches):
-        own, held = library_codec(path), {"stream": None, "seq": 0, "start": 0, "keys": [], "rows": [], "n": 0}
+        own, held = library_codec(path, WORDS), {"stream": None, "seq": 0, "start": 0, "keys": [], "rows": [], "n": 0}
 
         def close():
             if not held["keys"]:
@@ -140,13 +155,13 @@ def write_files(df: DataFrame, path: str, folder: str, *, key: str = "doc_id", t
 
         for batch in batches:
             for part in slices(batch):
-                for k, text, stream in zip(*(part.column(i).to_pylist() for i in range(3))):
+                for k, ids, stream in zip(part.column(0).to_pylist(), own.encode_many(part.column(1).to_pylist()), part.column(2).to_pylist()):
                     if stream != held["stream"] or held["n"] >= FILE_IDS:
                         if row := close():
                             yield table([row])
                         if stream != held["stream"]:
                             held.update(stream=stream, seq=0, start=0)
-                    ids = np.append(own.encode(text), np.uint32(end_id))
+                    ids = np.append(ids, np.uint32(end_id))
                     held["keys"].append(k)
                     held["rows"].append(ids)
                     held["n"] += len(ids)

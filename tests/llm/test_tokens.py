@@ -31,8 +31,11 @@ def test_codec_equals_the_library(path, kind):
     own, theirs, rng = kind(path), library(path), random.Random(4)
     pieces = ["the", "ing", " ", "  ", "\n", "É", "ß", "'s", "1", "!", "日", "\t", "Q", "_", "́"]
     texts = TEXTS + ["".join(rng.choices(pieces, k=rng.randint(1, 40))) for _ in range(400)]
-    for text, want in zip(texts, theirs.encode_batch(texts, add_special_tokens=False)):
+    many = own.encode_many([None, *texts, ""])
+    assert len(many[0]) == len(many[-1]) == 0
+    for text, both, want in zip(texts, many[1:], theirs.encode_batch(texts, add_special_tokens=False)):
         got = own.encode(text).tolist()
+        assert got == both.tolist()
         assert got == want.ids, repr(text)
         assert own.decode(got) == theirs.decode(got, skip_special_tokens=False)
     assert len(own.encode(None)) == 0 and own.decode([]) == ""
@@ -46,15 +49,23 @@ def test_every_code_point_is_split_as_by_the_library(path):
         assert [t for t, e in zip(texts, theirs.encode_batch(texts, add_special_tokens=False)) if own.encode(t).tolist() != e.ids] == []
 
 
+def test_blocks_of_words_leave_texts_whole(path, monkeypatch):
+    texts = [*TEXTS, prose(700), None, "", "y" * 900 + " y " + "y" * 900, prose(40, 2)]
+    want = [x.tolist() for x in bpe.Codec(path).encode_many(texts)]
+    for block in (1, 7, 300):
+        monkeypatch.setattr(bpe, "BLOCK", block)
+        own = bpe.Codec(path)
+        assert [x.tolist() for x in own.encode_many(texts)] == want
+        assert max(map(len, own.words)) <= bpe.SHORT
+
+
 def test_caches_stay_within_their_bytes(path):
     own, rng = bpe.LibraryCodec(path), random.Random(3)
-    for cache in (own.known, own.words):
-        cache.most = 500
+    own.known.most, own.most_words = 500, 500
     for _ in range(60):
-        own.encode(" ".join("".join(rng.choices("abcdefghijklmnop", k=9)) + rng.choice(["", ",", "7!"]) for _ in range(200)))
-    for cache in (own.known, own.words):
-        assert len(cache) <= 500 and len(cache.old) <= 500
-    assert bpe.REMEMBERED * 4 <= 64 << 20
+        own.encode_many([" ".join("".join(rng.choices("abcdefghijklmnop", k=9)) + rng.choice(["", ",", "7!"]) for _ in range(200))])
+        assert len(own.words) <= 500 and max(len(own.known), len(own.known.old)) <= 500
+    assert bpe.WORDS + 2 * bpe.REMEMBERED <= 64 << 20
 
 
 def test_long_words_merge_alike(path):
@@ -134,11 +145,22 @@ def test_token_files_of_odd_rows(spark, odd, none, monkeypatch):
 
 def test_streams_follow_the_key(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1009).alias("k"))
-    rows = df.withColumn("s", token_files.range_stream(df, "k", 8)).orderBy("k").collect()
+    rows = df.withColumn("s", token_files.range_stream(df, "k", 8, F.col("k"))).orderBy("k").collect()
     streams = [r["s"] for r in rows]
     assert streams == sorted(streams) and len(set(streams)) == 8 and max(streams.count(s) for s in set(streams)) < 300
 
 
+def test_a_key_of_many_rows_has_streams_of_its_own(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 2 == 0, F.lit(500)).otherwise(F.col("id") % 1000).alias("k"), "id")
+    rows = df.withColumn("s", token_files.range_stream(df, "k", 8, F.col("id"))).orderBy("s", "k").collect()
+    assert [r["k"] for r in rows] == sorted(r["k"] for r in rows)
+    assert len({r["s"] for r in rows if r["k"] == 500}) >= 3 and max(sum(r["s"] == s for r in rows) for s in range(8)) < 900
+    path, folder = tokenizer_path("byte_bpe_50k.json"), new_folder(spark, "test-files")
+    docs = df.select(F.col("k").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    back = token_files.read_files(spark, folder, token_files.write_files(docs, path, folder)).orderBy("start").collect()
+    assert [r["doc_id"] for r in back] == sorted(r["k"] for r in rows) and [r["start"] for r in back] == np.cumsum([0, *(r["n_tokens"] for r in back)])[:-1].tolist()
+
+
 def test_op9_and_blocks_of_any_size(spark, small):
     theirs = library(tokenizer_path("byte_bpe_50k.json"))
     want = {r["doc_id"]: len(theirs.encode(r["text"], add_special_tokens=False).ids) + 1 for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
