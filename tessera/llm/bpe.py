@@ -35,7 +35,7 @@ from tessera.llm.common import map_batches, tokenizer_path
 #: Longest word, in parts, that the rank array handles.
 SHORT = 64
 #: Bytes that a Python worker's memory of words takes, and that its memory of other pieces takes per generation of two, about.
-WORDS, REMEMBERED = 32 << 20, 4 << 20
+WORDS, REMEMBERED = 20 << 20, 4 << 20
 #: Words whose distinct ones are looked for at once.
 BLOCK = 1 << 18
 #: Bytes of one entry besides its piece and ids: two objects and a place in the table.
