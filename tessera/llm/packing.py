@@ -24,19 +24,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import library_codec
+from tessera.llm.bpe import WORDS, library_codec
 from tessera.llm.common import map_batches, materialize, tokenizer_path
 from tessera.llm.sharding import number_rows
 
 CAPACITY = 2048
 END_ID = 0
+#: Bytes of a worker's memory of words where nothing else runs beside packing.
+ALONE = 96 << 20
 
 
-def cut(df: DataFrame, path: str, *, key: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """One row for each piece: key, piece, start, length, ids_crc32, and the ids if asked for."""
+def cut(df: DataFrame, path: str, *, key: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, words: int = WORDS) -> DataFrame:
+    """One row for each piece: key, piece, start, length, ids_crc32, and the ids if asked for. words: bytes of a worker's memory of words."""
 
     def run(columns):
-        own, lengths, crcs, ids, counts = library_codec(path), [], [], [], [0]
+        own, lengths, crcs, ids, counts = library_codec(path, words), [], [], [], [0]
         for row in own.encode_many(columns[0].to_pylist()):
             row = np.append(row, np.uint32(end_id))
             for at in range(0, len(row), capacity):
@@ -131,8 +133,8 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, *, order: tuple[str, ...]
     return map_batches(numbered, pieces.columns, [F.col("row_no")], look_up, {"sequence_id": "long", "offset": "long"})
 
 
-def pack(df: DataFrame, path: str, *, key: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    pieces = cut(df, path, key=key, text_col=text_col, capacity=capacity, end_id=end_id, with_ids=with_ids)
+def pack(df: DataFrame, path: str, *, key: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, words: int = WORDS) -> DataFrame:
+    pieces = cut(df, path, key=key, text_col=text_col, capacity=capacity, end_id=end_id, with_ids=with_ids, words=words)
     return place(materialize(pieces, "pieces"), capacity, order=(key, "piece", "ids_crc32"))
 
 
@@ -144,4 +146,4 @@ def assemble(packed: DataFrame) -> DataFrame:
 
 def op4_packing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return pack(docs, tokenizer_path("word_bpe_49k.json")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack(docs, tokenizer_path("word_bpe_49k.json"), words=ALONE).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
