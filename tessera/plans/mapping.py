@@ -25,8 +25,8 @@ from tessera.sources.records import content_type, from_records, reject_commas
 Transport = Callable[[str], str]
 
 
-#: Chunks that are in flight at once unless told otherwise; steps in which a run that shows progress or can be stopped sends its chunks, at most.
-PARALLEL, STEPS = 4, 100
+#: Chunks that are in flight at once unless told otherwise; a run that shows progress or can be stopped sends in steps of so many chunks, or of this part of the chunks sent before.
+PARALLEL, STEP = 4, 0.1
 CANCELLED, STOPPED = "Not sent: the run was stopped", "The run was stopped"
 
 
@@ -38,8 +38,9 @@ def send_chunks(bodies: DataFrame, transport: Transport, *, parallel: int = PARA
     twice. Each of ``parallel`` tasks sends in order of the chunks and pauses as
     told after a 429; one task sends one chunk after the other. ``delay`` is a
     pause between the chunks of a task. A transport with ``close`` is opened and
-    closed by each task. A run with progress or a handle sends in steps; chunks
-    that a stopped run didn't send are errors of their own.
+    closed by each task. A run with progress or a handle sends in steps, the first
+    of ``parallel`` chunks, later ones of a tenth of what was sent; chunks that a
+    stopped run didn't send are errors of their own.
     """
 
     def send(batches):
@@ -75,9 +76,9 @@ def send_chunks(bodies: DataFrame, transport: Transport, *, parallel: int = PARA
         return spark.read.schema(names).parquet(path)
     last, records = bodies.agg(F.max("chunk_id"), F.sum("n")).first()
     last, sent = -1 if last is None else last, 0
-    width = max(parallel, -(-(last + 1) // STEPS))
     with ticking(progress, records or 0, "Mapping entities") as tick, tagged(spark, stop):
         while sent <= last and not (stop and stop.stopped):
+            width = max(parallel, int(sent * STEP))  # the first steps are single rounds, whatever the size of the run
             part = bodies.where(F.col("chunk_id").between(sent, sent + width - 1))
             try:
                 step(part)

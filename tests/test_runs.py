@@ -258,6 +258,22 @@ def test_a_stopped_run_keeps_what_was_sent(spark):
     assert plans.map_entities([], echo, spark=spark, stop=plans.StopHandle(spark)).count() == 0
 
 
+def test_a_long_run_stops_after_its_first_chunk(spark):
+    """More chunks than steps: the first step is one chunk nevertheless."""
+    from tessera.plans.mapping import CANCELLED, send_chunks
+
+    def run(stop, progress):
+        bodies = spark.range(250).selectExpr("id AS chunk_id", "1L AS n", "'{}' AS body")
+        return send_chunks(bodies, lambda body: body, parallel=1, stop=stop, progress=progress)
+
+    stop, seen = plans.StopHandle(spark), []
+    got = run(stop, lambda done, total: (seen.append((done, total)), stop.stop())).collect()
+    assert seen == [(1, 250)] and sorted((r["chunk_id"], r["response"], r["error"]) for r in got) == [(0, "{}", None)] + [(i, None, CANCELLED) for i in range(1, 250)]
+    seen.clear()
+    assert sorted(r["chunk_id"] for r in run(None, lambda done, total: seen.append(done)).collect() if r["response"]) == list(range(250))
+    assert seen[:10] == list(range(1, 11)) and seen[-1] == 250 and len(seen) < 60
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.ndjson").write_text('{"name": "a", "curies": ["C"]}\n\n{"name": \n')
