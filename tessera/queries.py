@@ -440,11 +440,15 @@ def sink_json_lines(spark, sf_dir):
 
 
 def sink_pandas(spark, sf_dir):
-    """Results fetched as a pandas frame: the rows' places are the ordinals' order."""
-    from tessera.sources import results_to_pandas
-
-    frame = results_to_pandas(_results(spark, sf_dir).repartition(5))
-    return spark.createDataFrame([(i, n, bool(r), c) for i, (n, r, c) in enumerate(zip(frame["query_name"], frame["resolved"], frame["chebi_ids"]))], "place long, query_name string, resolved boolean, chebi_ids string")
+    """Results fetched as pandas frames, one after the other: the rows' places are the ordinals' order."""
+    from tessera.sources import results_to_frames
+
+    path, names = scratch_path(spark, "pandas"), "place long, query_name string, resolved boolean, chebi_ids string"
+    spark.createDataFrame([], names).write.parquet(path)
+    for frame in results_to_frames(_results(spark, sf_dir).repartition(5)):
+        rows = [(i, n, bool(r), c) for i, n, r, c in zip(frame.index.tolist(), frame["query_name"], frame["resolved"], frame["chebi_ids"])]
+        spark.createDataFrame(rows, names).coalesce(1).write.mode("append").parquet(path)
+    return spark.read.schema(names).parquet(path)
 
 
 def annotators_json(spark, sf_dir):

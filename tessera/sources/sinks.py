@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import csv
+import itertools
 import json
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -66,13 +67,32 @@ def save_results(results: DataFrame, summary: dict | None = None, *, json_path:
         write_tsv(results, tsv_path, single_file=True)
 
 
-def results_to_pandas(results: DataFrame):
-    """The flat rows as a pandas frame, in order."""
+#: Rows of a frame where results are fetched in several.
+FRAME_ROWS = 20_000
+
+
+def results_to_frames(results: DataFrame, *, rows: int = FRAME_ROWS) -> Iterator:
+    """The flat rows as pandas frames of at most ``rows`` rows, in order and numbered through; the driver holds a partition and a frame."""
     try:
-        import pandas  # noqa: F401
+        import pandas
     except ImportError as e:
         raise ImportError("pandas is needed to fetch results as a pandas frame") from e
-    return flatten(_ordered(results)).toPandas()
+    flat, at = flatten(_ordered(results)), 0
+    walk = flat.toLocalIterator()
+    while part := [tuple(row) for row in itertools.islice(walk, rows)]:
+        index = pandas.RangeIndex(at, at + len(part))
+        yield pandas.DataFrame.from_records(part, columns=flat.columns, index=index).astype({"confidence_score": "float64"})
+        at += len(part)
+
+
+def results_to_pandas(results: DataFrame):
+    """The flat rows as one pandas frame, in order; it has to fit the driver, else ``results_to_frames``."""
+    parts = list(results_to_frames(results))
+    if not parts:
+        return flatten(results).limit(0).toPandas()
+    import pandas
+
+    return pandas.concat(parts)
 
 
 def for_each_result(results: DataFrame, on_result: Callable[[Row], None], *, progress: Progress = False, total_hint: int | None = None) -> int:

@@ -138,6 +138,21 @@ def test_sinks(spark, tmp_path):
         for_each_result(results, lambda r: {}["x"])
 
 
+def test_results_in_frames(spark):
+    """Frames of bounded size hold all rows in order; together they are the one frame."""
+    from tessera.sources import results_to_frames
+
+    results = plans.map_entities(records(95), echo, spark=spark).repartition(3)
+    frames = list(results_to_frames(results, rows=20))
+    assert [len(f) for f in frames] == [20, 20, 20, 20, 15] and [i for f in frames for i in f.index] == list(range(95))
+    whole = results_to_pandas(results)
+    assert [n for f in frames for n in f["query_name"]] == list(whole["query_name"]) == [f"n{i}" for i in range(95)]
+    want = O.flatten(results.orderBy("ord")).toPandas()
+    assert whole.equals(want) and (whole.dtypes == want.dtypes).all()
+    none = results_to_pandas(results.where("false"))
+    assert list(none.columns) == list(want.columns) and not len(none)
+
+
 def test_dataset_files(spark, tmp_path):
     (tmp_path / "a.tsv").write_text("name\thmdb_id\nglucose\tHMDB1\nalanine\t\n")
     (tmp_path / "a.csv").write_text('name,hmdb_id\n"x, y",H\n')
