@@ -9,7 +9,10 @@ is as wide as its rows need: the shortest prefix of a word that few rows share
 brings all of these together. Images that share several words are held against
 each other, all features with all: a consensus must map enough places of one on
 the other by one rotation, scale and shift, and a good part of what should be
-seen. Linked images form components.
+seen. Linked images form components. Then all pairs of images of different
+components that share several whole words are held against each other in cells
+of two blocks of images, which hold their features and words and return only
+links: no crowd of rows hides a pair that shares whole words.
 
 Equal bytes are collapsed first. Rows that share a whole word with many others,
 as all copies of an image do, meet the row before and the run's first, so a part
@@ -37,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import join_lookup, map_batches, materialize
-from tessera.llm.components import components, same_id_links, vertices, vertices_of_bare
+from tessera.llm.components import components, extend, same_id_links, vertices, vertices_of_bare
 
 #: Scales, each smaller than the one before by STEP; corners kept at each (part of the descriptor).
 SCALES, STEP, CORNERS = 4, 2 ** (1 / 3), 16
@@ -55,8 +58,8 @@ MOST, MEETINGS, RUN = 6, 4, 1 << 20
 CELL, DEGREES, TRIED, LEAST_VOTES = 24.0, 30.0, 3, 4
 #: Pixels a match may be off; score of the places that link two images; their share of what should be seen; largest scale.
 OFF, SCORE, SHARE, MOST_ZOOM = 5.0, 6.0, 0.35, 2.5
-#: Images of a task.
-TASK_IMAGES = 1000
+#: Images of a task; of a block, two of which make a cell; cells at least; tasks of cells at most; pairs looked at at once; images of a component that others of it pass by.
+TASK_IMAGES, BLOCK, SPREAD, MOST_TASKS, PAIRS, CROWD = 1000, 4096, 24, 2000, 128, 64
 
 
 def decode(data: bytes | None) -> np.ndarray | None:
@@ -283,8 +286,8 @@ def meet(keys: np.ndarray, ids: np.ndarray, first: tuple[int, int] | None = None
 
     The shortest prefix, of LEVELS, that at most MOST rows share brings all of
     these together; so tables are as wide as their rows need. Rows that share a
-    whole word with more, copies all of them, meet the row before and the run's
-    first. first: the first row of the run that goes on here.
+    whole word with more, copies most of them, meet the row before and the run's
+    first, which joins copies; ``rest`` takes their other pairs. first: the first row of the run that goes on here.
     """
     found, open_rows = [np.empty((0, 2), np.int64)], np.arange(len(keys))
     for shift in LEVELS:
@@ -325,8 +328,8 @@ def consensus(one: bytes, two: bytes) -> float:
     worth = 1 - apart[i, j] / (DISTANCE + 1)
     if worth.sum() < SCORE:
         return 0.0
-    p, q = a["x"][i] + 1j * a["y"][i], b["x"][j] + 1j * b["y"][j]
-    turn, zoom = b["degrees"][j] - a["degrees"][i], b["scale"][j] - a["scale"][i]
+    p, q = (x["x"][k].astype(float) + 1j * x["y"][k] for x, k in ((a, i), (b, j)))
+    turn, zoom = b["degrees"][j].astype(float) - a["degrees"][i], b["scale"][j] - a["scale"][i]
     step = np.round(turn / DEGREES) % (360 / DEGREES)
     shift = q - STEP**zoom * np.exp(1j * np.radians(step * DEGREES)) * p
     best = 0.0
@@ -369,6 +372,202 @@ def _places(points: np.ndarray, worth: np.ndarray) -> float:
     return float(most.sum())
 
 
+def grid(packed: list[bytes]) -> dict[str, np.ndarray]:
+    """The features of images in rectangular arrays, with a mask of those that are there."""
+    rows = [unpack(x)[1] for x in packed]
+    out = np.zeros((len(rows), max(map(len, rows))), FEATURE)
+    there = np.zeros(out.shape, bool)
+    for k, r in enumerate(rows):
+        out[k, : len(r)], there[k, : len(r)] = r, True
+    sizes = np.array([unpack(x)[0] for x in packed])
+    return {name: np.ascontiguousarray(out[name]) for name in FEATURE.names} | {"there": there, "height": sizes[:, 0], "width": sizes[:, 1]}
+
+
+def _sums(run: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(run, values.real, n) + 1j * np.bincount(run, values.imag, n)
+
+
+def _places_of(run: np.ndarray, points: np.ndarray, worth: np.ndarray, n: int) -> np.ndarray:
+    """``_places`` of each of n runs."""
+    place = np.floor(points.real / OFF) * 1e6 + np.floor(points.imag / OFF)
+    order = np.lexsort((worth, place, run))
+    run, place, worth = run[order], place[order], worth[order]
+    last = np.append((run[1:] != run[:-1]) | (place[1:] != place[:-1]), True)[: len(run)]
+    return np.bincount(run[last], worth[last], n)
+
+
+def may_agree(a: dict, b: dict, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Which pairs (one of a, two of b) ``consensus`` finds above 0: its steps for many pairs at once, sums but for their rounding."""
+    may = np.zeros(len(one), bool)
+    apart = sum(np.bitwise_count(a["bits"][one][:, :, None, k] ^ b["bits"][two][:, None, :, k]) for k in range(BITS // 64))
+    pair, i, j = np.nonzero((apart <= DISTANCE) & a["there"][one][:, :, None] & b["there"][two][:, None, :])
+    worth = 1 - apart[pair, i, j] / (DISTANCE + 1)
+    enough = np.bincount(pair, worth, len(one))[pair] >= SCORE - 1e-3
+    pair, i, j, worth = pair[enough], i[enough], j[enough], worth[enough]
+    if not len(pair):
+        return may
+    i, j = (one[pair], i), (two[pair], j)
+    p, q = (x["x"][k].astype(float) + 1j * x["y"][k] for x, k in ((a, i), (b, j)))
+    turn, zoom = b["degrees"][j].astype(float) - a["degrees"][i], b["scale"][j] - a["scale"][i]
+    step = np.round(turn / DEGREES) % (360 / DEGREES)
+    shift = q - STEP**zoom * np.exp(1j * np.radians(step * DEGREES)) * p
+    begin, size = np.searchsorted(pair, np.arange(len(one))), np.bincount(pair, minlength=len(one))
+    for half in (0.0, 0.5):
+        cells = np.stack([step, zoom, np.floor(shift.real / CELL + half), np.floor(shift.imag / CELL + half)], 1).astype(np.int64)
+        code = ((cells[:, 0] * 64 + cells[:, 1] + 32) << 32) + ((cells[:, 2] + 32768) << 16) + cells[:, 3] + 32768
+        order = np.lexsort((code, pair))
+        cut = np.append(True, (code[order][1:] != code[order][:-1]) | (pair[order][1:] != pair[order][:-1]))
+        cell = np.empty(len(order), np.int64)
+        cell[order] = np.cumsum(cut) - 1
+        votes, of = np.bincount(cell), pair[order][cut]
+        best = np.lexsort((np.arange(len(votes)), -votes, of))
+        place = np.arange(len(best)) - np.searchsorted(of[best], of[best])
+        tried = best[(place < TRIED) & (votes[best] >= LEAST_VOTES)]
+        if not len(tried):
+            continue
+        # every cell with all matches of its pair
+        n = size[of[tried]]
+        run = np.repeat(np.arange(len(tried)), n)
+        row = np.repeat(begin[of[tried]] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+        fits = cell[row] == tried[run]
+        for _ in range(3):
+            r, at = run[fits], row[fits]
+            count = np.bincount(r, minlength=len(tried))
+            mean_p, mean_q = (_sums(r, z[at], len(tried)) / count for z in (p, q))
+            u, v = p[at] - mean_p[r], q[at] - mean_q[r]
+            spread = np.bincount(r, u.real**2 + u.imag**2, len(tried))
+            scale = _sums(r, v * np.conj(u), len(tried)) / np.maximum(spread, 0.5)
+            fine = (spread > 1) & (np.abs(scale) > 1 / MOST_ZOOM) & (np.abs(scale) < MOST_ZOOM)
+            off = np.abs((turn[row] - np.degrees(np.angle(scale))[run] + 180) % 360 - 180)
+            fits = (np.abs(scale[run] * p[row] + (mean_q - scale * mean_p)[run] - q[row]) < OFF) & (off < DEGREES)
+            fine &= np.bincount(run, worth[row] * fits, len(tried)) >= SCORE
+            # cells that are left, by new numbers
+            stay = fine[run]
+            run, row, fits, tried = (np.cumsum(fine) - 1)[run[stay]], row[stay], fits[stay], tried[fine]
+            scale, move = scale[fine], (mean_q - scale * mean_p)[fine]
+            if not len(tried):
+                break
+        if not len(tried):
+            continue
+        r, at = run[fits], row[fits]
+        score = np.minimum(*(_places_of(r, z[at], worth[at], len(tried)) for z in (p, q)))
+        left = np.flatnonzero(score >= SCORE - 1e-6)
+        of_left = of[tried[left]]
+        corner, m = a["x"][one[of_left]] + 1j * a["y"][one[of_left]], RADIUS + 5
+        seen = scale[left, None] * corner + move[left, None]
+        height, width = b["height"][two[of_left], None], b["width"][two[of_left], None]
+        inside = a["there"][one[of_left]] & (seen.real >= m) & (seen.real < width - m) & (seen.imag >= m) & (seen.imag < height - m)
+        r, k = np.nonzero(inside)
+        may[of_left[score[left] >= SHARE * _places_of(r, corner[r, k], np.ones(len(r)), len(left)) - 1e-6]] = True
+    return may
+
+
+def shared(one: list[np.ndarray], two: list[np.ndarray], of_one: np.ndarray, of_two: np.ndarray):
+    """(k, places in two) for each image k of one: the images of other components that share MEETINGS words or more with it, however many rows a word has.
+
+    The words are sorted and distinct.
+    """
+    keys, place = np.concatenate(two), np.repeat(np.arange(len(two)), [len(w) for w in two])
+    order = np.lexsort((place, keys))
+    every = keys[order], place[order]
+    many = np.unique(of_two, return_counts=True)
+    many, without = set(many[0][many[1] > CROWD].tolist()), {}
+    for k in np.argsort(of_one, kind="stable"):
+        # an image doesn't walk through a crowd of its own component
+        rest = every
+        if int(of_one[k]) in many:
+            if int(of_one[k]) not in without:
+                keep = of_two[every[1]] != of_one[k]
+                without = {int(of_one[k]): (every[0][keep], every[1][keep])}
+            rest = without[int(of_one[k])]
+        lo, hi = np.searchsorted(rest[0], one[k], "left"), np.searchsorted(rest[0], one[k], "right")
+        n = hi - lo
+        rows = np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+        found = np.flatnonzero(np.bincount(rest[1][rows], minlength=len(two)) >= MEETINGS)
+        found = found[of_two[found] != of_one[k]]
+        if len(found):
+            yield int(k), found
+
+
+def _blocks(df: DataFrame) -> dict[int, list[str]]:
+    """The files of a written table by the number of the partition that wrote them."""
+    out: dict[int, list[str]] = {}
+    for name in sorted(df.inputFiles()):
+        out.setdefault(int(name.rpartition("/")[2].split("-")[1]), []).append(name)
+    return out
+
+
+def _read(names: list[str]) -> pa.Table:
+    from pyarrow import fs, parquet
+
+    parts = []
+    for name in names:
+        store, path = fs.FileSystem.from_uri(name.replace("s3a://", "s3://", 1))
+        parts.append(parquet.read_table(path, filesystem=store, partitioning=None))
+    return pa.concat_tables(parts)
+
+
+def rest(feats: DataFrame, labels: DataFrame, blocks: int) -> DataFrame:
+    """Links (a, b) between different components (v, c) of images that share MEETINGS whole words or more: all such pairs, whatever was crowded.
+
+    feats: a written table (id, feats, words) in that many hash partitions of
+    its ids. A cell holds two of them, read from the shared folder, and returns
+    only links.
+    """
+    spark = feats.sparkSession
+    tags = feats.select("id").join(labels, feats["id"] == labels["v"], "left").select("id", F.coalesce("c", "id").alias("c"))
+    tags = materialize(tags.repartition(blocks, "id"), "media-tags")
+    files, of = _blocks(feats), _blocks(tags)
+    own = sorted(files)
+    slices = max(1, -(-SPREAD // max(1, len(own) * (len(own) + 1) // 2)))
+    cells = [(x, y, k) for n, x in enumerate(own) for y in own[n:] for k in range(slices)]
+    if not cells:
+        return spark.createDataFrame([], "a long, b long")
+
+    def load(k):
+        table, tag = _read(files[k]).sort_by("id"), _read(of.get(k, [])).sort_by("id")
+        assert table["id"].equals(tag["id"]), "blocks and their components differ"
+        return table["id"].to_numpy(), tag["c"].to_numpy(), table["feats"].to_pylist(), [np.frombuffer(w, "<u8") for w in table["words"].to_pylist()]
+
+    def run(batches):
+        for batch in batches:
+            for x, y, part in zip(*(c.to_pylist() for c in batch.columns[:3])):
+                two = load(y)
+                one = two if x == y else load(x)
+                if not len(one[0]) or not len(two[0]):
+                    continue
+                a, b = grid(one[2]), grid(two[2])
+                mine = np.arange(part, len(one[0]), slices)
+                links, held = [], []
+
+                def hold():
+                    i, j = (np.concatenate(c) for c in zip(*held))
+                    held.clear()
+                    up = one[0][i] < two[0][j]  # in the order of ids, as other candidates are
+                    for left, right, f, g, p, q in ((one, two, a, b, i[up], j[up]), (two, one, b, a, j[~up], i[~up])):
+                        for at in range(0, len(p), PAIRS):
+                            may = may_agree(f, g, p[at : at + PAIRS], q[at : at + PAIRS])
+                            for k, m in zip(p[at : at + PAIRS][may], q[at : at + PAIRS][may]):
+                                if consensus(left[2][k], right[2][m]) > 0:
+                                    links.append((int(left[0][k]), int(right[0][m])))
+
+                waiting = 0
+                for k, found in shared([one[3][k] for k in mine], two[3], one[1][mine], two[1]):
+                    k = int(mine[k])
+                    found = found[found > k] if x == y else found
+                    held.append((np.full(len(found), k), found))
+                    waiting += len(found)
+                    if waiting >= 64 * PAIRS:
+                        hold()
+                        waiting = 0
+                if held:
+                    hold()
+                if links:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], names=["a", "b"])
+
+    return spark.createDataFrame(cells, "x int, y int, part int").repartition(min(len(cells), MOST_TASKS)).mapInArrow(run, "a long, b long")
+
+
 def candidates(feats: DataFrame) -> DataFrame:
     """Pairs (a, b) of images that share MEETINGS words or more; all rows of a word's first 32 bits are in one partition, so no border cuts a run."""
     names = {"key": pa.int64(), "id": pa.int64()}
@@ -377,7 +576,7 @@ def candidates(feats: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = [words(unpack(x)[1]) for x in part.column(1).to_pylist()]
+                found = [np.frombuffer(x, "<u8") if given else words(unpack(x)[1]) for x in part.column(1).to_pylist()]
                 ids = np.repeat(part.column(0).to_numpy(), [len(w) for w in found])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(ids)], names=list(names))
 
@@ -407,7 +606,8 @@ def candidates(feats: DataFrame) -> DataFrame:
         if len(keys):
             yield table(meet(keys, ids, first))
 
-    spelt = feats.mapInArrow(spell, "key long, id long")
+    given = "words" in feats.columns
+    spelt = feats.select("id", "words" if given else "feats").mapInArrow(spell, "key long, id long")
     dealt = spelt.repartition(F.shiftrightunsigned("key", 32)).sortWithinPartitions(F.col("key").bitwiseXOR(F.lit(-(1 << 63))), "id")
     met = dealt.mapInArrow(walk, "a long, b long, n long")
     return met.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= MEETINGS).select("a", "b")
@@ -417,7 +617,13 @@ def agree(pairs: DataFrame, feats: DataFrame) -> DataFrame:
     """Links (a, b, score) of the pairs whose features agree on one mapping."""
 
     def run(columns):
-        return [pa.array([consensus(x, y) for x, y in zip(*(c.to_pylist() for c in columns))], pa.float64())]
+        one, two = (c.to_pylist() for c in columns)
+        score = np.zeros(len(one))
+        for at in range(0, len(one), PAIRS):
+            both = np.arange(len(one[at : at + PAIRS]))
+            for k in np.flatnonzero(may_agree(grid(one[at : at + PAIRS]), grid(two[at : at + PAIRS]), both, both)):
+                score[at + k] = consensus(one[at + k], two[at + k])
+        return [pa.array(score)]
 
     sides = [feats.select(F.col("id").alias(c), F.col("feats").alias(f"feats_{c}")) for c in "ab"]
     both = pairs.join(sides[1], "b").join(sides[0], "a")
@@ -433,10 +639,14 @@ def find_copies(df: DataFrame, *, key: str = "media_id", data_col: str = "data")
     firsts = materialize(used.groupBy("set_id").agg(F.min("v").alias("class"), F.min_by("id", "v").alias("id")), "media-classes")
     standing = rows.join(firsts, ["id", "set_id"]).select(F.col("class").alias("id"), "data").repartition(max(1, -(-firsts.count() // TASK_IMAGES)))
     packed = map_batches(standing, ["id"], [F.col("data")], lambda c: [pa.array([pack(decode(x)) for x in c[0].to_pylist()], pa.binary())], {"feats": "binary"})
-    feats = materialize(packed.where("feats IS NOT NULL").dropDuplicates(["id"]), "features")
+    blocks = max(1, -(-firsts.count() // BLOCK))
+    packed = packed.where("feats IS NOT NULL").repartition(blocks, "id").dropDuplicates(["id"])
+    spelt = map_batches(packed, ["id", "feats"], [F.col("feats")], lambda c: [pa.array([words(unpack(x)[1]).tobytes() for x in c[0].to_pylist()], pa.binary())], {"words": "binary"})
+    feats = materialize(spelt, "features")
     links = materialize(agree(materialize(candidates(feats), "media-met"), feats), "media-links")
     links = links.select("a", "b")
     labels = components(links if more is None else links.unionByName(same_id_links(more, firsts)))
+    labels = extend(labels, materialize(rest(feats, labels, blocks), "media-rest"))
     out = vertices_of_bare(join_lookup(keys, firsts.drop("id"), "set_id"), used, firsts)
     out = join_lookup(out, labels, "v")
     component = F.when(F.col("id").isNotNull(), F.coalesce("c", "v"))

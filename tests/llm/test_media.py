@@ -147,6 +147,57 @@ def test_a_run_longer_than_a_task_holds(spark, monkeypatch):
     assert all(a % 2 == b % 2 for a, b in met) and root == [i % 2 for i in range(120)] and len(met) < 120 * 2 * M.MOST
 
 
+def test_many_pairs_at_once_agree_as_one_does():
+    rng = np.random.default_rng(8)
+    images = pictures(12, 8)
+    packed = [M.pack(M.decode(M.pgm(edit(i, rng)))) for i in images for edit in (lambda i, r: i, EDITS["cropped to 0.73"][0], EDITS["turned by 10"][0], EDITS["scaled to 1.2"][0])]
+    one, two = (c.ravel() for c in np.indices((len(packed), len(packed))))
+    every = M.grid(packed)
+    want = np.array([M.consensus(packed[i], packed[j]) > 0 for i, j in zip(one, two)])
+    assert 100 < want.sum() < len(want) / 2 and (M.may_agree(every, every, one, two) == want).all()
+
+
+def sketched(rng, own, logo):
+    """Features of a picture: places of its own and a logo's, all in one scale."""
+    rows = np.zeros(len(own[0]) + len(logo[0]), M.FEATURE)
+    rows["x"], rows["y"] = np.concatenate([own[0], logo[0]]).T
+    rows["bits"] = np.concatenate([own[1], logo[1]])
+    return struct.pack("<ii", 400, 400) + rows.tobytes()
+
+
+def test_a_link_whose_words_are_all_crowded(spark):
+    """Twelve pictures share a logo too small to link them. Two are copies whose other features differ in each word: all words that they share are shared by all."""
+    rng = np.random.default_rng(10)
+
+    def some(n, low, high):
+        return rng.integers(low, high, (n, 2)) * 9.0, rng.integers(0, 1 << 63, (n, 2), dtype=np.uint64)
+
+    logo = some(5, 40, 43)
+    own = [some(40, 3, 36) for _ in range(12)]
+    flip = np.zeros(M.BITS, np.uint8)
+    flip[[part[0] for part in M.chunks()]] = 1
+    own[9] = own[4][0], own[4][1] ^ np.packbits(flip).view(np.uint64)
+    packed = [sketched(rng, o, logo) for o in own]
+    assert {(i, j) for i in range(12) for j in range(i + 1, 12) if M.consensus(packed[i], packed[j]) > 0} == {(4, 9)}
+    rows = [(i, bytearray(x), bytearray(M.words(M.unpack(x)[1]).tobytes())) for i, x in enumerate(packed)]
+    frame = spark.createDataFrame(rows, "id long, feats binary, words binary")
+    for blocks in (1, 3):
+        feats = M.materialize(frame.repartition(blocks, "id"), "test")
+        assert (4, 9) not in {tuple(r) for r in M.candidates(feats).collect()}
+        none = spark.createDataFrame([], "v long, c long")
+        assert [tuple(r) for r in M.rest(feats, none, blocks).collect()] == [(4, 9)]
+        assert M.rest(feats, spark.createDataFrame([(4, 4), (9, 4)], "v long, c long"), blocks).count() == 0
+
+
+def test_a_component_passes_by_its_own_crowd(monkeypatch):
+    monkeypatch.setattr(M, "CROWD", 3)
+    rng = np.random.default_rng(12)
+    words = [np.unique(rng.integers(0, 60, 20).astype(np.uint64)) for _ in range(40)]
+    of = rng.integers(0, 8, 40)
+    got = {(k, int(j)) for k, found in M.shared(words, words, of, of) for j in found}
+    assert got == {(i, j) for i in range(40) for j in range(40) if of[i] != of[j] and len(np.intersect1d(words[i], words[j])) >= M.MEETINGS}
+
+
 def test_op7(spark, small, tmp_path):
     found = {r["media_id"]: r["component_id"] for r in queries()["op7_media"](spark, small).collect()}
     copies = [i for i in found if i % 2]
