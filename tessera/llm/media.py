@@ -58,8 +58,8 @@ MOST, MEETINGS, RUN = 6, 4, 1 << 20
 CELL, DEGREES, TRIED, LEAST_VOTES = 24.0, 30.0, 3, 4
 #: Pixels a match may be off; score of the places that link two images; their share of what should be seen; largest scale.
 OFF, SCORE, SHARE, MOST_ZOOM = 5.0, 6.0, 0.35, 2.5
-#: Images of a task; of a block, two of which make a cell; cells at least; tasks of cells at most; pairs looked at at once; images of a component that others of it pass by.
-TASK_IMAGES, BLOCK, SPREAD, MOST_TASKS, PAIRS, CROWD = 1000, 4096, 24, 2000, 128, 64
+#: Images of a task; of a block, two of which make a cell; cells at least; tasks of cells at most; pairs looked at at once; images of a component that others of it pass by; shared words and counters held at once.
+TASK_IMAGES, BLOCK, SPREAD, MOST_TASKS, PAIRS, CROWD, AT_ONCE = 1000, 4096, 24, 2000, 64, 64, 1 << 20
 
 
 def decode(data: bytes | None) -> np.ndarray | None:
@@ -383,110 +383,163 @@ def grid(packed: list[bytes]) -> dict[str, np.ndarray]:
     return {name: np.ascontiguousarray(out[name]) for name in FEATURE.names} | {"there": there, "height": sizes[:, 0], "width": sizes[:, 1]}
 
 
-def _sums(run: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(run, values.real, n) + 1j * np.bincount(run, values.imag, n)
+def _spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of spans that begin there and are so long, one after the other."""
+    return np.repeat(begin - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
+
+
+@functools.lru_cache(1)
+def _moves() -> np.ndarray:
+    """Turn and scale of a vote, by its step and zoom, as a complex factor."""
+    step, zoom = np.arange(round(360 / DEGREES)), np.arange(1 - SCALES, SCALES, dtype=float)
+    return STEP**zoom * np.exp(1j * np.radians(step * DEGREES))[:, None]
 
 
 def _places_of(run: np.ndarray, points: np.ndarray, worth: np.ndarray, n: int) -> np.ndarray:
     """``_places`` of each of n runs."""
-    place = np.floor(points.real / OFF) * 1e6 + np.floor(points.imag / OFF)
-    order = np.lexsort((worth, place, run))
-    run, place, worth = run[order], place[order], worth[order]
-    last = np.append((run[1:] != run[:-1]) | (place[1:] != place[:-1]), True)[: len(run)]
-    return np.bincount(run[last], worth[last], n)
+    if not len(run):
+        return np.zeros(n)
+    place = (run << 40) + (np.floor(points.real / OFF).astype(np.int64) << 20) + np.floor(points.imag / OFF).astype(np.int64)
+    order = np.argsort(place)
+    place = place[order]
+    cuts = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    return np.bincount(run[order[cuts]], np.maximum.reduceat(worth[order], cuts), n)
 
 
 def may_agree(a: dict, b: dict, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """Which pairs (one of a, two of b) ``consensus`` finds above 0: its steps for many pairs at once, sums but for their rounding."""
+    """Which pairs (one of a, two of b) ``consensus`` finds above 0: its steps for many pairs at once, sums but for their rounding.
+
+    The matches of a pair are in order of their turn, so a cell's fit looks only
+    at those whose turn it allows.
+    """
     may = np.zeros(len(one), bool)
     apart = sum(np.bitwise_count(a["bits"][one][:, :, None, k] ^ b["bits"][two][:, None, :, k]) for k in range(BITS // 64))
-    pair, i, j = np.nonzero((apart <= DISTANCE) & a["there"][one][:, :, None] & b["there"][two][:, None, :])
-    worth = 1 - apart[pair, i, j] / (DISTANCE + 1)
+    at = np.flatnonzero((apart <= DISTANCE) & a["there"][one][:, :, None] & b["there"][two][:, None, :])
+    pair, i, j = np.unravel_index(at, apart.shape)
+    worth = (1 - np.arange(DISTANCE + 1) / (DISTANCE + 1))[apart.ravel()[at]]
     enough = np.bincount(pair, worth, len(one))[pair] >= SCORE - 1e-3
     pair, i, j, worth = pair[enough], i[enough], j[enough], worth[enough]
     if not len(pair):
         return may
-    i, j = (one[pair], i), (two[pair], j)
-    p, q = (x["x"][k].astype(float) + 1j * x["y"][k] for x, k in ((a, i), (b, j)))
-    turn, zoom = b["degrees"][j].astype(float) - a["degrees"][i], b["scale"][j] - a["scale"][i]
-    step = np.round(turn / DEGREES) % (360 / DEGREES)
-    shift = q - STEP**zoom * np.exp(1j * np.radians(step * DEGREES)) * p
-    begin, size = np.searchsorted(pair, np.arange(len(one))), np.bincount(pair, minlength=len(one))
+    turn = b["degrees"][two[pair], j].astype(float) - a["degrees"][one[pair], i]
+    turn = np.where(turn >= 180, turn - 360, np.where(turn < -180, turn + 360, turn))
+    by_turn = pair * 1024.0 + turn
+    order = np.argsort(by_turn)
+    by_turn, pair, turn, worth = by_turn[order], pair[order], turn[order], worth[order]
+    i, j = (one[pair], i[order]), (two[pair], j[order])
+    px, py, qx, qy = (z.astype(float) for z in (a["x"][i], a["y"][i], b["x"][j], b["y"][j]))
+    step, zoom = np.round(turn / DEGREES).astype(np.int64) % round(360 / DEGREES), (b["scale"][j] - a["scale"][i]).astype(np.int64)
+    move = _moves()[step, zoom + SCALES - 1]
+    sx, sy = qx - (move.real * px - move.imag * py), qy - (move.real * py + move.imag * px)
+    base = (pair << 48) + ((step * 64 + zoom + 32) << 32) + (32768 << 16) + 32768
+    found = []
     for half in (0.0, 0.5):
-        cells = np.stack([step, zoom, np.floor(shift.real / CELL + half), np.floor(shift.imag / CELL + half)], 1).astype(np.int64)
-        code = ((cells[:, 0] * 64 + cells[:, 1] + 32) << 32) + ((cells[:, 2] + 32768) << 16) + cells[:, 3] + 32768
-        order = np.lexsort((code, pair))
-        cut = np.append(True, (code[order][1:] != code[order][:-1]) | (pair[order][1:] != pair[order][:-1]))
-        cell = np.empty(len(order), np.int64)
-        cell[order] = np.cumsum(cut) - 1
-        votes, of = np.bincount(cell), pair[order][cut]
+        code = base + (np.floor(sx / CELL + half).astype(np.int64) << 16) + np.floor(sy / CELL + half).astype(np.int64)
+        order = np.argsort(code)
+        code = code[order]
+        cuts = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        votes = np.diff(np.append(cuts, len(code)))
+        cuts, votes = cuts[votes >= LEAST_VOTES], votes[votes >= LEAST_VOTES]
+        of = pair[order[cuts]]
         best = np.lexsort((np.arange(len(votes)), -votes, of))
-        place = np.arange(len(best)) - np.searchsorted(of[best], of[best])
-        tried = best[(place < TRIED) & (votes[best] >= LEAST_VOTES)]
-        if not len(tried):
-            continue
-        # every cell with all matches of its pair
-        n = size[of[tried]]
-        run = np.repeat(np.arange(len(tried)), n)
-        row = np.repeat(begin[of[tried]] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-        fits = cell[row] == tried[run]
-        for _ in range(3):
-            r, at = run[fits], row[fits]
-            count = np.bincount(r, minlength=len(tried))
-            mean_p, mean_q = (_sums(r, z[at], len(tried)) / count for z in (p, q))
-            u, v = p[at] - mean_p[r], q[at] - mean_q[r]
-            spread = np.bincount(r, u.real**2 + u.imag**2, len(tried))
-            scale = _sums(r, v * np.conj(u), len(tried)) / np.maximum(spread, 0.5)
-            fine = (spread > 1) & (np.abs(scale) > 1 / MOST_ZOOM) & (np.abs(scale) < MOST_ZOOM)
-            off = np.abs((turn[row] - np.degrees(np.angle(scale))[run] + 180) % 360 - 180)
-            fits = (np.abs(scale[run] * p[row] + (mean_q - scale * mean_p)[run] - q[row]) < OFF) & (off < DEGREES)
-            fine &= np.bincount(run, worth[row] * fits, len(tried)) >= SCORE
-            # cells that are left, by new numbers
-            stay = fine[run]
-            run, row, fits, tried = (np.cumsum(fine) - 1)[run[stay]], row[stay], fits[stay], tried[fine]
-            scale, move = scale[fine], (mean_q - scale * mean_p)[fine]
-            if not len(tried):
-                break
-        if not len(tried):
-            continue
-        r, at = run[fits], row[fits]
-        score = np.minimum(*(_places_of(r, z[at], worth[at], len(tried)) for z in (p, q)))
-        left = np.flatnonzero(score >= SCORE - 1e-6)
-        of_left = of[tried[left]]
-        corner, m = a["x"][one[of_left]] + 1j * a["y"][one[of_left]], RADIUS + 5
-        seen = scale[left, None] * corner + move[left, None]
-        height, width = b["height"][two[of_left], None], b["width"][two[of_left], None]
-        inside = a["there"][one[of_left]] & (seen.real >= m) & (seen.real < width - m) & (seen.imag >= m) & (seen.imag < height - m)
-        r, k = np.nonzero(inside)
-        may[of_left[score[left] >= SHARE * _places_of(r, corner[r, k], np.ones(len(r)), len(left)) - 1e-6]] = True
+        tried = best[np.arange(len(best)) - np.searchsorted(of[best], of[best]) < TRIED]
+        found.append((of[tried], votes[tried], order[_spans(cuts[tried], votes[tried])]))
+    # of: the pair of each cell; run, at: the matches that fit a cell
+    of, votes, at = (np.concatenate(c) for c in zip(*found))
+    run = np.repeat(np.arange(len(of)), votes)
+    for _ in range(3):
+        n = len(of)
+        if not n:
+            return may
+        count = np.bincount(run, minlength=n)
+        mean = [np.bincount(run, z[at], n) / count for z in (px, py, qx, qy)]
+        ux, uy, vx, vy = (z[at] - m[run] for z, m in zip((px, py, qx, qy), mean))
+        spread = np.bincount(run, ux * ux + uy * uy, n)
+        cx, cy = (np.bincount(run, z, n) / np.maximum(spread, 0.5) for z in (vx * ux + vy * uy, vy * ux - vx * uy))
+        size = np.hypot(cx, cy)
+        fine = (spread > 1) & (size > 1 / MOST_ZOOM) & (size < MOST_ZOOM)
+        of, cx, cy, mean_px, mean_py, mean_qx, mean_qy = (z[fine] for z in (of, cx, cy, *mean))
+        mx, my = mean_qx - (cx * mean_px - cy * mean_py), mean_qy - (cx * mean_py + cy * mean_px)
+        angle = np.degrees(np.arctan2(cy, cx))
+        # turns off by less than DEGREES, and those a whole turn away
+        middle = of * 1024.0 + np.stack([angle, angle + np.where(angle < 0, 360, -360)])
+        begin, end = np.searchsorted(by_turn, middle - DEGREES, "right").ravel(), np.searchsorted(by_turn, middle + DEGREES, "left").ravel()
+        run, at = np.repeat(np.tile(np.arange(len(of)), 2), end - begin), _spans(begin, end - begin)
+        x, y = px[at], py[at]
+        off_x, off_y = cx[run] * x - cy[run] * y + mx[run] - qx[at], cx[run] * y + cy[run] * x + my[run] - qy[at]
+        fits = off_x * off_x + off_y * off_y < OFF * OFF
+        run, at = run[fits], at[fits]
+        fine = np.bincount(run, worth[at], len(of)) >= SCORE - 1e-9
+        stay = fine[run]
+        # cells that are left, by new numbers
+        run, at = (np.cumsum(fine) - 1)[run[stay]], at[stay]
+        of, cx, cy, mx, my = (z[fine] for z in (of, cx, cy, mx, my))
+    if not len(of):
+        return may
+    score = np.minimum(*(_places_of(run, z, worth[at], len(of)) for z in (px[at] + 1j * py[at], qx[at] + 1j * qy[at])))
+    left = np.flatnonzero(score >= SCORE - 1e-6)
+    of_left = of[left]
+    corner, m = a["x"][one[of_left]] + 1j * a["y"][one[of_left]], RADIUS + 5
+    seen = (cx + 1j * cy)[left, None] * corner + (mx + 1j * my)[left, None]
+    height, width = b["height"][two[of_left], None], b["width"][two[of_left], None]
+    inside = a["there"][one[of_left]] & (seen.real >= m) & (seen.real < width - m) & (seen.imag >= m) & (seen.imag < height - m)
+    r, k = np.nonzero(inside)
+    may[of_left[score[left] >= SHARE * _places_of(r, corner[r, k], np.ones(len(r)), len(left)) - 1e-6]] = True
     return may
 
 
+def _meetings(one: list[np.ndarray], images: np.ndarray, keys: np.ndarray, place: np.ndarray, n: int):
+    """(k, places below n) for each of these images of one: the places whose rows (keys, in order) share MEETINGS words or more with it."""
+    step = max(1, AT_ONCE // n)
+    for at in range(0, len(images), step):
+        part = images[at : at + step]
+        ask, who = np.concatenate([one[k] for k in part]), np.repeat(np.arange(len(part)), [len(one[k]) for k in part])
+        order = np.argsort(ask)  # asked in order, so that the search stays where it was
+        ask, who = ask[order], who[order]
+        begin = np.searchsorted(keys, ask, "left")
+        met = begin < len(keys)
+        met[met] = keys[begin[met]] == ask[met]
+        begin, who = begin[met], who[met]
+        rows = np.searchsorted(keys, ask[met], "right") - begin
+        order = np.argsort(who, kind="stable")
+        begin, who, rows = begin[order], who[order], rows[order]
+        # as many images at once as meet AT_ONCE rows, one at least
+        met = np.cumsum(np.bincount(who, rows, len(part)).astype(np.int64))
+        cuts = np.flatnonzero(np.diff(met // AT_ONCE, prepend=-1))
+        for first, last in zip(cuts, np.append(cuts[1:], len(part))):
+            own = slice(*np.searchsorted(who, (first, last)))
+            code = np.repeat((who[own] - first) * n, rows[own]) + place[_spans(begin[own], rows[own])]
+            image, found = np.divmod(np.flatnonzero(np.bincount(code, minlength=1) >= MEETINGS), n)
+            for k, places in zip(*_runs(image, found)):
+                yield int(part[first + k]), places
+
+
+def _runs(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Each of the sorted keys with its values."""
+    cuts = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[cuts], np.split(values, cuts[1:])
+
+
 def shared(one: list[np.ndarray], two: list[np.ndarray], of_one: np.ndarray, of_two: np.ndarray):
     """(k, places in two) for each image k of one: the images of other components that share MEETINGS words or more with it, however many rows a word has.
 
     The words are sorted and distinct.
     """
     keys, place = np.concatenate(two), np.repeat(np.arange(len(two)), [len(w) for w in two])
-    order = np.lexsort((place, keys))
-    every = keys[order], place[order]
+    order = np.argsort(keys)
+    keys, place = keys[order], place[order]
+    del order
+    # an image doesn't walk through a crowd of its own component
     many = np.unique(of_two, return_counts=True)
-    many, without = set(many[0][many[1] > CROWD].tolist()), {}
-    for k in np.argsort(of_one, kind="stable"):
-        # an image doesn't walk through a crowd of its own component
-        rest = every
-        if int(of_one[k]) in many:
-            if int(of_one[k]) not in without:
-                keep = of_two[every[1]] != of_one[k]
-                without = {int(of_one[k]): (every[0][keep], every[1][keep])}
-            rest = without[int(of_one[k])]
-        lo, hi = np.searchsorted(rest[0], one[k], "left"), np.searchsorted(rest[0], one[k], "right")
-        n = hi - lo
-        rows = np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-        found = np.flatnonzero(np.bincount(rest[1][rows], minlength=len(two)) >= MEETINGS)
-        found = found[of_two[found] != of_one[k]]
-        if len(found):
-            yield int(k), found
+    many = many[0][many[1] > CROWD]
+    for c in [None, *np.intersect1d(many, of_one)]:
+        images = np.flatnonzero(~np.isin(of_one, many) if c is None else of_one == c)
+        keep = slice(None) if c is None else of_two[place] != c
+        if len(images):
+            for k, found in _meetings(one, images, keys[keep], place[keep], len(two)):
+                found = found[of_two[found] != of_one[k]]
+                if len(found):
+                    yield k, found
 
 
 def _blocks(df: DataFrame) -> dict[int, list[str]]:

@@ -1,4 +1,5 @@
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -157,6 +158,28 @@ def test_many_pairs_at_once_agree_as_one_does():
     assert 100 < want.sum() < len(want) / 2 and (M.may_agree(every, every, one, two) == want).all()
 
 
+def test_pairs_that_share_words_cost_little(monkeypatch):
+    """Their number grows as the square of the images: 25 of them are held against each other in the time that the features of one image take."""
+    images = pictures(500, 13)
+    began = time.process_time()
+    packed = [M.pack(i) for i in images]
+    features = (time.process_time() - began) / len(images)
+    own, of = [M.words(M.unpack(x)[1]) for x in packed], np.arange(len(images))
+    met = [(k, int(j)) for k, found in M.shared(own, own, of, of) for j in found]
+    monkeypatch.setattr(M, "AT_ONCE", 1000)
+    assert {(k, int(j)) for k, found in M.shared(own, own, of, of) for j in found} == set(met) and len(met) > 200
+    one, two = np.array(met * (1000 // len(met) + 1)).T
+    every = M.grid(packed)
+    assert M.may_agree(every, every, one[: len(met)], two[: len(met)]).tolist() == [M.consensus(packed[i], packed[j]) > 0 for i, j in met]
+    took = []
+    for _ in range(5):
+        began = time.process_time()
+        for at in range(0, len(one), M.PAIRS):
+            M.may_agree(every, every, one[at : at + M.PAIRS], two[at : at + M.PAIRS])
+        took.append((time.process_time() - began) / len(one))
+    assert 25 * min(took) < features
+
+
 def sketched(rng, own, logo):
     """Features of a picture: places of its own and a logo's, all in one scale."""
     rows = np.zeros(len(own[0]) + len(logo[0]), M.FEATURE)
