@@ -58,8 +58,8 @@ MOST, MEETINGS, RUN = 6, 4, 1 << 20
 CELL, DEGREES, TRIED, LEAST_VOTES = 24.0, 30.0, 3, 4
 #: Pixels a match may be off; score of the places that link two images; their share of what should be seen; largest scale.
 OFF, SCORE, SHARE, MOST_ZOOM = 5.0, 6.0, 0.35, 2.5
-#: Images of a task; of a block, two of which make a cell; cells at least; tasks of cells at most; pairs looked at at once; images of a component that others of it pass by; shared words and counters held at once.
-TASK_IMAGES, BLOCK, SPREAD, MOST_TASKS, PAIRS, CROWD, AT_ONCE = 1000, 4096, 24, 2000, 64, 64, 1 << 20
+#: Images of a task; of a block, two of which make a cell; cells at least; tasks of cells at most; pairs looked at at once; images of a component that others of it pass by; shared words and counters held at once; what is so close to a border that rounding may decide.
+TASK_IMAGES, BLOCK, SPREAD, MOST_TASKS, PAIRS, CROWD, AT_ONCE, EDGE = 1000, 4096, 24, 2000, 64, 64, 1 << 20, 1e-6
 
 
 def decode(data: bytes | None) -> np.ndarray | None:
@@ -399,7 +399,7 @@ def _places_of(run: np.ndarray, points: np.ndarray, worth: np.ndarray, n: int) -
     """``_places`` of each of n runs."""
     if not len(run):
         return np.zeros(n)
-    place = (run << 40) + (np.floor(points.real / OFF).astype(np.int64) << 20) + np.floor(points.imag / OFF).astype(np.int64)
+    place = (run << 40) + (np.floor(points.real / OFF) * 1e6 + np.floor(points.imag / OFF)).astype(np.int64)
     order = np.argsort(place)
     place = place[order]
     cuts = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
@@ -407,12 +407,27 @@ def _places_of(run: np.ndarray, points: np.ndarray, worth: np.ndarray, n: int) -
 
 
 def may_agree(a: dict, b: dict, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """Which pairs (one of a, two of b) ``consensus`` finds above 0: its steps for many pairs at once, sums but for their rounding.
+    """Which pairs (one of a, two of b) ``consensus`` finds above 0: its steps for many pairs at once; it decides itself where rounding could."""
+    may, unsure = _agreeing(a, b, one, two)
+    for k in np.flatnonzero(unsure):
+        may[k] = consensus(_packed(a, one[k]), _packed(b, two[k])) > 0
+    return may
+
+
+def _packed(a: dict, k: int) -> bytes:
+    rows = np.zeros(int(a["there"][k].sum()), FEATURE)
+    for name in FEATURE.names:
+        rows[name] = a[name][k][a["there"][k]]
+    return struct.pack("<ii", a["height"][k], a["width"][k]) + rows.tobytes()
+
+
+def _agreeing(a: dict, b: dict, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs agree, and which came within EDGE of a border, as places on the same pixels often do.
 
     The matches of a pair are in order of their turn, so a cell's fit looks only
     at those whose turn it allows.
     """
-    may = np.zeros(len(one), bool)
+    may, unsure = np.zeros(len(one), bool), np.zeros(len(one), bool)
     apart = sum(np.bitwise_count(a["bits"][one][:, :, None, k] ^ b["bits"][two][:, None, :, k]) for k in range(BITS // 64))
     at = np.flatnonzero((apart <= DISTANCE) & a["there"][one][:, :, None] & b["there"][two][:, None, :])
     pair, i, j = np.unravel_index(at, apart.shape)
@@ -420,7 +435,7 @@ def may_agree(a: dict, b: dict, one: np.ndarray, two: np.ndarray) -> np.ndarray:
     enough = np.bincount(pair, worth, len(one))[pair] >= SCORE - 1e-3
     pair, i, j, worth = pair[enough], i[enough], j[enough], worth[enough]
     if not len(pair):
-        return may
+        return may, unsure
     turn = b["degrees"][two[pair], j].astype(float) - a["degrees"][one[pair], i]
     turn = np.where(turn >= 180, turn - 360, np.where(turn < -180, turn + 360, turn))
     by_turn = pair * 1024.0 + turn
@@ -429,8 +444,8 @@ def may_agree(a: dict, b: dict, one: np.ndarray, two: np.ndarray) -> np.ndarray:
     i, j = (one[pair], i[order]), (two[pair], j[order])
     px, py, qx, qy = (z.astype(float) for z in (a["x"][i], a["y"][i], b["x"][j], b["y"][j]))
     step, zoom = np.round(turn / DEGREES).astype(np.int64) % round(360 / DEGREES), (b["scale"][j] - a["scale"][i]).astype(np.int64)
-    move = _moves()[step, zoom + SCALES - 1]
-    sx, sy = qx - (move.real * px - move.imag * py), qy - (move.real * py + move.imag * px)
+    shift = (qx + 1j * qy) - _moves()[step, zoom + SCALES - 1] * (px + 1j * py)
+    sx, sy = shift.real, shift.imag
     base = (pair << 48) + ((step * 64 + zoom + 32) << 32) + (32768 << 16) + 32768
     found = []
     for half in (0.0, 0.5):
@@ -450,42 +465,51 @@ def may_agree(a: dict, b: dict, one: np.ndarray, two: np.ndarray) -> np.ndarray:
     for _ in range(3):
         n = len(of)
         if not n:
-            return may
+            return may, unsure
         count = np.bincount(run, minlength=n)
         mean = [np.bincount(run, z[at], n) / count for z in (px, py, qx, qy)]
         ux, uy, vx, vy = (z[at] - m[run] for z, m in zip((px, py, qx, qy), mean))
         spread = np.bincount(run, ux * ux + uy * uy, n)
         cx, cy = (np.bincount(run, z, n) / np.maximum(spread, 0.5) for z in (vx * ux + vy * uy, vy * ux - vx * uy))
         size = np.hypot(cx, cy)
+        unsure[of[(np.abs(spread - 1) < EDGE) | (np.abs(size - 1 / MOST_ZOOM) < EDGE) | (np.abs(size - MOST_ZOOM) < EDGE)]] = True
         fine = (spread > 1) & (size > 1 / MOST_ZOOM) & (size < MOST_ZOOM)
         of, cx, cy, mean_px, mean_py, mean_qx, mean_qy = (z[fine] for z in (of, cx, cy, *mean))
         mx, my = mean_qx - (cx * mean_px - cy * mean_py), mean_qy - (cx * mean_py + cy * mean_px)
         angle = np.degrees(np.arctan2(cy, cx))
         # turns off by less than DEGREES, and those a whole turn away
         middle = of * 1024.0 + np.stack([angle, angle + np.where(angle < 0, 360, -360)])
-        begin, end = np.searchsorted(by_turn, middle - DEGREES, "right").ravel(), np.searchsorted(by_turn, middle + DEGREES, "left").ravel()
+        begin, end = (np.searchsorted(by_turn, middle + d).ravel() for d in (-DEGREES - EDGE, DEGREES + EDGE))
         run, at = np.repeat(np.tile(np.arange(len(of)), 2), end - begin), _spans(begin, end - begin)
+        spare = DEGREES - np.abs(by_turn[at] - np.repeat(middle.ravel(), end - begin))
         x, y = px[at], py[at]
         off_x, off_y = cx[run] * x - cy[run] * y + mx[run] - qx[at], cx[run] * y + cy[run] * x + my[run] - qy[at]
-        fits = off_x * off_x + off_y * off_y < OFF * OFF
-        run, at = run[fits], at[fits]
-        fine = np.bincount(run, worth[at], len(of)) >= SCORE - 1e-9
+        spare = np.minimum(spare, OFF * OFF - (off_x * off_x + off_y * off_y))
+        unsure[of[run[np.abs(spare) < EDGE]]] = True
+        run, at = run[spare > 0], at[spare > 0]
+        total = np.bincount(run, worth[at], len(of))
+        unsure[of[np.abs(total - SCORE) < EDGE]] = True
+        fine = total >= SCORE
         stay = fine[run]
         # cells that are left, by new numbers
         run, at = (np.cumsum(fine) - 1)[run[stay]], at[stay]
         of, cx, cy, mx, my = (z[fine] for z in (of, cx, cy, mx, my))
     if not len(of):
-        return may
+        return may, unsure
     score = np.minimum(*(_places_of(run, z, worth[at], len(of)) for z in (px[at] + 1j * py[at], qx[at] + 1j * qy[at])))
-    left = np.flatnonzero(score >= SCORE - 1e-6)
+    left = np.flatnonzero(score >= SCORE - EDGE)
     of_left = of[left]
     corner, m = a["x"][one[of_left]] + 1j * a["y"][one[of_left]], RADIUS + 5
     seen = (cx + 1j * cy)[left, None] * corner + (mx + 1j * my)[left, None]
     height, width = b["height"][two[of_left], None], b["width"][two[of_left], None]
-    inside = a["there"][one[of_left]] & (seen.real >= m) & (seen.real < width - m) & (seen.imag >= m) & (seen.imag < height - m)
+    spare = functools.reduce(np.minimum, [seen.real - m, width - m - seen.real, seen.imag - m, height - m - seen.imag])
+    inside = a["there"][one[of_left]] & (spare > 0)
+    unsure[of_left[(a["there"][one[of_left]] & (np.abs(spare) < EDGE)).any(1)]] = True
     r, k = np.nonzero(inside)
-    may[of_left[score[left] >= SHARE * _places_of(r, corner[r, k], np.ones(len(r)), len(left)) - 1e-6]] = True
-    return may
+    over = np.minimum(score[left] - SCORE, score[left] - SHARE * _places_of(r, corner[r, k], np.ones(len(r)), len(left)))
+    unsure[of_left[np.abs(over) < EDGE]] = True
+    may[of_left[over > 0]] = True
+    return may, unsure
 
 
 def _meetings(one: list[np.ndarray], images: np.ndarray, keys: np.ndarray, place: np.ndarray, n: int):

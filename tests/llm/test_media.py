@@ -180,6 +180,13 @@ def test_pairs_that_share_words_cost_little(monkeypatch):
     assert 25 * min(took) < features
 
 
+@pytest.mark.parametrize("kind", [np.complex64, np.complex128])
+def test_places_of_many_runs_are_those_of_one(kind):
+    rng = np.random.default_rng(14)
+    points, worth, run = (rng.integers(0, 400, 900) + 1j * rng.integers(0, 400, 900)).astype(kind), rng.integers(1, 22, 900) / 21, rng.integers(0, 5, 900)
+    assert np.allclose(M._places_of(run, points, worth, 6), [M._places(points[run == k], worth[run == k]) for k in range(6)])
+
+
 def sketched(rng, own, logo):
     """Features of a picture: places of its own and a logo's, all in one scale."""
     rows = np.zeros(len(own[0]) + len(logo[0]), M.FEATURE)
