@@ -36,8 +36,8 @@ from tessera.llm.common import map_batches, tokenizer_path
 SHORT = 64
 #: Bytes that a Python worker's memory of words takes, and that its memory of other pieces takes per generation of two, about.
 WORDS, REMEMBERED = 20 << 20, 4 << 20
-#: Words whose distinct ones are looked for at once.
-BLOCK = 1 << 18
+#: Words whose distinct ones are looked for at once, and bytes of them where they are cut as bytes.
+BLOCK, BLOCK_BYTES = 1 << 18, 1 << 22
 #: Bytes of one entry besides its piece and ids: two objects and a place in the table.
 ENTRY = 200
 _NONE = 1 << 30
@@ -51,10 +51,12 @@ _NEWER = (
     " 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f"
 ).split()
 
-#: Separators that split() takes for white space and the vocabularies do not; white space of more than one character.
-_ODD_SPACE, _LONG_SPACE = re.compile("[\x1c-\x1f]"), re.compile(r"\s\s")
-#: A mark between a letter or number and white space is a piece of its own for both splitters; _LONE in front tells that no blank came before it.
-_MARK, _LONE = re.compile(r"(?<=[^\W_])([.,;:!?])(?=[ \n]|\Z)"), "\x02"
+#: Separators that split() takes for white space and the vocabularies do not.
+_ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: A mark between a letter or number and white space is a piece of its own for both splitters.
+_MARK = re.compile(r"(?<=[^\W_])([.,;:!?])(?=[ \n]|\Z)")
+#: The same by bytes: marks, and letters and numbers.
+_MARK_BYTES, _ALNUM_BYTES = (np.isin(np.arange(256), list(x)) for x in (b".,;:!?", b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
 
 
 def byte_alphabet() -> list[str]:
@@ -93,6 +95,43 @@ def plain_letters(word: str) -> bool:
     return word.isalpha() and (word.isascii() or max(word) < LAST_PLAIN)
 
 
+def may_be_space(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the characters whose last bytes, all from 0x80, lie at these places can be white space; some that are none are among them."""
+    c, b, a = data[at], data[at - 1], data[at - 2]
+    return (b == 0xC2) & ((c == 0x85) | (c == 0xA0)) | (a == 0xE2) & ((b == 0x80) | (b == 0x81)) & ((c < 0x90) | (c == 0x9F) | (c >= 0xA8) & (c < 0xB0)) | (a == 0xE1) & ((b == 0x9A) | (b == 0xA0)) | (a == 0xE3) & (b == 0x80)
+
+
+def cuts(data: np.ndarray, ends: np.ndarray, first: int, last: int) -> np.ndarray:
+    """Places in [first, last) of UTF-8 texts, laid side by side, where no piece of the byte-level splitter goes on.
+
+    These are the texts' beginnings, white space after anything else, what comes
+    after a line feed between other things, and a mark between a letter or number
+    and white space. Not all such places are found, which leaves some words in one.
+    """
+    found = np.zeros(last - first, bool)
+    window = data[first : last + 1]
+    at = np.flatnonzero((window == 0x20) | (window - np.uint8(9) < 5)) + first
+    before = data[at - 1]
+    word = (before > 0x20) & (before < 0x7F)
+    high = np.flatnonzero(before >= 0x80)
+    word[high] = ~may_be_space(data, at[high] - 1)
+    own = at[word]
+    found[own[own < last] - first] = True
+    after = own[(own < last - 1) & (data[own] == 0x0A)] + 1
+    found[after[_ALNUM_BYTES[data[after]] | (data[after] == 0xC3)] - first] = True
+    a, b = np.searchsorted(ends, (first, last), "right")
+    marks = np.concatenate([at[_MARK_BYTES[before]], ends[a : b + 1]]) - 1
+    marks = marks[(marks >= first) & (marks < last)]
+    marks = marks[_MARK_BYTES[data[marks]]]
+    before, lead = data[marks - 1], data[marks - 2]
+    found[marks[_ALNUM_BYTES[before] | (lead == 0xC3) & (before != 0x97) & (before != 0xB7)] - first] = True
+    a, b = np.searchsorted(ends, (first, last))
+    found[ends[a:b] - first] = True
+    if first == 0:
+        found[:1] = True
+    return np.flatnonzero(found) + first
+
+
 class Remembered(dict):
     """Results by piece: two generations, so that frequent pieces survive when the young one is full.
 
@@ -203,22 +242,19 @@ class Codec:
         return self.merge([*parts, self.vocab[letters[-1] + self.suffix]])
 
     def spell(self, word: str) -> bytes:
-        """Ids of a word of plain letters, which is one piece."""
-        letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.latin)
-        return array("I", self.merge_letters(letters if self.by_word else self.blank + letters)).tobytes()
+        """Ids of a word of plain letters, which is one piece, at byte level with the blank before it."""
+        letters = (word if self.by_word else word.replace(" ", self.blank)) if word.isascii() else word.encode().decode("latin-1").translate(self.latin)
+        return array("I", self.merge_letters(letters)).tobytes()
 
     def encode_word(self, word: str) -> bytes:
         """Ids of what lies between two places where no piece of the splitter can go on.
 
-        By word: what stands between white space. Byte level: a single blank and
-        what follows it up to the next, the blank left out of ``word``; a line
-        feed there stands for itself.
+        By word: what stands between white space. Byte level: what lies between
+        two cuts, white space before a word included.
         """
+        if not self.by_word and "<|" in word and self.special and self.special.search(word):
+            return self._whole(word)
         known = self.known
-        if word.startswith(_LONE):
-            word = word[1:]
-        elif not self.by_word and not word.startswith("\n"):
-            word = " " + word
         return b"".join([known[p] for p in self.pieces(word)])
 
     def learn(self, wanted: set[str]) -> list[str]:
@@ -233,20 +269,33 @@ class Codec:
                 long.append(word)
         return long
 
-    def split(self, text: str) -> tuple[bytes, list[str]] | None:
-        """What a text begins with, encoded, and its words; None where words don't tell the pieces."""
+    def learn_spaced(self, wanted: list[str]) -> list[bytes]:
+        """The ids of distinct words that may begin with white space; those not too long go to ``words`` as in ``learn``."""
+        found = [*map(self.words.get, wanted)]
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        if len(self.words) + len(missing) > self.most_words:
+            self.words = {w: ids for w, ids in zip(wanted, found) if ids is not None}
+        words, spell = self.words, self.spell
+        for i in missing:
+            word = wanted[i]
+            bare = word[1:] if word[0] == " " else word
+            found[i] = ids = spell(word) if bare.isalpha() and (bare.isascii() or max(bare) < LAST_PLAIN) else self.encode_word(word)
+            if len(word) <= SHORT:
+                words[word] = ids
+        return found
+
+    def split(self, text: str) -> list[str] | None:
+        """The words of a text, by word; None where words don't tell the pieces."""
         if "<|" in text and self.special and self.special.search(text):
             return None
-        if self.by_word:
-            text = lower(text if text.isascii() else unicodedata.normalize("NFC", text))
-            return None if _ODD_SPACE.search(text) or _LONE in text else (b"", _MARK.sub(r" \1", text).split())
-        if _LONG_SPACE.search(text) or _LONE in text:
-            return None
-        first, *rest = _MARK.sub(" " + _LONE + r"\1", text).replace("\n", " \n").split(" ")
-        return b"".join([self.known[p] for p in self.pieces(first)]), rest
+        text = lower(text if text.isascii() else unicodedata.normalize("NFC", text))
+        return None if _ODD_SPACE.search(text) else _MARK.sub(r" \1", text).split()
 
     def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text; each distinct word of a block of words is looked for once."""
+        if not self.by_word:
+            ids, ends = self.encode_column(pa.array(texts, pa.large_string()))
+            return [ids[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
         data, block, held = [], [], 0
 
         def end_block() -> None:
@@ -259,10 +308,9 @@ class Codec:
             block.clear()
 
         for i, text in enumerate(texts):
-            parts = self.split(text) if text else (b"", [])
-            data.append([self._whole(text) if parts is None else parts[0]])
-            words = parts[1] if parts else []
-            for at in range(0, len(words), BLOCK):
+            words = self.split(text) if text else []
+            data.append([self._whole(text)] if words is None else [])
+            for at in range(0, len(words or ()), BLOCK):
                 block.append((i, words[at : at + BLOCK]))
                 held += len(block[-1][1])
                 if held >= BLOCK:
@@ -271,6 +319,49 @@ class Codec:
         end_block()
         return [np.frombuffer(b"".join(x), np.uint32) for x in data]
 
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts side by side, and where each text's end.
+
+        At byte level the texts stay bytes: words lie between cuts, and only the
+        distinct ones of a block become strings.
+        """
+        if self.by_word:
+            rows = self.encode_many(texts.to_pylist())
+            return np.concatenate([np.empty(0, np.uint32), *rows]), np.cumsum([len(r) for r in rows], dtype=np.int64)
+        if texts.null_count:
+            texts = texts.fill_null("")
+        if not pa.types.is_string(texts.type):
+            texts = texts.cast(pa.large_string())
+        narrow, n = pa.types.is_string(texts.type), len(texts)
+        _, offsets, letters = texts.buffers()
+        if not n or letters is None:
+            return np.empty(0, np.uint32), np.zeros(n, np.int64)
+        offsets = np.frombuffer(offsets, np.int32 if narrow else np.int64)[texts.offset : texts.offset + n + 1].astype(np.int64)
+        letters = letters.slice(offsets[0], offsets[-1] - offsets[0])
+        places, data = offsets[1:] - offsets[0], np.frombuffer(letters, np.uint8)
+        out, ends, total, begin, held = [np.empty(0, np.uint32)], np.zeros(n, np.int64), 0, 0, []
+        for first in range(0, len(data), BLOCK_BYTES):
+            last = min(first + BLOCK_BYTES, len(data))
+            found = cuts(data, places, first, last)
+            bounds = np.concatenate([[begin], found[found > begin], [last] if last == len(data) else np.empty(0, np.int64)]).astype(np.int64)
+            if len(bounds) < 2:
+                continue
+            ids, counted = self.encode_words(letters, bounds)
+            a, b = np.searchsorted(places, (begin, bounds[-1]), "right")
+            ends[a:b] = total + counted[np.searchsorted(bounds, places[a:b])]
+            out.append(ids)
+            total, begin = total + len(ids), int(bounds[-1])
+        return np.concatenate(out), ends
+
+    def encode_words(self, letters: pa.Buffer, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words between the bounds, and how many come before each bound."""
+        offsets = (bounds - bounds[0]).astype(np.int32)
+        words = pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(offsets), letters.slice(int(bounds[0]))).dictionary_encode()
+        data = self.learn_spaced(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        _, counted, ids = pa.array(data, pa.large_binary()).take(words.indices).buffers()
+        counted = np.frombuffer(counted, np.int64)[: len(bounds)] >> 2
+        return np.frombuffer(ids, np.uint32)[: counted[-1]], counted
+
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_many([text])[0]
 
@@ -310,8 +401,8 @@ class LibraryCodec(Codec):
         return [t.id for t in self.model.tokenize(letters)]
 
     def spell(self, word: str) -> bytes:
-        letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.latin)
-        return array("I", [t.id for t in self.model.tokenize(letters if self.by_word else self.blank + letters)]).tobytes()
+        letters = (word if self.by_word else word.replace(" ", self.blank)) if word.isascii() else word.encode().decode("latin-1").translate(self.latin)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
 
 @functools.lru_cache(maxsize=1)

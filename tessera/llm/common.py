@@ -113,9 +113,9 @@ def smaller_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_SETTING, BATCH_ROWS)
 
 
-def slices(batch: pa.RecordBatch):
-    """Parts of a batch within SLICE_ROWS and about SLICE_BYTES, in order."""
-    step = max(1, min(SLICE_ROWS, int(SLICE_ROWS * SLICE_BYTES / max(batch.nbytes, 1)) or 1) if batch.nbytes > SLICE_BYTES else SLICE_ROWS)
+def slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS):
+    """Parts of a batch within so many rows and about SLICE_BYTES, in order."""
+    step = max(1, min(rows, int(rows * SLICE_BYTES / max(batch.nbytes, 1)) or 1) if batch.nbytes > SLICE_BYTES else rows)
     for at in range(0, batch.num_rows, step):
         yield batch.slice(at, step)
 

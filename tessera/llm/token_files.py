@@ -154,17 +154,18 @@ def write_files(df: DataFrame, path: str, folder: str, *, key: str = "doc_id", t
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=["stream", "name", "docs", "ids"])
 
         for batch in batches:
-            for part in slices(batch):
-                for k, ids, stream in zip(part.column(0).to_pylist(), own.encode_many(part.column(1).to_pylist()), part.column(2).to_pylist()):
+            for part in slices(batch, batch.num_rows):
+                ids, ends = own.encode_column(part.column(1))
+                ids, ends = np.insert(ids, ends, end_id), (ends + np.arange(1, len(ends) + 1)).tolist()
+                for k, begin, end, stream in zip(part.column(0).to_pylist(), [0, *ends], ends, part.column(2).to_pylist()):
                     if stream != held["stream"] or held["n"] >= FILE_IDS:
                         if row := close():
                             yield table([row])
                         if stream != held["stream"]:
                             held.update(stream=stream, seq=0, start=0)
-                    ids = np.append(ids, np.uint32(end_id))
                     held["keys"].append(k)
-                    held["rows"].append(ids)
-                    held["n"] += len(ids)
+                    held["rows"].append(ids[begin:end])
+                    held["n"] += end - begin
         if row := close():
             yield table([row])
 

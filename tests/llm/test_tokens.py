@@ -4,6 +4,7 @@ import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +60,33 @@ def test_blocks_of_words_leave_texts_whole(path, monkeypatch):
         assert max(map(len, own.words)) <= bpe.SHORT
 
 
+def test_columns_of_bytes_equal_the_library(monkeypatch):
+    path = tokenizer_path("byte_bpe_50k.json")
+    theirs, rng = library(path), random.Random(6)
+    pieces = ["a", "Foo", "x1", " ", " ", "\n", "\r\n", "\t", "\x0b", "\x1c", "\x7f", ".", ",", "!", "'s", "é", "É,", "×.", "÷", "日", "ж", "\x85", "\xa0", "\u1680", "\u180e", "\u2003", "\u200b", "—", "’", "\u2029", "\u202f", "\u205f", "\u3000", "😀", "<|", "<|endoftext|>", "y" * 70]
+    texts = ["", *TEXTS, *["".join(rng.choices(pieces, k=rng.randint(0, 12))) for _ in range(1200)], "\n", "", ""]
+    want = [e.ids for e in theirs.encode_batch(texts, add_special_tokens=False)]
+    column = pa.array([None, "left out", *texts, None])
+    for block in (3, 64, bpe.BLOCK_BYTES):
+        monkeypatch.setattr(bpe, "BLOCK_BYTES", block)
+        for type_ in (pa.string(), pa.large_string()):
+            ids, ends = bpe.LibraryCodec(path).encode_column(column.cast(type_).slice(2))
+            assert [ids[a:b].tolist() for a, b in zip([0, *ends], ends)] == [*want, []]
+    for empty in ([], [None], ["", None]):
+        ids, ends = bpe.LibraryCodec(path).encode_column(pa.array(empty, pa.string()))
+        assert len(ids) == 0 and ends.tolist() == [0] * len(empty)
+
+
+def test_each_distinct_word_is_split_once_whatever_stands_between_words():
+    path = tokenizer_path("byte_bpe_50k.json")
+    own, seen = bpe.LibraryCodec(path), []
+    split = own.pieces
+    own.pieces = lambda text: seen.append(text) or split(text)
+    text = "One  two,\n\nthree\tfour <|endoftext|> five. \x02\n" * 500
+    assert own.encode(text).tolist() == library(path).encode(text, add_special_tokens=False).ids
+    assert sum(map(len, seen)) < 200
+
+
 def test_caches_stay_within_their_bytes(path):
     own, rng = bpe.LibraryCodec(path), random.Random(3)
     own.known.most, own.most_words = 500, 500
