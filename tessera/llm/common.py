@@ -24,6 +24,8 @@ from pyspark.sql import types as T
 BROADCAST_BYTES = 16 << 20
 #: Bytes of a row of a hash table besides its columns; times that Parquet may have made values smaller.
 ROW_BYTES, COMPRESSED = 32, 4
+#: Buckets over which the rows of one hot key are spread in a salted join.
+SALTS = 32
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -82,16 +84,21 @@ def table_bytes(df: DataFrame) -> int:
     return total if total > BROADCAST_BYTES else max(total, df.count() * (ROW_BYTES + 8 * len(df.columns)))
 
 
-def join_lookup(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
+def join_lookup(big: DataFrame, small: DataFrame, key: str, salt: Column | None = None) -> DataFrame:
     """Left-join ``small`` (materialized, unique ``key``) onto ``big``.
 
     Small enough by its rows and files: broadcast, and ``big`` isn't shuffled.
     Else both sides are shuffled, and adaptive execution splits the partition of
-    a key that a third of all rows share. Null keys find nothing and stay.
+    a key that a third of all rows share; with ``salt`` both are dealt by (key,
+    salt) over SALTS tasks a key, for plans whose partitions Spark can't split.
+    Null keys find nothing and stay.
     """
     if table_bytes(small) <= BROADCAST_BYTES:
-        small = F.broadcast(small)
-    return big.join(small, key, "left")
+        return big.join(F.broadcast(small), key, "left")
+    if salt is None:
+        return big.join(small, key, "left")
+    salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return big.withColumn("__salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).join(salted, [key, "__salt"], "left").drop("__salt")
 
 
 def tokenizer_path(name: str) -> str:
