@@ -15,7 +15,9 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -120,13 +122,23 @@ def smaller_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_SETTING, BATCH_ROWS)
 
 
-def slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS):
-    """Parts of a batch within so many rows and about SLICE_BYTES, in order."""
-    step = max(1, min(rows, int(rows * SLICE_BYTES / max(batch.nbytes, 1)) or 1) if batch.nbytes > SLICE_BYTES else rows)
+def slices(batch: pa.RecordBatch):
+    """Parts of a batch within SLICE_ROWS and about SLICE_BYTES, in order."""
+    step = max(1, min(SLICE_ROWS, int(SLICE_ROWS * SLICE_BYTES / max(batch.nbytes, 1)) or 1) if batch.nbytes > SLICE_BYTES else SLICE_ROWS)
     for at in range(0, batch.num_rows, step):
         yield batch.slice(at, step)
 
 
+def text_slices(batch: pa.RecordBatch, column: int):
+    """Parts of a batch whose texts have SLICE_BYTES at most, in order, however many rows; a longer text goes alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def give_back() -> None:
     """Hands the memory that a worker has freed back to the system; workers outlive their tasks."""
     pa.default_memory_pool().release_unused()

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import library_codec
-from tessera.llm.common import materialize, slices, tokenizer_path
+from tessera.llm.common import materialize, text_slices, tokenizer_path
 from tessera.llm.files import new_folder, put, read_folder
 
 MAGIC = b"TPLANE1\n"
@@ -154,7 +154,7 @@ def write_files(df: DataFrame, path: str, folder: str, *, key: str = "doc_id", t
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=["stream", "name", "docs", "ids"])
 
         for batch in batches:
-            for part in slices(batch, batch.num_rows):
+            for part in text_slices(batch, 1):
                 ids, ends = own.encode_column(part.column(1))
                 ids, ends = np.insert(ids, ends, end_id), (ends + np.arange(1, len(ends) + 1)).tolist()
                 for k, begin, end, stream in zip(part.column(0).to_pylist(), [0, *ends], ends, part.column(2).to_pylist()):

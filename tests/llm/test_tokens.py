@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, packing, separator_scan, token_files
+from tessera.llm import bpe, common, packing, separator_scan, token_files
 from tessera.llm.common import tokenizer_path
 from tessera.llm.files import new_folder
 from tessera.llm.queries import queries
@@ -171,6 +171,14 @@ def test_token_files_of_odd_rows(spark, odd, none, monkeypatch):
     assert token_files.read_files(spark, folder, token_files.write_files(none, path, folder)).count() == 0
 
 
+def test_long_texts_are_encoded_alone(monkeypatch):
+    monkeypatch.setattr(common, "SLICE_BYTES", 10)
+    texts = ["abc", None, "é" * 4, "x" * 50, "", "x" * 10, "yy", "zzz"]
+    parts = [p.column(1).to_pylist() for p in common.text_slices(pa.record_batch({"k": list(range(10)), "t": [*texts, None, "é" * 30]}), 1)]
+    assert parts == [["abc", None], ["é" * 4], ["x" * 50], ["", "x" * 10], ["yy", "zzz", None], ["é" * 30]]
+    assert list(common.text_slices(pa.record_batch({"k": pa.array([], pa.int64()), "t": pa.array([], pa.string())}), 1)) == []
+
+
 def test_streams_follow_the_key(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1009).alias("k"))
     rows = df.withColumn("s", token_files.range_stream(df, "k", 8, F.col("k"))).orderBy("k").collect()
